@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import line_dedup, toxicity
 
 
 def _t(spark, sf_dir, name):
@@ -15,5 +15,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, _t(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity}
+def op10_line_dedup(spark, sf_dir):
+    """Dropped lines of every document."""
+    return line_dedup.report(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_toxicity, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import toxicity
+from corpusloom.llm import line_dedup, toxicity
 
 
 def drop_toxic(spark, docs, sf_dir):
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_repeated_lines(spark, docs, sf_dir):
+    return line_dedup.dedup(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines)]
 
 #: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None

@@ -46,3 +46,31 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict],
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of a few numbers that may be broadcast; some 30 MB. Beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_few(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` with rows that were counted first: broadcast up to ``BROADCAST_ROWS``, else a shuffled hash join on the smaller side."""
+    few = cut(few)
+    return big.join(few.hint("broadcast" if few.count() <= BROADCAST_ROWS else "shuffle_hash"), on, how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that links (u, v) reach, for nodes that have any; large-star and small-star rounds."""
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    last = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least.hint("merge"), "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = cut(small)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == last:
+            return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        last = now

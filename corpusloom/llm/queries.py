@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, toxicity
+from . import line_dedup, ngram_join, toxicity
 
 
 def _t(spark, sf_dir, name):
@@ -15,10 +15,15 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, _t(spark, sf_dir, "labels")))
 
 
+def op6_ngram_join(spark, sf_dir):
+    """Component of every document."""
+    return ngram_join.join(_t(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     """Dropped lines of every document."""
     return line_dedup.report(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op5_toxicity, op6_ngram_join, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

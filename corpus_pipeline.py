@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, toxicity
+from corpusloom.llm import line_dedup, ngram_join, toxicity
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -13,7 +13,15 @@ def drop_repeated_lines(spark, docs, sf_dir):
     return line_dedup.dedup(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines)]
+#: Unless a contract says otherwise, near duplicates share 0.8 of their five-word shingles.
+NEAR = {"per_cent": 80, "words": 5}
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    return ngram_join.keep_one(docs, **NEAR)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", keep_one_of_each_group)]
 
 #: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None

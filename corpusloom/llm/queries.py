@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, toxicity
+import public_tokenizers
+
+from . import bpe, decontamination, line_dedup, ngram_join, toxicity
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items in every document."""
+    return decontamination.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe(spark, sf_dir):
+    """Token digests of every document."""
+    return bpe.digests(_t(spark, sf_dir, "documents"), bpe.read_vocabulary(WORD_BPE))
+
+
 def op5_toxicity(spark, sf_dir):
     """Severity of every document."""
     docs = _t(spark, sf_dir, "documents")
@@ -25,5 +39,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_ngram_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op5_toxicity, op6_ngram_join, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, ngram_join, toxicity
+import public_tokenizers
+
+from corpusloom.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -21,7 +23,21 @@ def keep_one_of_each_group(spark, docs, sf_dir):
     return ngram_join.keep_one(docs, **NEAR)
 
 
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", keep_one_of_each_group)]
+def drop_contaminated(spark, docs, sf_dir):
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark, docs, sf_dir):
+    return bpe.encode(docs, bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
 
 #: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .common import map_columns
+from .common import BROADCAST_ROWS, cut, map_columns
 
 NEAR_WORDS = 5
 #: Lengths of the shared ends, growing by halves.
@@ -136,18 +136,23 @@ def _verified(x, y):
     return pd.Series([within_one(a.split(), b.split()) for a, b in zip(x, y)], dtype=bool)
 
 
+def _with_few(documents: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """Join with rows (doc_id, list of lines): broadcast while the lists are counted to be small, else a shuffle."""
+    lists = cut(lists)
+    items = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0))).first()[0]
+    return documents.join(lists.hint("broadcast" if items <= BROADCAST_ROWS else "shuffle_hash"), "doc_id", how)
+
+
 def decisions(documents: DataFrame) -> DataFrame:
     """(doc_id, drops array<struct<line, near>>): the lines to drop, for documents that have any."""
     every = lines(documents)
-    first = every.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("ends").alias("ends"))
+    first = cut(every.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("ends").alias("ends")))
     exact = every.select("a", "b", F.struct("doc_id", "line").alias("at")).join(first.select("a", "b", "first").hint("merge"), ["a", "b"]).where("at <> first").select("at.doc_id", "at.line", F.lit(False).alias("near"))
 
     ends = first.select("first", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").count().where("count > 1").select("end")
     likely = ends.join(shared.hint("merge"), "end", "left_semi").select("first.doc_id", "first.line").distinct().groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
 
-    names = documents.columns
-
     def start():
         def run(cols):
             out: dict = {"doc_id": [], "line": [], "words": []}
@@ -160,8 +165,7 @@ def decisions(documents: DataFrame) -> DataFrame:
 
         return run
 
-    # all columns go in, so that Spark shuffles the documents once for this and for apply()
-    near = map_columns(documents.join(likely.hint("shuffle_hash"), "doc_id").select(*names, "wanted"), "doc_id long, line int, words binary", start)
+    near = cut(map_columns(_with_few(documents.select("doc_id", "text"), likely, "wanted"), "doc_id long, line int, words binary", start))
     variants = _variants(near)
     met = variants.groupBy("v").count().where("count > 1").select("v")
     rows = variants.join(met.hint("merge"), "v", "left_semi").withColumn("at", F.struct("doc_id", "line"))
@@ -197,7 +201,7 @@ def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
     names, kinds = documents.columns, dict(documents.dtypes)
     if "text" not in names or "doc_id" not in names:
         raise ValueError("documents needs doc_id and text")
-    joined = documents.join(drops.select("doc_id", F.col("drops.line").alias("_gone")).hint("shuffle_hash"), "doc_id", "left")
+    joined = _with_few(documents, drops.select("doc_id", F.col("drops.line").alias("_gone")), "_gone", "left")
     some = F.col("_gone").isNotNull() & F.col("text").isNotNull()
     new = joined.withColumn("_new", _kept(F.when(some, F.col("text")), F.col("_gone"))).where(~some | F.col("_new").isNotNull())
     out = {"text": F.when(some, F.col("_new")).otherwise(F.col("text"))}
@@ -213,7 +217,7 @@ def dedup(documents: DataFrame) -> DataFrame:
 def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, n_near, kept_sha256) per document; n_near: those without an equal earlier line."""
     docs = documents.select("doc_id", "text")
-    joined = docs.join(decisions(docs).hint("shuffle_hash"), "doc_id", "left")
+    joined = _with_few(docs, decisions(docs), "drops", "left")
     fields = "doc_id long, n_lines long, n_dropped long, n_near long, kept_sha256 string"
 
     def start():

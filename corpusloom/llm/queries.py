@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontamination, line_dedup, ngram_join, toxicity
+from . import bpe, decontamination, line_dedup, ngram_join, pii, quality, secrets, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,10 +34,26 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.join(_t(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    """Line measures and the verdict on every document."""
+    docs = _t(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _t(spark, sf_dir, "labels")))
+
+
+def op8_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.digests(_t(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark, sf_dir):
+    """Secrets in every document."""
+    return secrets.digests(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_line_dedup(spark, sf_dir):
     """Dropped lines of every document."""
     return line_dedup.report(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op5_toxicity, op6_ngram_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op5_toxicity, op6_ngram_join, op7_quality, op8_pii, op9_secrets, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

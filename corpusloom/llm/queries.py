@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontamination, line_dedup, ngram_join, pii, quality, secrets, toxicity
+from . import bpe, decontamination, language_model, line_dedup, ngram_join, pii, quality, secrets, sharding, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +18,16 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op2_language_model(spark, sf_dir):
+    """Log-likelihood of every document."""
+    return language_model.fit_and_score(_t(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark, sf_dir):
+    """Shard and slot of every document."""
+    return sharding.assign(_t(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     """Token digests of every document."""
     return bpe.digests(_t(spark, sf_dir, "documents"), bpe.read_vocabulary(WORD_BPE))
@@ -55,5 +65,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op5_toxicity, op6_ngram_join, op7_quality, op8_pii, op9_secrets, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_sharding, op4_bpe, op5_toxicity, op6_ngram_join, op7_quality, op8_pii, op9_secrets, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

@@ -201,12 +201,12 @@ def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
     names, kinds = documents.columns, dict(documents.dtypes)
     if "text" not in names or "doc_id" not in names:
         raise ValueError("documents needs doc_id and text")
-    joined = _with_few(documents, drops.select("doc_id", F.col("drops.line").alias("_gone")), "_gone", "left")
-    some = F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    new = joined.withColumn("_new", _kept(F.when(some, F.col("text")), F.col("_gone"))).where(~some | F.col("_new").isNotNull())
-    out = {"text": F.when(some, F.col("_new")).otherwise(F.col("text"))}
+    joined = _with_few(documents, drops.select("doc_id", F.col("drops.line").alias("corpusloom_gone")), "corpusloom_gone", "left")
+    some = F.col("corpusloom_gone").isNotNull() & F.col("text").isNotNull()
+    new = joined.withColumn("corpusloom_new", _kept(F.when(some, F.col("text")), F.col("corpusloom_gone"))).where(~some | F.col("corpusloom_new").isNotNull())
+    out = {"text": F.when(some, F.col("corpusloom_new")).otherwise(F.col("text"))}
     if "n_chars" in names:
-        out["n_chars"] = F.when(some, F.length("_new").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(some, F.length("corpusloom_new").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
     return new.select(*[out[c].alias(c) if c in out else F.col(c) for c in names])
 
 

@@ -66,4 +66,26 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_model, op3_sharding, op4_bpe, op5_toxicity, op6_ngram_join, op7_quality, op8_pii, op9_secrets, op10_line_dedup)}
-ORACLE: dict[str, str] = {}
+#: Words of a text as the contracts have them: ASCII letters lower-cased, split at ASCII white space.
+_WORDS = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE = {
+    "op6_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS sh FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 90 * (x.n + y.n - i)),
+ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+ r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS m FROM r GROUP BY u) USING (doc_id)""",
+    "op10_line_dedup": f"""WITH l AS (SELECT doc_id, i - 1 AS line, lines[i] AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), UNNEST(range(1, len(lines) + 1)) AS t(i)),
+ k AS (SELECT *, array_to_string(ws, ' ') AS key, (doc_id, line) AS place FROM (SELECT *, {_WORDS.format("raw")} AS ws FROM l) WHERE len(ws) > 0),
+ f AS (SELECT key, min(place) AS first, any_value(ws) AS ws FROM k GROUP BY key),
+ long AS (SELECT * FROM f WHERE len(ws) >= 5),
+ v AS (SELECT first, p, array_to_string(ws[1:p] || ws[p + 2:], ' ') AS rest FROM long, UNNEST(range(0, len(ws))) AS t(p)),
+ near AS (SELECT v.first FROM v JOIN (SELECT rest, p, min(first) AS m FROM v GROUP BY rest, p) g ON g.rest = v.rest AND g.p = v.p WHERE m < v.first
+  UNION SELECT greatest(v.first, long.first) FROM v JOIN long ON long.key = v.rest),
+ d AS (SELECT k.doc_id, k.line, k.place = f.first AS only_near FROM k JOIN f USING (key) WHERE k.place <> f.first OR f.first IN (SELECT first FROM near))
+SELECT l.doc_id, count(*) AS n_lines, count(d.line) AS n_dropped, count(*) FILTER (only_near) AS n_near, sha256(coalesce(string_agg(raw, chr(10) ORDER BY l.line) FILTER (d.line IS NULL), '')) AS kept_sha256
+ FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.line = l.line GROUP BY l.doc_id""",
+}

@@ -154,12 +154,14 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, id_: str = "id", text
     own = rows.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
     n, mean = own.agg(F.count("*"), F.avg(F.size("t"))).first()
     asked = query_terms(queries)
-    postings = _with_few(own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")), asked.select("term").distinct(), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct()
+    how = "broadcast" if terms.count() <= FEW_ROWS else "merge"  # weights have a row for each asked term at most
+    postings = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.hint(how), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("idf"))
     if drop_ratio:
         asked = query_terms(queries, drop_ratio, idf)
-    scored = _with_few(_with_few(postings, asked, "term"), idf, "term")
+    scored = _with_few(postings.join(idf.hint(how), "term"), asked, "term")
     value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
     return top(scored.groupBy("query_id", "id").agg(F.round(F.sum(value), 6).alias("score")), k, F.desc("score"), F.col("id"))
 

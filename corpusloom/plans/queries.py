@@ -234,7 +234,23 @@ def p4_users_with_roles(spark, sf_dir):
 # --- chunking and cleaning
 
 
-@query()
+_LAST_OF = lambda mark, n: f"(CASE WHEN contains(w, {mark}) THEN length(w) - strpos(reverse(w), reverse({mark})) - {n} + 1 ELSE -1 END)"
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_K1 = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+ r AS (SELECT id, t, 0::BIGINT AS s, []::VARCHAR[] AS c, false AS done FROM d WHERE length(t) > 1000
+  UNION ALL
+  SELECT id, t, nx AS s, CASE WHEN tail THEN c || [{_STRIP('substr(t, s + 1)')}] ELSE
+    (CASE WHEN len(c) > 0 AND length(piece) < 100 THEN c[:len(c) - 1] || [c[len(c)] || ' ' || piece] ELSE c || [piece] END)
+    || (CASE WHEN nx >= total - 100 AND nx < total THEN [{_STRIP('substr(t, nx + 1)')}] ELSE []::VARCHAR[] END) END AS c, tail OR nx >= total - 100 AS done
+  FROM (SELECT *, {_STRIP('substr(t, s + 1, stop - s)')} AS piece, CASE WHEN stop - 200 > s THEN stop - 200 ELSE stop END AS nx
+   FROM (SELECT *, CASE WHEN para > 0 THEN s + para WHEN sentence > 100 THEN s + sentence + 1 WHEN word > 100 THEN s + word ELSE s + 1000 END AS stop
+    FROM (SELECT *, {_LAST_OF('chr(10) || chr(10)', 2)} AS para, {_LAST_OF("'. '", 2)} AS sentence, {_LAST_OF("' '", 1)} AS word
+     FROM (SELECT *, substr(t, s + 1, 1000) AS w, length(t) AS total, s + 1000 >= length(t) AS tail FROM r WHERE NOT done))))),
+ a AS (SELECT id, list_filter(c, lambda x: x <> '') AS c FROM r WHERE done UNION ALL SELECT id, [t] FROM d WHERE length(t) <= 1000 AND regexp_matches(t, '\\S'))
+SELECT id, i - 1 AS chunk_index, c[i] AS text FROM a, UNNEST(range(1, len(c) + 1)) AS u(i)"""
+
+
+@query(_K1)
 def k1_chunk_text(spark, sf_dir):
     return chunking.chunk_text(documents(spark, sf_dir).select("id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
 

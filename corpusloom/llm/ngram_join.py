@@ -10,13 +10,14 @@ shingle space, and documents are pivots inside them:
    space into ``m`` slices: in one at least, both are at distance 0. A point goes into the cell of
    its content in every slice, for its size level and where the bound on sizes asks for it for the
    level below; these windows are complete by counting.
-3. A cell with several points joins recursively: two of its points are pivots p and q; all exact
+   Points that share cells, directly or over others, are a region; every close pair lies in one.
+3. A region joins recursively. In a large one ``PIVOTS`` of its points are pivots; all exact
    distances to them are taken, and those within the radius are links. Each point goes to its
-   nearer pivot's Voronoi region, and to the other too when the distances are within twice the
-   radius of each other. In a region, points within the radius of the pivot are linked through it;
-   the rest goes on, with those of the ball that the triangle inequality lets be their partners.
-   A cell that wouldn't shrink so stays whole but for its pivots. Cells whose points the links
-   have connected already are done. No pairs are left out, and none are listed within a group.
+   nearest pivot's Voronoi region, and to every other whose distance is within twice the radius of
+   that. In a region, points within the radius of the pivot are linked through it; the rest goes
+   on, with those of the ball that the triangle inequality lets be their partners. A region that
+   wouldn't shrink so is cut into blocks, each two of which are a region. Regions of at most
+   ``LEAF`` points are joined exactly in a task, without pairs that links connect already.
 4. Links become components by star contraction.
 
 Defined results: a null or blank text has no shingles and is its own component; a null doc_id keeps
@@ -30,7 +31,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import components, cut, join_few, map_columns, utf8
 
@@ -41,6 +41,14 @@ WORDS = 3
 LEVEL = 1.37
 
 
+#: A region of at most so many points is a leaf: one task takes all its sets.
+LEAF = 2_000
+#: Pivots of a larger region.
+PIVOTS = 4
+#: Bits of a leaf's sketches.
+SKETCH = 1024
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -153,51 +161,109 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_columns(pairs.join(x.hint("merge"), "x").join(p.hint("merge"), "p").select("p", "x", "xs", "ps"), "p long, x long, inter long, total long", start)
 
 
-def _different(regions: DataFrame) -> DataFrame:
-    """Regions of at least two points, one of each set of points."""
-    of = regions.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("t"))
-    one = of.where("n > 1").groupBy("n", "s", "t").agg(F.min("region").alias("region")).select("region")
-    return regions.join(one.hint("merge"), "region", "left_semi")
+def _leaf_links(ids: list[int], sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """Links that connect what is close among a few sets. Pairs that earlier links connect already need no look."""
+    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    label = np.arange(len(ids))
+    # one bit for the parity of the hashes that fall on it: as many bits differ as elements do, at most
+    bits = np.stack([np.packbits((np.bincount((s.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.uint64) for s in sets])
+    out = []
+    for i in range(len(ids) - 1):
+        end = int(np.searchsorted(sizes, sizes[i] * 100 // per_cent, side="right"))
+        rest = np.arange(i + 1, end)
+        rest = rest[label[rest] != label[i]]
+        if len(rest):
+            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
+            for j in rest[differ * (100 + per_cent) <= (sizes[rest] + sizes[i]) * (100 - per_cent)]:
+                if label[i] != label[j]:
+                    inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * inter >= per_cent * (sizes[i] + sizes[j] - inter):
+                        out.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+    return out
+
+
+def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (u, v) within regions of at most LEAF points."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def close(ids, shingles):
+            got = _leaf_links(ids, shingles, per_cent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        now, ids, shingles = None, [], []
+        for batch in batches:
+            lists = batch.column(2)
+            for k, (region, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if region != now:
+                    yield close(ids, shingles)
+                    now, ids, shingles = region, [], []
+                ids.append(x)
+                shingles.append(lists[k].values.to_numpy())
+        yield close(ids, shingles)
+
+    rows = regions.join(sets.select(F.col("doc_id").alias("x"), "shingles").hint("merge"), "x").select("region", "x", "shingles")
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "u long, v long")
+
+
+def _split(regions: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """One step into large regions: links to their pivots, and the regions (region, x) of all pairs still open."""
+    radius = 1 - per_cent / 100 + 1e-12
+    dealt = regions.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PIVOTS)))
+    pivots = cut(dealt.groupBy("region", "part").agg(F.min("x").alias("p")))
+    rows = regions.join(pivots.select("region", "p").hint("merge"), "region").where("p <> x")
+    far = cut(_distances(rows.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct(), sets))
+    found = far.where(F.col("inter") * 100 >= F.col("total") * per_cent).select(F.col("p").alias("u"), F.col("x").alias("v"))
+    # pivots are done: each was compared with all points of its region
+    rest = dealt.join(pivots.hint("merge"), ["region", "part"]).where("x <> p").select("region", "x")
+    d = far.select("p", "x", (1 - F.col("inter") / F.col("total")).alias("d"))
+    d = d.unionByName(d.select(F.col("x").alias("p"), F.col("p").alias("x"), "d"))
+    measured = rest.join(pivots.select("region", "p").hint("merge"), "region").join(d.hint("merge"), ["p", "x"])
+    near = measured.groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("to"))  # PIVOTS entries
+    near = near.withColumn("homes", F.filter("to", lambda t: t["d"] <= F.array_min(F.col("to.d")) + 2 * radius))
+    split = near.groupBy("region").agg((F.sum(F.size("homes")) * 2 <= F.count("*") * 3).alias("split"))
+    placed = near.join(split.hint("merge"), "region").select("region", "x", F.explode(F.when(F.col("split"), F.col("homes")).otherwise(F.slice("to", 1, 1))).alias("h"))
+    cells_ = cut(placed.select(F.xxhash64("region", "h.p").alias("region"), "x", F.col("h.d").alias("d")))
+    out = cells_.groupBy("region").agg(F.min(F.when(F.col("d") > radius, F.col("d"))).alias("nearest_out")).where("nearest_out is not null")
+    return found, cells_.join(out.hint("merge"), "region").where(F.col("d") >= F.col("nearest_out") - radius).select("region", "x")
+
+
+def _blocks(regions: DataFrame) -> DataFrame:
+    """Regions that pivots don't thin out: every two blocks of their points, as regions small enough for leaves."""
+    sized = regions.join(regions.groupBy("region").agg(F.ceil(F.count("*") * 4 / LEAF).cast("int").alias("k")).hint("merge"), "region")
+    mine = sized.withColumn("b", F.pmod(F.xxhash64(F.lit(5), "x"), F.col("k")).cast("int"))
+    pair = mine.select("region", "x", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    return pair.select(F.xxhash64("region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "x")
 
 
 def links(documents: DataFrame, digests: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """Links (u, v) between representatives of different sets; their components are those of all close pairs."""
-    spark, radius = documents.sparkSession, 1 - per_cent / 100 + 1e-12
     points = digests.where("n > 0 and doc_id is not null")
     classes = points.groupBy("a", "b").agg(F.min("doc_id").alias("x"))
-    keyed = points.select(F.explode("cells").alias("region"), "a", "b")
-    crowded = keyed.groupBy("region").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("region")
-    regions = keyed.join(crowded.hint("merge"), "region", "left_semi").distinct().join(classes.hint("merge"), ["a", "b"]).select("region", "x")
-    regions = cut(_different(cut(regions.distinct())))
-    found = spark.createDataFrame([], T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
-    if regions.isEmpty():
-        return found
-    sets = cut(_sets(documents, regions.select(F.col("x").alias("doc_id")).distinct(), words))
-    regions = cut(regions.join(sets.select(F.col("doc_id").alias("x")).hint("merge"), "x", "left_semi"))
+    keyed = points.select(F.explode("cells").alias("cell"), "a", "b")
+    crowded = keyed.groupBy("cell").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("cell")
+    shared = cut(keyed.join(crowded.hint("merge"), "cell", "left_semi").distinct().join(classes.hint("merge"), ["a", "b"]).select("cell", "x"))
+    stars = shared.join(shared.groupBy("cell").agg(F.min("x").alias("p")).hint("merge"), "cell").where("x <> p").select(F.col("p").alias("u"), F.col("x").alias("v")).distinct()
+    regions = cut(components(stars).select(F.col("component").alias("region"), F.col("node").alias("x")))
+    sets = cut(_sets(documents, regions.select(F.col("x").alias("doc_id")), words))
+    regions = regions.join(sets.select(F.col("doc_id").alias("x")).hint("merge"), "x", "left_semi")
+    found = None
     while True:
-        pivots = regions.groupBy("region").agg(F.min("x").alias("p"), F.max("x").alias("q"), F.count("*").alias("members"))
-        rows = regions.join(pivots.hint("merge"), "region")
-        pairs = rows.select("p", "x").unionByName(rows.select(F.col("q").alias("p"), "x")).where("p <> x").distinct()
-        far = cut(_distances(pairs, sets))
-        found = cut(found.unionByName(far.where(F.col("inter") * 100 >= F.col("total") * per_cent).select(F.col("p").alias("u"), F.col("x").alias("v"))).distinct())
-        d = far.select("p", "x", (1 - F.col("inter") / F.col("total")).alias("d"))
-        # the pivots themselves are done: each was compared with all points of its region
-        rest = rows.where("x <> p and x <> q").join(d.withColumnRenamed("d", "dp").hint("merge"), ["p", "x"]).join(d.select(F.col("p").alias("q"), "x", F.col("d").alias("dq")).hint("merge"), ["q", "x"])
-        window = F.abs(F.col("dp") - F.col("dq")) <= 2 * radius
-        counted = rest.groupBy("region").agg(F.count("*").alias("n"), F.count_if(window).alias("twice")).select("region", (F.col("twice") * 2 <= F.col("n")).alias("split"))
-        rest = rest.join(counted.hint("merge"), "region")
-        homes = F.when(~F.col("split"), F.array(F.struct(F.lit(0).alias("side"), F.col("dp").alias("d")))).when(window, F.array(F.struct(F.lit(1).alias("side"), F.col("dp").alias("d")), F.struct(F.lit(2).alias("side"), F.col("dq").alias("d")))).when(F.col("dp") <= F.col("dq"), F.array(F.struct(F.lit(1).alias("side"), F.col("dp").alias("d")))).otherwise(F.array(F.struct(F.lit(2).alias("side"), F.col("dq").alias("d"))))
-        cells_ = rest.select("region", "x", F.explode(homes).alias("h")).select(F.xxhash64("region", "h.side").alias("region"), "x", F.col("h.d").alias("d"))
-        out = cells_.groupBy("region").agg(F.min(F.when(F.col("d") > radius, F.col("d"))).alias("nearest_out")).where("nearest_out is not null")
-        left = cut(cells_.join(out.hint("merge"), "region").where(F.col("d") >= F.col("nearest_out") - radius).select("region", "x"))
-        if left.isEmpty():
-            return found
-        together = components(found)
-        named = left.join(together.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-        apart = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
-        regions = cut(_different(left.join(apart.hint("merge"), "region", "left_semi")))
-        if regions.isEmpty():
+        sized = cut(regions.join(regions.groupBy("region").agg(F.count("*").alias("n")).hint("merge"), "region").where("n > 1"))
+        small = cut(_leaves(sized.where(F.col("n") <= LEAF).select("region", "x"), sets, per_cent))
+        found = small if found is None else found.unionByName(small)
+        large = sized.where(F.col("n") > LEAF).select("region", "x")
+        before = large.count()
+        if not before:
             return found
+        more, left = _split(large, sets, per_cent)
+        found, left = found.unionByName(more), cut(left)
+        regions = left if left.count() <= 0.6 * before else _blocks(left)
 
 
 def join(documents: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:

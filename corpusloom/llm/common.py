@@ -58,18 +58,24 @@ def join_few(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "in
     return big.join(few.hint("broadcast" if few.count() <= BROADCAST_ROWS else "shuffle_hash"), on, how)
 
 
+#: Edges that one task of a component round takes.
+EDGES_PER_TASK = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (u, v) reach, for nodes that have any; large-star and small-star rounds."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
+    # rounds never add edges; as many tasks as these need keep the rounds' files few
+    parts = max(1, -(-edges.count() // EDGES_PER_TASK))
+    edges, last = edges.coalesce(parts), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least.hint("merge"), "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
+        edges = cut(small.coalesce(parts))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last:
             return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

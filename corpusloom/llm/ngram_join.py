@@ -87,9 +87,12 @@ class Levels:
             self.low.append(self.high[-1] + 1)
         return int(np.searchsorted(self.high, n))
 
-    def slices(self, level: int) -> int:
+    def slices(self, level: int) -> tuple[int, int]:
+        """How many slices, and how many of them a point may leave empty and still agree with any close one in a full slice."""
         most = self.high[level] + self.high[level] * 100 // self.per_cent
-        return most * (100 - self.per_cent) // (100 + self.per_cent) + 1
+        least = most * (100 - self.per_cent) // (100 + self.per_cent) + 1
+        spare = 1 + least // 16 if least > 1 else 0
+        return least + spare, spare
 
     def of(self, n: int) -> list[int]:
         at = self.level(n)
@@ -97,16 +100,22 @@ class Levels:
 
 
 def cells(hashes: np.ndarray, levels: Levels) -> np.ndarray:
-    """The keys of a set's cells: its content in each slice. Sorted hashes lie in order of slices."""
+    """The keys of a set's cells: its content in each slice. Sorted hashes lie in order of slices.
+
+    Many unrelated points agree in an empty slice. Those that have no more of them than there are
+    slices to spare leave them out: a close pair agrees in so many more that a full one is among them.
+    """
     if not len(hashes):
         return np.zeros(0, dtype=np.int64)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(hashes), dtype=np.uint64)])
     out = []
     for level in levels.of(len(hashes)):
-        m = levels.slices(level)
+        m, spare = levels.slices(level)
         edge = np.searchsorted(hashes >> np.uint64(32), (np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
         edge[-1] = len(hashes)
-        out.append(_mix(_mix(sums[edge[1:]] - sums[edge[:-1]]) + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)))
+        keys = _mix(_mix(sums[edge[1:]] - sums[edge[:-1]]) + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1))
+        full = edge[1:] > edge[:-1]
+        out.append(keys[full] if m - int(full.sum()) <= spare else keys)
     return np.concatenate(out).view(np.int64)
 
 

@@ -4,9 +4,9 @@ Token counts cover all training documents. The most frequent ``WORDS`` tokens ha
 network, in classes of ``CLASS`` by frequency; all others share one class in which their smoothed
 counts share out the probability, so the model is a distribution over every token and the unseen one.
 It starts as the unigram model: biases are the logs of the counts. Tasks train copies of it by
-truncated backpropagation over a fixed share of the training documents (so the training grows with
-the corpus), and their parameters are averaged in Spark. Documents are scored whole: the hidden
-state is carried from window to window.
+truncated backpropagation over all training documents, dealt among as many tasks as their tokens
+need, and their parameters are averaged in Spark. Documents are scored whole: the hidden state is
+carried from window to window.
 
 Counts of frequent tokens (``HEAD``) are broadcast; all others are looked up in a join.
 
@@ -29,8 +29,8 @@ from .common import cut, map_columns, utf8
 HEAD = 200_000
 WORDS, CLASS, HIDDEN = 1024, 32, 24
 WINDOW, LANES = 24, 32
-#: One of so many training documents trains the network.
-SHARE = 8
+#: Training tokens that one task takes, so that tasks grow in number with the corpus.
+TASK_TOKENS = 4_000_000
 #: The key of the end token; no word has it.
 END = 0
 PIECE = 1 << 20
@@ -281,8 +281,8 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
     end = counts.where(F.col("token") == END).collect()
     model = Model(head if any(t == END for t, _ in head) or not end else [(END, end[0]["c"]), *head[: HEAD - 1]], int(totals[0]), int(totals[1]))
     shared = spark.sparkContext.broadcast(model)
-    mine = documents.where(~held_out() & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)).select(utf8(), F.xxhash64("doc_id", "text").alias("draw"))
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6)
+    mine = documents.where(~held_out()).select(utf8(), F.xxhash64("doc_id", "text").alias("draw"))
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6, -(-model.total // TASK_TOKENS))
 
     def trained(batches):
         import copy
@@ -290,11 +290,11 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
         import pyarrow as pa
 
         m = shared.value
-        stream = [np.zeros(1, dtype=np.int64)]
+        stream = [np.zeros(1, dtype=np.int32)]
         for batch in batches:
             numbers = Numbers()
             texts = [numbers.of(t) for t in batch.column(0).to_pylist()]
-            place = np.append(m.look_up(numbers.keys())[2], 0)
+            place = np.append(m.look_up(numbers.keys())[2], 0).astype(np.int32)
             stream += [place[np.append(t, -1)] for t in texts]
         network = copy.deepcopy(m.network)
         start, tokens = network.flat(), np.concatenate(stream)

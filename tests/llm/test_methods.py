@@ -203,6 +203,15 @@ def test_training_learns_a_cycle():
     assert net.score([pattern[1:200]])[0] > start / 3 and not np.array_equal(before, net.flat())  # a plain cycle is learnt
 
 
+def test_every_training_document_trains_the_network(make):
+    from pyspark.sql import functions as F
+
+    # documents that one fixed share (xxhash64 mod 8) doesn't hold, in a cycle that only a trained network tells from its counts
+    rows = make([(i, " ".join(["red", "green", "blue", "black"] * 1000)) for i in range(60)]).where((F.pmod(F.xxhash64("doc_id"), F.lit(8)) != 0))
+    got = language_model.fit_and_score(rows).collect()
+    assert any(r["held_out"] for r in got) and all(r["score"] > r["base_score"] + 5 for r in got)
+
+
 # --- sharding
 
 

@@ -367,12 +367,27 @@ def x4_context_block(spark, sf_dir):
 _EXPECTED = "e AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), x AS (SELECT b.item_id AS query_id, coalesce(min(doc_id), -1) AS doc FROM benchmark b LEFT JOIN e USING (item_id) GROUP BY 1)"
 
 
+#: Words in a row by which items and the documents that may hold them meet.
+_RUN = 5
+
+
 def _expected(spark, sf_dir):
-    """The first document that holds each item, found by its opening words and then in full."""
+    """The first of all documents that hold each item, found by a run of its inner words and then in full."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    top_hits = search.bm25_topk(b.select(F.col("item_id").alias("query_id"), F.col("item").alias("text")), documents(spark, sf_dir), 100)
-    held = top_hits.join(documents(spark, sf_dir).select("id", "text").hint("merge"), "id").join(b.hint("merge"), F.col("query_id") == F.col("item_id")).where(F.contains("text", "item"))
-    first = held.groupBy("query_id").agg(F.min("id").alias("doc"))
+    docs = documents(spark, sf_dir).select("id", "text")
+    # an item's first and last words can be parts of words in a document, those between can't
+    words = F.split("item", r"\s+")
+    traced = b.where(F.size(words) >= _RUN + 2).select("item_id", "item", F.xxhash64(F.slice(words, 2, _RUN)).alias("run"))
+    starts = F.when(F.size("words") >= _RUN, F.sequence(F.lit(1), F.size("words") - _RUN + 1)).otherwise(F.array().cast("array<int>"))
+    split = docs.where("text is not null").select("id", F.split("text", r"\s+").alias("words"))
+    runs = split.select("id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, _RUN)))).alias("run"))
+    pairs = search._with_few(runs, traced.select("item_id", "run"), "run").select("id", "item_id").distinct()
+    held = pairs.join(docs.hint("merge"), "id").join(b.hint("merge"), "item_id").where(F.contains("text", "item")).select("item_id", "id")
+    # items of too few words for a run are tried on every document
+    brief = b.where(F.size(words) < _RUN + 2)
+    if brief.count():
+        held = held.unionByName(docs.crossJoin(brief).where(F.contains("text", "item")).select("item_id", "id"))
+    first = held.groupBy(F.col("item_id").alias("query_id")).agg(F.min("id").alias("doc"))
     return b.select(F.col("item_id").alias("query_id")).join(first.hint("merge"), "query_id", "left").select("query_id", F.coalesce("doc", F.lit(-1)).cast("string").alias("expected_source"))
 
 

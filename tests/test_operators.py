@@ -279,3 +279,15 @@ def test_streams_equal_batches(spark, tmp_path):
     ingest.stream_search(asked, stored, f"{tmp_path}/out", f"{tmp_path}/c3").awaitTermination()
     batch = search.bm25_topk(spark.read.parquet(f"{tmp_path}/q"), stored, 10)
     assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [r["id"] for r in batch.collect()]
+
+
+def test_expected_source_is_the_first_of_all_holders(spark, tmp_path):
+    from corpusloom.plans import queries
+
+    item, brief = "one two three four five six seven eight nine ten", "zeta eta"
+    # the first holder is long, so over 100 shorter ones rank before it; its item is joined to other characters
+    texts = [(1, f"none {brief}"), (2, "filler words " * 2000 + f"x{item}y"), *[(i, item) for i in range(3, 153)]]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, brief), (3, "held by no document of them all here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["query_id"]: r["expected_source"] for r in queries._expected(spark, str(tmp_path)).collect()}
+    assert got == {1: "2", 2: "1", 3: "-1"}

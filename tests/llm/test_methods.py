@@ -133,6 +133,13 @@ def test_contained_items_are_found(spark, docs, texts):
     assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == set(texts) - want
 
 
+def test_short_runs_are_met_at_every_offset(make, spark):
+    item = "old clocks tick softly while the keeper sleeps"
+    rows = [(i, "pad " * i + item + " end") for i in range(8)]
+    got = decontamination.report(make(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert all(r["contaminated"] for r in got)
+
+
 # --- BPE
 
 

@@ -4,8 +4,9 @@ Text of a language takes few tokens of a vocabulary; random strings take many. T
 (assign, access, hex) keep every span that passes its check. The method adds ``random``: strings of
 ``SHORTEST`` or more key characters, with letters and digits, that take a token for fewer than
 ``RATIO`` characters, after leaving out known digests (hex of a digest's length), UUIDs and
-identifiers (words joined by case, underscores or hyphens with at most a short number). Offsets are
-code points, end exclusive.
+identifiers (words joined by case, underscores or hyphens with at most a short number). Where a run
+of key characters is readable as a whole, the stretches of its parts (between = / _ -) that pass the
+same test are spans. Offsets are code points, end exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows and null doc_ids are searched
 each on their own; very long texts take time in proportion to their length.
@@ -35,8 +36,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+_PART = re.compile(rf"(?P<known>(?<![0-9A-Za-z])(?:{_UUID.pattern}|{'|'.join(f'[0-9A-Fa-f]{{{n}}}' for n in DIGESTS)})(?![0-9A-Za-z]))|(?P<part>[A-Za-z0-9+]+)|[=/_-]")
 _ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
-_IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[_/=+-])+[0-9]{0,4}(?:[_/-][0-9]{1,4})*")
+_IDENTIFIER = re.compile(r"(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[_/=+-])++[0-9]{0,4}(?:[_/-][0-9]{1,4})*")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +55,33 @@ def looks_random(text: str, tokens_of) -> bool:
     return len(text) < RATIO * sum(len(tokens_of(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
 
 
+def random_stretches(text: str, tokens_of) -> list[tuple[int, int]]:
+    """The stretches of a run that look random though the run as a whole doesn't: a readable key or path stands beside them."""
+    if not (re.search(r"[0-9]", text) and re.search(r"[A-Za-z]", text)) or _UUID.fullmatch(text) or _IDENTIFIER.fullmatch(text):
+        return []
+    # parts between separators, joined as long as each next part is random enough; known strings part stretches
+    found, held, gain, best, best_end = [], None, 0.0, 0.0, 0
+
+    def close():
+        if held is not None and best_end - held >= SHORTEST and looks_random(text[held:best_end], tokens_of):
+            found.append((held, best_end))
+
+    for m in _PART.finditer(text):
+        known = m["known"] is not None
+        value = RATIO * sum(len(tokens_of(m[0][i : i + PIECE])) for i in range(0, len(m[0]), PIECE)) - len(m[0])
+        if known or held is None or gain + value <= 0:
+            close()
+            held, gain, best, best_end = None, 0.0, 0.0, 0
+            if known or value <= 0 or m["part"] is None:
+                continue
+            held = m.start()
+        gain += value
+        if gain > best and (m["part"] is not None or m[0] == "="):
+            best, best_end = gain, m.end()
+    close()
+    return found
+
+
 def find(text: str, tokens_of) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans by start and kind, and added spans by start."""
     base = []
@@ -70,6 +99,9 @@ def find(text: str, tokens_of) -> tuple[list[tuple[str, int, int]], list[tuple[s
             at += 1
         if reach <= m.start() and looks_random(m[0], tokens_of):
             added.append(("random", *m.span()))
+        else:
+            stretches = [(m.start() + a, m.start() + b) for a, b in random_stretches(m[0], tokens_of)]
+            added += [("random", a, b) for a, b in stretches if not any(x[1] < b and a < x[2] for x in base)]
     return base, added
 
 

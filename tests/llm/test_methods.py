@@ -324,3 +324,17 @@ def test_random_strings_stand_out():
     assert [x[0] for x in secrets.find("see xK9fQ2zLw7VbT4mNp8RsY1cD here", tokens)[1]] == ["random"]
     for known in ("123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "very_long_identifier_name_of_a_function_12", "understandableinternationalization"):
         assert secrets.find(f"see {known} here", tokens)[1] == []
+
+
+def test_random_strings_behind_readable_ones():
+    import tiktoken
+
+    tokens = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=secrets.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={}).encode_ordinary
+    r, letters = random.Random(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before in ("private_key_for_production_server=", "/var/lib/application/credentials/", "/srv/data/of/all/customers/and/their/private/production/server/keys/"):
+        for _ in range(200):
+            secret = "".join(r.choice(letters) for _ in range(20)) + "7q"
+            (_, start, end), *more = secrets.find(f"see {before}{secret} here", tokens)[1]
+            assert not more and start <= 4 + len(before) and end == 4 + len(before) + len(secret)
+    for known in ("/api/users/550e8400-e29b-41d4-a716-446655440000/details", "/objects/of/repository/d41d8cd98f00b204e9800998ecf8427e", "private_key_for_production_server=2024"):
+        assert not secrets.random_stretches(known, tokens)

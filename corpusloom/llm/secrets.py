@@ -38,7 +38,9 @@ _LONG = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 _PART = re.compile(rf"(?P<known>(?<![0-9A-Za-z])(?:{_UUID.pattern}|{'|'.join(f'[0-9A-Fa-f]{{{n}}}' for n in DIGESTS)})(?![0-9A-Za-z]))|(?P<part>[A-Za-z0-9+]+)|[=/_-]")
 _ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
-_IDENTIFIER = re.compile(r"(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[_/=+-])++[0-9]{0,4}(?:[_/-][0-9]{1,4})*")
+_JOINED = re.compile(r"[A-Za-z_/=+-]+")
+_LONE = re.compile(r"(?<![a-z])[a-z](?![a-z])|(?<![A-Z])[A-Z](?![A-Za-z])")
+_NUMBERS = re.compile(r"[0-9]{1,4}(?:[_/-][0-9]{1,4})*")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,17 +49,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def is_identifier(text: str) -> bool:
+    """Words of two letters or more, joined by case or separators, and short numbers at the end; three scans, whatever the text."""
+    words = _JOINED.match(text)
+    return bool(words) and not _LONE.search(words[0]) and (words.end() == len(text) or bool(_NUMBERS.fullmatch(text, words.end())))
+
+
 def looks_random(text: str, tokens_of) -> bool:
     if not (re.search(r"[0-9]", text) and re.search(r"[A-Za-z]", text)):
         return False
-    if _UUID.fullmatch(text) or (_ALL_HEX.fullmatch(text) and len(text) in DIGESTS) or _IDENTIFIER.fullmatch(text):
+    if _UUID.fullmatch(text) or (_ALL_HEX.fullmatch(text) and len(text) in DIGESTS) or is_identifier(text):
         return False
     return len(text) < RATIO * sum(len(tokens_of(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
 
 
 def random_stretches(text: str, tokens_of) -> list[tuple[int, int]]:
     """The stretches of a run that look random though the run as a whole doesn't: a readable key or path stands beside them."""
-    if not (re.search(r"[0-9]", text) and re.search(r"[A-Za-z]", text)) or _UUID.fullmatch(text) or _IDENTIFIER.fullmatch(text):
+    if not (re.search(r"[0-9]", text) and re.search(r"[A-Za-z]", text)) or _UUID.fullmatch(text) or is_identifier(text):
         return []
     # parts between separators, joined as long as each next part is random enough; known strings part stretches
     found, held, gain, best, best_end = [], None, 0.0, 0.0, 0

@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir``, or a temporary folder where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the cluster's ``spark.checkpoint.dir``; where it is unset the warehouse, or on a single machine a temporary folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):  # driver and tasks are one process here
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        return spark.sparkContext.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/corpusloom-intermediate"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and read it from there: no recomputation, no lost blocks."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and read it from there: no recomputation, no lost blocks."""
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, so that ``forget`` can delete what a later round replaces."""
+    path = f"{shared_folder(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def utf8(column: str = "text") -> Column:
@@ -48,14 +67,43 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
-#: Rows of a few numbers that may be broadcast; some 30 MB. Beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, longer if ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Measured bytes of a table that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """Bytes that a value holds, with some for its place."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, ArrayType):
+        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda total, x: total + _width(x, kind.elementType))
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df``, by a count over its rows."""
+    return int(df.agg(F.coalesce(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")), F.lit(0))).first()[0])
+
+
+def strategy(few: DataFrame) -> str:
+    """The join hint for a written table, by its measured bytes."""
+    return "broadcast" if measured_bytes(few) <= BROADCAST_BYTES else "merge"
 
 
 def join_few(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` with rows that were counted first: broadcast up to ``BROADCAST_ROWS``, else a shuffled hash join on the smaller side."""
+    """Join ``big`` with rows whose bytes are measured first: broadcast up to ``BROADCAST_BYTES``, else a sort-merge join, which spills."""
     few = cut(few)
-    return big.join(few.hint("broadcast" if few.count() <= BROADCAST_ROWS else "shuffle_hash"), on, how)
+    return big.join(few.hint(strategy(few)), on, how)
 
 
 #: Edges that one task of a component round takes.
@@ -64,7 +112,8 @@ EDGES_PER_TASK = 200_000
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (u, v) reach, for nodes that have any; large-star and small-star rounds."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    edges, path = cut_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     # rounds never add edges; as many tasks as these need keep the rounds' files few
     parts = max(1, -(-edges.count() // EDGES_PER_TASK))
     edges, last = edges.coalesce(parts), None
@@ -75,8 +124,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
-        edges = cut(small.coalesce(parts))
+        before = path
+        edges, path = cut_at(small.coalesce(parts))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        forget(spark, before)
         if now == last:
             return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = now

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .common import BROADCAST_ROWS, cut, map_columns
+from .common import cut, join_few, map_columns, unused, utf8
 
 NEAR_WORDS = 5
+#: Lines whose neighbourhoods a task makes at once.
+LINES_AT_ONCE = 500
 #: Lengths of the shared ends, growing by halves.
 LADDER = np.unique([round(2 * 1.5**k) for k in range(48)])
 
@@ -59,64 +61,78 @@ def _ends(words: list[bytes]) -> list[int]:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line, a, b, ends): every line with a word."""
+    """(doc_id, line, a, b, ends, again): every line with a word; ``again``: the same text has an equal line above."""
 
     def start():
-        ladder: dict = {}
-
         def run(cols):
-            out: dict = {"doc_id": [], "line": [], "a": [], "b": [], "ends": []}
+            out: dict = {"doc_id": [], "line": [], "a": [], "b": [], "ends": [], "again": []}
             for doc, text in zip(cols["doc_id"], cols["utf8"]):
+                seen: set = set()
                 for i, line in enumerate(text.lower().split(b"\n")):
                     if words := line.split():
                         x = xxhash.xxh3_128_intdigest(b" ".join(words))
                         out["doc_id"].append(doc), out["line"].append(i)
                         out["a"].append(_signed(x >> 64)), out["b"].append(_signed(x & ((1 << 64) - 1)))
-                        out["ends"].append(_ends(words))
+                        out["again"].append(x in seen), out["ends"].append([] if x in seen else _ends(words))
+                        seen.add(x)
             return out
 
         return run
 
-    given = documents.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("utf8"))
-    return map_columns(given, "doc_id long, line int, a long, b long, ends array<long>", start)
+    return map_columns(documents.where("doc_id is not null").select("doc_id", utf8()), "doc_id long, line int, a long, b long, ends array<long>, again boolean", start)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def variant_hashes(base: np.ndarray, n: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """For lines of ``n`` words each, whose hashes stand one line after the other in ``base``: per line its own hash, then those without each word.
+
+    A line's hash is the exclusive or of its words' hashes, each mixed with its place. Without word
+    i, words before it keep their places and words after it move down by one, so two running
+    exclusive ors over all lines give every variant in a few steps per word.
+    """
+    begin = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(base)) - begin[owner]
+    place = at.astype(np.uint64) * salt
+    here = np.append(np.uint64(0), np.bitwise_xor.accumulate(_mixed(base ^ _mixed(place + salt))))  # word j at place j
+    moved = np.append(np.uint64(0), np.bitwise_xor.accumulate(_mixed(base ^ _mixed(place))))  # word j at place j - 1
+    i = np.arange(len(base))
+    end = begin + n
+    without = here[i] ^ here[begin[owner]] ^ moved[end[owner]] ^ moved[i + 1] ^ _mixed((n - 1).astype(np.uint64) + salt)[owner]
+    whole = here[end] ^ here[begin] ^ _mixed(n.astype(np.uint64) + salt)
+    out = np.empty(len(base) + len(n), dtype=np.uint64)
+    out[begin + np.arange(len(n))] = whole
+    out[i + owner + 1] = without
+    return out
 
 
 def _variants(near: DataFrame) -> DataFrame:
     """(v, w, gone, doc_id, line): the line (gone = -1) and the line without word ``gone``, as two hashes; linear in its length."""
+    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
-    def start():
-        keys: dict = {}
-        mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
-
-        def scrambled(x):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(32))
-
-        def run(cols):
-            if len(keys) > 500_000:
-                keys.clear()
-            out: dict = {k: [] for k in ("v", "w", "gone", "doc_id", "line")}
-            for doc, line, joined in zip(cols["doc_id"], cols["line"], cols["words"]):
-                words = joined.split()
-                n = len(words)
-                base = np.array([keys.get(x) or keys.setdefault(x, xxhash.xxh3_64_intdigest(x) or 1) for x in words], dtype=np.uint64)
-                got = []
-                for salt in mix:
-                    at = np.arange(n, dtype=np.uint64) * salt
-                    here = scrambled(base ^ scrambled(at + salt))  # word j at place j
-                    moved = np.concatenate([[np.uint64(0)], scrambled(base[1:] ^ scrambled(at[:-1] + salt))])  # word j at place j-1
-                    before = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(here)])
-                    after = np.concatenate([np.bitwise_xor.accumulate(moved[::-1])[::-1], [np.uint64(0)]])
-                    length = scrambled(np.array([n, n - 1], dtype=np.uint64) + salt)
-                    got.append(np.concatenate([[before[n] ^ length[0]], before[:n] ^ after[1 : n + 1] ^ length[1]]).view(np.int64))
-                out["v"].append(got[0]), out["w"].append(got[1]), out["gone"].append(np.arange(-1, n))
-                out["doc_id"].append(np.full(n + 1, doc)), out["line"].append(np.full(n + 1, line))
-            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
-
-        return run
+    def run(batches):
+        import pyarrow as pa
 
-    return map_columns(near, "v long, w long, gone int, doc_id long, line int", start)
+        keys: dict = {}
+        for batch in batches:
+            docs, lines_, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for at in range(0, len(held), LINES_AT_ONCE):
+                if len(keys) > 500_000:
+                    keys.clear()
+                found = [x.split() for x in held[at : at + LINES_AT_ONCE]]
+                n = np.array([len(x) for x in found], dtype=np.int64)
+                base = np.array([keys.get(x) or keys.setdefault(x, xxhash.xxh3_64_intdigest(x) or 1) for words in found for x in words], dtype=np.uint64)
+                own = np.repeat(np.arange(len(n)), n + 1)
+                gone = np.arange(len(own)) - (np.cumsum(n + 1) - n - 1)[own] - 1
+                v, w = (variant_hashes(base, n, s).view(np.int64) for s in salts)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(gone.astype(np.int32)), pa.array(docs[at : at + LINES_AT_ONCE][own]), pa.array(lines_[at : at + LINES_AT_ONCE][own])], names=["v", "w", "gone", "doc_id", "line"])
+
+    return near.select("doc_id", "line", "words").mapInArrow(run, "v long, w long, gone int, doc_id long, line int")
 
 
 def within_one(x: list[bytes], y: list[bytes]) -> bool:
@@ -136,18 +152,15 @@ def _verified(x, y):
     return pd.Series([within_one(a.split(), b.split()) for a, b in zip(x, y)], dtype=bool)
 
 
-def _with_few(documents: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """Join with rows (doc_id, list of lines): broadcast while the lists are counted to be small, else a shuffle."""
-    lists = cut(lists)
-    items = lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0))).first()[0]
-    return documents.join(lists.hint("broadcast" if items <= BROADCAST_ROWS else "shuffle_hash"), "doc_id", how)
-
-
 def decisions(documents: DataFrame) -> DataFrame:
     """(doc_id, drops array<struct<line, near>>): the lines to drop, for documents that have any."""
-    every = lines(documents)
-    first = cut(every.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("ends").alias("ends")))
-    exact = every.select("a", "b", F.struct("doc_id", "line").alias("at")).join(first.select("a", "b", "first").hint("merge"), ["a", "b"]).where("at <> first").select("at.doc_id", "at.line", F.lit(False).alias("near"))
+    every = cut(lines(documents))
+    place = F.struct("doc_id", "line")
+    # each text sends a line once; what it repeats within itself goes anyway
+    once = every.where(~F.col("again"))
+    first = cut(once.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("ends").alias("ends"), F.count("*").alias("n")))
+    repeated = once.select("a", "b", place.alias("at")).join(first.where("n > 1").select("a", "b", "first").hint("merge"), ["a", "b"]).where("at <> first").select("at.doc_id", "at.line")
+    exact = every.where("again").select("doc_id", "line").unionByName(repeated).withColumn("near", F.lit(False))
 
     ends = first.select("first", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").count().where("count > 1").select("end")
@@ -156,30 +169,31 @@ def decisions(documents: DataFrame) -> DataFrame:
     def start():
         def run(cols):
             out: dict = {"doc_id": [], "line": [], "words": []}
-            for doc, text, wanted in zip(cols["doc_id"], cols["text"], cols["wanted"]):
-                have = (text or "").encode().lower().split(b"\n")
+            for doc, text, wanted in zip(cols["doc_id"], cols["utf8"], cols["wanted"]):
+                have = text.lower().split(b"\n")
                 for i in wanted:
+                    # another text of this doc_id may be shorter, or have no words there
                     if i < len(have) and (words := have[i].split()):
                         out["doc_id"].append(doc), out["line"].append(i), out["words"].append(b" ".join(words))
             return out
 
         return run
 
-    near = cut(map_columns(_with_few(documents.select("doc_id", "text"), likely, "wanted"), "doc_id long, line int, words binary", start))
+    near = cut(map_columns(join_few(documents.select("doc_id", utf8()), likely, "doc_id"), "doc_id long, line int, words binary", start))
     variants = _variants(near)
     met = variants.groupBy("v").count().where("count > 1").select("v")
-    rows = variants.join(met.hint("merge"), "v", "left_semi").withColumn("at", F.struct("doc_id", "line"))
+    rows = cut(variants.join(met.hint("merge"), "v", "left_semi").withColumn("at", place).drop("doc_id", "line"))
     whole = F.col("gone") < 0
     same = rows.where(~whole).groupBy("v", "w", "gone").agg(F.min("at").alias("other"))
     across = rows.groupBy("v", "w").agg(F.min(F.when(whole, F.col("at"))).alias("line_itself"), F.min(F.when(~whole, F.col("at"))).alias("longer"))
     replaced = rows.where(~whole).join(same.hint("merge"), ["v", "w", "gone"]).select("at", "other")
     moved = rows.join(across.hint("merge"), ["v", "w"]).select("at", F.when(whole, F.col("longer")).otherwise(F.col("line_itself")).alias("other"))
     earlier = replaced.unionByName(moved).where("other < at").groupBy("at").agg(F.min("other").alias("other"))
-    text = near.select(F.struct("doc_id", "line").alias("at"), "words").dropDuplicates(["at"])
+    text = near.select(place.alias("at"), "words").dropDuplicates(["at"])
     pairs = earlier.join(text.hint("merge"), "at").join(text.select(F.col("at").alias("other"), F.col("words").alias("others")).hint("merge"), "other")
     close = pairs.where(_verified("words", "others")).select(F.col("at").alias("first"))
     # all copies of a line that has an earlier neighbour: the copies after the first go anyway
-    return exact.unionByName(close.select("first.doc_id", "first.line", F.lit(True).alias("near"))).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("line", "near"))).alias("drops"))
+    return exact.unionByName(close.select("first.doc_id", "first.line", F.lit(True).alias("near"))).groupBy("doc_id").agg(F.collect_set(F.struct("line", "near")).alias("drops"))
 
 
 @F.pandas_udf(StringType())
@@ -201,13 +215,14 @@ def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
     names, kinds = documents.columns, dict(documents.dtypes)
     if "text" not in names or "doc_id" not in names:
         raise ValueError("documents needs doc_id and text")
-    joined = _with_few(documents, drops.select("doc_id", F.col("drops.line").alias("corpusloom_gone")), "corpusloom_gone", "left")
-    some = F.col("corpusloom_gone").isNotNull() & F.col("text").isNotNull()
-    new = joined.withColumn("corpusloom_new", _kept(F.when(some, F.col("text")), F.col("corpusloom_gone"))).where(~some | F.col("corpusloom_new").isNotNull())
-    out = {"text": F.when(some, F.col("corpusloom_new")).otherwise(F.col("text"))}
+    gone, new = unused("gone", names), unused("new", names)
+    joined = join_few(documents, drops.select("doc_id", F.col("drops.line").alias(gone)), "doc_id", "left")
+    some = F.col(gone).isNotNull() & F.col("text").isNotNull()
+    changed = joined.withColumn(new, _kept(F.when(some, F.col("text")), F.col(gone))).where(~some | F.col(new).isNotNull())
+    out = {"text": F.when(some, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in names:
-        out["n_chars"] = F.when(some, F.length("corpusloom_new").cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return new.select(*[out[c].alias(c) if c in out else F.col(c) for c in names])
+        out["n_chars"] = F.when(some, F.length(new).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
+    return changed.select(*[out[c].alias(c) if c in out else F.col(c) for c in names])
 
 
 def dedup(documents: DataFrame) -> DataFrame:
@@ -217,7 +232,7 @@ def dedup(documents: DataFrame) -> DataFrame:
 def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, n_near, kept_sha256) per document; n_near: those without an equal earlier line."""
     docs = documents.select("doc_id", "text")
-    joined = _with_few(docs, decisions(docs), "drops", "left")
+    joined = join_few(docs, decisions(docs), "doc_id", "left")
     fields = "doc_id long, n_lines long, n_dropped long, n_near long, kept_sha256 string"
 
     def start():

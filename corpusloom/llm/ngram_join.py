@@ -5,24 +5,29 @@ hard: unrelated ones are all about 1 apart, every document then lies in the wind
 and plain Voronoi regions hold everything. So the outermost regions are cells in slices of the
 shingle space, and documents are pivots inside them:
 
-1. Equal sets are one point (a 128-bit fingerprint); the smallest doc_id stands for them.
+1. Equal sets are one point, whatever their doc_ids (a 128-bit fingerprint of the content).
 2. Two sets of close sizes within the radius differ in fewer than ``m`` shingles. Cut the shingle
    space into ``m`` slices: in one at least, both are at distance 0. A point goes into the cell of
    its content in every slice, for its size level and where the bound on sizes asks for it for the
    level below; these windows are complete by counting.
    Points that share cells, directly or over others, are a region; every close pair lies in one.
-3. A region joins recursively. In a large one ``PIVOTS`` of its points are pivots; all exact
-   distances to them are taken, and those within the radius are links. Each point goes to its
-   nearest pivot's Voronoi region, and to every other whose distance is within twice the radius of
-   that. In a region, points within the radius of the pivot are linked through it; the rest goes
-   on, with those of the ball that the triangle inequality lets be their partners. A region that
-   wouldn't shrink so is cut into blocks, each two of which are a region. Regions of at most
-   ``LEAF`` points are joined exactly in a task, without pairs that links connect already.
-4. Links become components by star contraction.
+3. A region joins recursively. ``PIVOTS`` of its points are pivots; all exact distances to them are
+   taken, and those within the radius are links. Each point goes to its nearest pivot's Voronoi
+   region, and to every other whose distance is within twice the radius of that. In a region,
+   points within the radius of the pivot are linked through it; the rest goes on, with those of the
+   ball that the triangle inequality lets be their partners. Spark does these steps over regions of
+   more than ``LEAF`` points; smaller ones lie in one task, which goes on in the same way down to
+   ``FEW`` points, joined exactly.
+4. Pivots don't thin out a region whose points are all about equally far apart, as texts are that
+   share a long passage. In a task such a region is joined exactly at once. A larger one is parted by
+   its own rarest shingles: two close sets share one of their first ``n - ceil(t n) + 1`` in the
+   order of frequency within the region. Where that fails too, it is cut into blocks, each two of
+   which are a region; that is quadratic in such a region, but complete.
+5. Links become components by star contraction.
 
 Defined results: a null or blank text has no shingles and is its own component; a null doc_id keeps
 a null component; repeated rows get the same one. doc_id is the key: where different texts share
-one, the links of all of them are its links.
+one, the links of all of them are its links, and n_shingles is each row's own.
 """
 
 from __future__ import annotations
@@ -41,10 +46,14 @@ WORDS = 3
 LEVEL = 1.37
 
 
-#: A region of at most so many points is a leaf: one task takes all its sets.
+#: A region of at most so many points lies in one task.
 LEAF = 2_000
-#: Pivots of a larger region.
+#: Pivots of a region.
 PIVOTS = 4
+#: Points that are compared with each other without pivots.
+FEW = 8
+#: Pivots thin a region out if they send each of its points to fewer regions than this, on average.
+THIN = 1.5
 #: Bits of a leaf's sketches.
 SKETCH = 1024
 
@@ -119,46 +128,64 @@ def cells(hashes: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def _signed(x: np.ndarray) -> int:
+    return int(x.sum(dtype=np.uint64).view(np.int64))
+
+
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two longs that tell sets apart."""
+    return _signed(_mix(hashes)), _signed(_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
+
+
 def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
     def start():
         known: dict = {}
         levels = Levels(per_cent)
 
         def run(cols):
-            out: dict = {k: [] for k in ("doc_id", "n", "a", "b", "cells")}
-            for doc, text in zip(cols["doc_id"], cols["utf8"]):
+            out: dict = {k: [] for k in ("row", "doc_id", "n", "a", "b", "cells")}
+            for row, doc, text in zip(cols["row"], cols["doc_id"], cols["utf8"]):
                 if len(known) > 500_000:
                     known.clear()
                 s = shingle_set(text, known, words)
-                one, two = _mix(s), _mix(s ^ np.uint64(0x5851F42D4C957F2D))
-                out["doc_id"].append(doc), out["n"].append(len(s)), out["cells"].append(cells(s, levels) if doc is not None else [])
-                out["a"].append(int(one.sum(dtype=np.uint64).view(np.int64))), out["b"].append(int(two.sum(dtype=np.uint64).view(np.int64)))
+                a, b = fingerprint(s)
+                out["row"].append(row), out["doc_id"].append(doc), out["n"].append(len(s)), out["cells"].append(cells(s, levels) if doc is not None else [])
+                out["a"].append(a), out["b"].append(b)
             return out
 
         return run
 
-    return map_columns(documents.select("doc_id", utf8()), "doc_id long, n long, a long, b long, cells array<long>", start)
+    return map_columns(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", utf8()), "row long, doc_id long, n long, a long, b long, cells array<long>", start)
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(x, shingles) of the wanted points (x, doc_id, a, b); of the texts of a doc_id, the one with the point's fingerprint."""
+
     def start():
         known: dict = {}
 
         def run(cols):
             if len(known) > 500_000:
                 known.clear()
-            return {"doc_id": cols["doc_id"], "shingles": [shingle_set(t, known, words).view(np.int64) for t in cols["utf8"]]}
+            out: dict = {"x": [], "shingles": []}
+            for text, points in zip(cols["utf8"], cols["points"]):
+                s = shingle_set(text, known, words)
+                own = fingerprint(s)
+                for p in points:
+                    if (p["a"], p["b"]) == own:
+                        out["x"].append(p["x"]), out["shingles"].append(s.view(np.int64))
+            return out
 
         return run
 
-    few = join_few(documents.select("doc_id", utf8()), wanted, "doc_id", "left_semi")
-    return map_columns(few, "doc_id long, shingles array<long>", start).dropDuplicates(["doc_id"])
+    few = join_few(documents.select("doc_id", utf8()), wanted.groupBy("doc_id").agg(F.collect_list(F.struct("x", "a", "b")).alias("points")), "doc_id")
+    return map_columns(few, "x long, shingles array<long>", start).dropDuplicates(["x"])
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(p, x, inter, total) for distinct pairs."""
-    x = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("xs"))
-    p = sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("ps"))
+    x = sets.select("x", F.col("shingles").alias("xs"))
+    p = sets.select(F.col("x").alias("p"), F.col("shingles").alias("ps"))
 
     def start():
         def run(cols):
@@ -170,28 +197,77 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_columns(pairs.join(x.hint("merge"), "x").join(p.hint("merge"), "p").select("p", "x", "xs", "ps"), "p long, x long, inter long, total long", start)
 
 
-def _leaf_links(ids: list[int], sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
-    """Links that connect what is close among a few sets. Pairs that earlier links connect already need no look."""
-    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets])
-    label = np.arange(len(ids))
-    # one bit for the parity of the hashes that fall on it: as many bits differ as elements do, at most
-    bits = np.stack([np.packbits((np.bincount((s.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.uint64) for s in sets])
-    out = []
-    for i in range(len(ids) - 1):
-        end = int(np.searchsorted(sizes, sizes[i] * 100 // per_cent, side="right"))
-        rest = np.arange(i + 1, end)
-        rest = rest[label[rest] != label[i]]
-        if len(rest):
-            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
-            for j in rest[differ * (100 + per_cent) <= (sizes[rest] + sizes[i]) * (100 - per_cent)]:
-                if label[i] != label[j]:
-                    inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * inter >= per_cent * (sizes[i] + sizes[j] - inter):
-                        out.append((ids[i], ids[j]))
-                        label[label == label[j]] = label[i]
-    return out
+class Leaf:
+    """A region in one task: ``links`` connects what is close among its points. Pairs that earlier links connect already need no look."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], per_cent: int):
+        order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+        self.ids, self.sets, self.per_cent = [ids[i] for i in order], [sets[i].view(np.uint64) for i in order], per_cent  # in which order they are sorted
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.label = np.arange(len(ids))
+        self.found: list[tuple[int, int]] = []
+        self.sketches: np.ndarray | None = None
+
+    def _link(self, i: int, j: int) -> None:
+        if self.label[i] != self.label[j]:
+            self.found.append((self.ids[i], self.ids[j]))
+            self.label[self.label == self.label[j]] = self.label[i]
+
+    def _close(self, inter, i, j):
+        return 100 * inter >= self.per_cent * (self.sizes[i] + self.sizes[j] - inter)
+
+    def _together(self, pivot: int, at: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pivot's set with others."""
+        own, every = self.sets[pivot], np.concatenate([self.sets[i] for i in at])
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        return np.add.reduceat((own[place] == every).astype(np.int64), np.cumsum(self.sizes[at]) - self.sizes[at])
+
+    def _exactly(self, at: np.ndarray) -> None:
+        """All pairs, smaller sets first, by sketches and then in full."""
+        if self.sketches is None:
+            # one bit for the parity of the hashes that fall on it: as many bits differ as elements do, at most
+            self.sketches = np.stack([np.packbits((np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.uint64) for s in self.sets])
+        at = np.sort(at)  # by size
+        for k, i in enumerate(at[:-1]):
+            rest = at[k + 1 : int(np.searchsorted(self.sizes[at], self.sizes[i] * 100 // self.per_cent, side="right"))]
+            rest = rest[self.label[rest] != self.label[i]]
+            if len(rest):
+                differ = np.bitwise_count(self.sketches[rest] ^ self.sketches[i]).sum(axis=1)
+                for j in rest[differ * (100 + self.per_cent) <= (self.sizes[rest] + self.sizes[i]) * (100 - self.per_cent)]:
+                    if self.label[i] != self.label[j] and self._close(len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)), i, j):
+                        self._link(i, j)
+
+    def links(self) -> list[tuple[int, int]]:
+        radius = 1 - self.per_cent / 100 + 1e-12
+        open_ = [np.arange(len(self.ids))]
+        while open_:
+            at = open_.pop()
+            if len(at) < 2 or (self.label[at] == self.label[at[0]]).all():
+                continue
+            if len(at) <= FEW:
+                self._exactly(at)
+                continue
+            pivots, rest, far = [], at, []
+            for _ in range(PIVOTS):  # each next one is the farthest from those before
+                p = rest[np.argmax(np.min(far, axis=0))] if far else rest[len(rest) // 2]
+                keep = rest != p
+                far, rest = [d[keep] for d in far], rest[keep]
+                inter = self._together(p, rest)
+                far.append(1 - inter / (self.sizes[rest] + self.sizes[p] - inter))
+                pivots.append(p)
+                for j in rest[self._close(inter, rest, p)]:
+                    self._link(p, j)
+            d = np.array(far)  # pivots are done: each was compared with all that were left
+            homes = d <= d.min(axis=0) + 2 * radius
+            if homes.sum() > THIN * len(rest):
+                self._exactly(rest)
+                continue
+            for i in range(PIVOTS):
+                mine, own = rest[homes[i]], d[i][homes[i]]
+                outer = own[own > radius]
+                if len(outer):
+                    open_.append(mine[own >= outer.min() - radius])
+        return self.found
 
 
 def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -201,7 +277,7 @@ def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         import pyarrow as pa
 
         def close(ids, shingles):
-            got = _leaf_links(ids, shingles, per_cent) if len(ids) > 1 else []
+            got = Leaf(ids, shingles, per_cent).links() if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         now, ids, shingles = None, [], []
@@ -215,7 +291,7 @@ def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 shingles.append(lists[k].values.to_numpy())
         yield close(ids, shingles)
 
-    rows = regions.join(sets.select(F.col("doc_id").alias("x"), "shingles").hint("merge"), "x").select("region", "x", "shingles")
+    rows = regions.join(sets.hint("merge"), "x").select("region", "x", "shingles")
     parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "u long, v long")
 
@@ -235,33 +311,41 @@ def _split(regions: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFram
     measured = rest.join(pivots.select("region", "p").hint("merge"), "region").join(d.hint("merge"), ["p", "x"])
     near = measured.groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("to"))  # PIVOTS entries
     near = near.withColumn("homes", F.filter("to", lambda t: t["d"] <= F.array_min(F.col("to.d")) + 2 * radius))
-    split = near.groupBy("region").agg((F.sum(F.size("homes")) * 2 <= F.count("*") * 3).alias("split"))
+    split = near.groupBy("region").agg((F.sum(F.size("homes")) <= THIN * F.count("*")).alias("split"))
     placed = near.join(split.hint("merge"), "region").select("region", "x", F.explode(F.when(F.col("split"), F.col("homes")).otherwise(F.slice("to", 1, 1))).alias("h"))
     cells_ = cut(placed.select(F.xxhash64("region", "h.p").alias("region"), "x", F.col("h.d").alias("d")))
     out = cells_.groupBy("region").agg(F.min(F.when(F.col("d") > radius, F.col("d"))).alias("nearest_out")).where("nearest_out is not null")
     return found, cells_.join(out.hint("merge"), "region").where(F.col("d") >= F.col("nearest_out") - radius).select("region", "x")
 
 
+def _by_rare_shingles(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Regions that pivots don't thin out, parted by shingles: (region, x) for each of the rarest of x, rare by its count within the region."""
+    rows = regions.join(sets.hint("merge"), "x").select("region", "x", F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("region", "shingle").agg(F.count("*").alias("times"))
+    ranked = rows.join(counts.hint("merge"), ["region", "shingle"]).groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order"))  # a set's own shingles
+    n = F.size("order")
+    first = F.explode(F.slice("order", F.lit(1), (n - F.ceil(n * per_cent / 100) + 1).cast("int"))).alias("rare")
+    return ranked.select("region", "x", first).where("rare.times > 1").select(F.xxhash64("region", "rare.shingle").alias("region"), "x")
+
+
 def _blocks(regions: DataFrame) -> DataFrame:
-    """Regions that pivots don't thin out: every two blocks of their points, as regions small enough for leaves."""
+    """Regions that nothing thins out: every two blocks of their points, as regions small enough for one task."""
     sized = regions.join(regions.groupBy("region").agg(F.ceil(F.count("*") * 4 / LEAF).cast("int").alias("k")).hint("merge"), "region")
     mine = sized.withColumn("b", F.pmod(F.xxhash64(F.lit(5), "x"), F.col("k")).cast("int"))
     pair = mine.select("region", "x", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     return pair.select(F.xxhash64("region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "x")
 
 
-def links(documents: DataFrame, digests: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
-    """Links (u, v) between representatives of different sets; their components are those of all close pairs."""
-    points = digests.where("n > 0 and doc_id is not null")
-    classes = points.groupBy("a", "b").agg(F.min("doc_id").alias("x"))
+def links(documents: DataFrame, points: DataFrame, classes: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
+    """Links (u, v) between points, by their ``x``; their components are those of all close pairs."""
     keyed = points.select(F.explode("cells").alias("cell"), "a", "b")
     crowded = keyed.groupBy("cell").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("cell")
     shared = cut(keyed.join(crowded.hint("merge"), "cell", "left_semi").distinct().join(classes.hint("merge"), ["a", "b"]).select("cell", "x"))
     stars = shared.join(shared.groupBy("cell").agg(F.min("x").alias("p")).hint("merge"), "cell").where("x <> p").select(F.col("p").alias("u"), F.col("x").alias("v")).distinct()
     regions = cut(components(stars).select(F.col("component").alias("region"), F.col("node").alias("x")))
-    sets = cut(_sets(documents, regions.select(F.col("x").alias("doc_id")), words))
-    regions = regions.join(sets.select(F.col("doc_id").alias("x")).hint("merge"), "x", "left_semi")
-    found = None
+    wanted = classes.join(regions.select("x").hint("merge"), "x", "left_semi").select("x", "doc_id", "a", "b")
+    sets = cut(_sets(documents, wanted, words))
+    found, parted = None, False
     while True:
         sized = cut(regions.join(regions.groupBy("region").agg(F.count("*").alias("n")).hint("merge"), "region").where("n > 1"))
         small = cut(_leaves(sized.where(F.col("n") <= LEAF).select("region", "x"), sets, per_cent))
@@ -271,17 +355,27 @@ def links(documents: DataFrame, digests: DataFrame, per_cent: int = PER_CENT, wo
         if not before:
             return found
         more, left = _split(large, sets, per_cent)
-        found, left = found.unionByName(more), cut(left)
-        regions = left if left.count() <= 0.6 * before else _blocks(left)
+        found, regions = found.unionByName(more), cut(left)
+        if regions.count() > 0.6 * before:
+            regions = _blocks(regions) if parted else cut(_by_rare_shingles(regions, sets, per_cent))
+            parted = True
 
 
 def join(documents: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     digests = cut(_digests(documents, per_cent, words))
-    linked = components(links(documents, digests, per_cent, words))
-    classes = digests.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("x"))
-    named = classes.join(linked.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").select("a", "b", F.coalesce("component", "x").alias("component"))
-    some = digests.where("n > 0 and doc_id is not null").join(named.hint("merge"), ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    points = digests.where("n > 0 and doc_id is not null")
+    classes = cut(points.groupBy("a", "b").agg(F.min("row").alias("x"), F.min("doc_id").alias("doc_id")))
+    named = cut(points.select("doc_id", "n", "a", "b").join(classes.select("a", "b", "x").hint("merge"), ["a", "b"]).select("doc_id", "n", "x"))
+    # the texts of one doc_id hold together
+    same = named.groupBy("doc_id").agg(F.min("x").alias("u"), F.max("x").alias("last")).where("u < last").select("doc_id", "u")
+    held = named.join(same.hint("merge"), "doc_id").select("u", F.col("x").alias("v"))
+    linked = cut(components(links(documents, points, classes, per_cent, words).unionByName(held)))
+    least = linked.join(classes.select(F.col("x").alias("node"), "doc_id").hint("merge"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = linked.join(least.hint("merge"), "component").select(F.col("node").alias("x"), "component_id")
+    alone = classes.select("x", F.col("doc_id").alias("least"))
+    component = alone.join(of.hint("merge"), "x", "left").select("x", F.coalesce("component_id", "least").alias("component_id"))
+    some = named.join(component.hint("merge"), "x").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(digests.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -110,6 +110,53 @@ def test_ngram_join_is_exact(make, monkeypatch, leaf, per_cent, words):
     assert got == brute_components(texts, per_cent, words)
 
 
+def test_ngram_join_holds_the_texts_of_a_doc_id_together(make):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    got = ngram_join.join(make([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "other words"), (None, a)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+
+
+def test_texts_that_share_a_long_passage(make, monkeypatch):
+    """All about equally far apart: pivots thin nothing out, in a task or in Spark."""
+    r, passage = random.Random(8), " ".join(f"p{i}" for i in range(40))
+    texts = {d: passage + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for d in range(60)}
+    for d in range(60, 80):
+        texts[d] = texts[d - 60].rsplit(" ", 1)[0] + " end"
+    for leaf in (2000, 10):
+        monkeypatch.setattr(ngram_join, "LEAF", leaf)
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.join(make(list(texts.items())), 80, 5).collect()}
+        assert got == brute_components(texts, 80, 5)
+
+
+def test_regions_in_a_task_are_exact():
+    r = random.Random(6)
+    for per_cent in (90, 60):
+        bases = [[r.randrange(1 << 60) for _ in range(r.choice([5, 40, 120]))] for _ in range(10)]
+        sets = []
+        for _ in range(300):
+            s = list(r.choice(bases))
+            for _ in range(r.choice([0, 1, 2, 8])):
+                s[r.randrange(len(s))] = r.randrange(1 << 60)
+            sets.append(np.unique(np.array(s, dtype=np.uint64)))
+        parent = list(range(300))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in ((i, j) for i in range(300) for j in range(i)):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= per_cent * (len(sets[i]) + len(sets[j]) - inter):
+                parent[root(i)] = root(j)
+        want = {frozenset(i for i in range(300) if root(i) == k) for k in range(300)} - {frozenset()}
+        parent = list(range(300))
+        for u, v in ngram_join.Leaf(list(range(300)), sets, per_cent).links():
+            parent[root(u)] = root(v)
+        assert {frozenset(i for i in range(300) if root(i) == k) for k in range(300)} - {frozenset()} == want
+
+
 # --- decontamination
 
 

@@ -1,12 +1,17 @@
 """LM scoring: a gated recurrent language model in numpy with a class-factored softmax.
 
 Token counts cover all training documents. The most frequent ``WORDS`` tokens have a place in the
-network, in classes of ``CLASS`` by frequency; all others share one class in which their smoothed
-counts share out the probability, so the model is a distribution over every token and the unseen one.
-It starts as the unigram model: biases are the logs of the counts. Tasks train copies of it by
-truncated backpropagation over all training documents, dealt among as many tasks as their tokens
-need, and their parameters are averaged in Spark. Documents are scored whole: the hidden state is
-carried from window to window.
+network's output, in classes of ``CLASS`` by frequency; the most frequent ``OWN`` of them have an
+input vector of their own, the others share as many hashed ones. All other tokens share one class in
+which their smoothed counts share out the probability, so the model is a distribution over every
+token and the unseen one. It starts as the unigram model: biases are the logs of the counts.
+
+Training takes every training document once. A hash deals them into slices of about ``SLICE``
+tokens in a fixed order; a task trains a copy of the network on a slice by truncated
+backpropagation, and the copies' parameters are averaged in Spark. With many slices this goes in
+rounds, each from the average of the last. Neither the number of partitions nor a repeated task
+changes what a slice holds. Documents are scored whole: the hidden state is carried from window to
+window.
 
 Counts of frequent tokens (``HEAD``) are broadcast; all others are looked up in a join.
 
@@ -27,10 +32,17 @@ from pyspark.sql import functions as F
 from .common import cut, map_columns, utf8
 
 HEAD = 200_000
-WORDS, CLASS, HIDDEN = 1024, 32, 24
-WINDOW, LANES = 24, 32
-#: Training tokens that one task takes, so that tasks grow in number with the corpus.
-TASK_TOKENS = 4_000_000
+WORDS, CLASS, HIDDEN = 4096, 64, 24
+#: Words with an input vector of their own; as many more are shared.
+OWN = 1024
+#: Time steps of a window; streams side by side, fewer where a slice would have less than STEPS windows else.
+WINDOW, LANES, STEPS = 24, 512, 128
+#: Training tokens of a slice, which one task takes, so that tasks grow in number with the corpus.
+SLICE = 4_000_000
+#: Rounds of averaging, at most, and slices that a round takes at least.
+ROUNDS, ROUND_SLICES = 4, 12
+#: Documents whose states go on side by side in scoring, and states whose outputs are taken at once.
+TOGETHER, ROWS = 4096, 6144
 #: The key of the end token; no word has it.
 END = 0
 PIECE = 1 << 20
@@ -54,16 +66,24 @@ def words_of(text: bytes):
     yield text[at:].lower().split()
 
 
+class _Next(dict):
+    """Keys numbered as they are met."""
+
+    def __missing__(self, key):
+        got = self[key] = len(self)
+        return got
+
+
 class Numbers:
     """Numbers for the distinct words of a batch, with their keys."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
+        self.number = _Next()
 
     def of(self, text: bytes) -> np.ndarray:
         number, out = self.number, []
         for words in words_of(text):
-            out.append(np.array([number[w] if w in number else number.setdefault(w, len(number)) for w in words], dtype=np.int32))
+            out.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
         return np.concatenate(out)
 
     def keys(self) -> np.ndarray:
@@ -91,7 +111,19 @@ def token_counts(documents: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log P at the places asked, the exponentials and their sums; states lie in (-1, 1), which bounds the logits."""
+    logits = states @ weights
+    logits += bias
+    if float((np.abs(weights).sum(axis=0) + bias).max(initial=0)) > 80:
+        logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    return picked - np.log(total), logits, total
 
 
 class Network:
@@ -109,10 +141,12 @@ class Network:
         with np.errstate(divide="ignore"):
             inner = np.where(padded > 0, np.log(np.maximum(padded, 1e-12)), -60.0)
         self.p = {
-            "table": r.normal(0, 0.1, (m + 1, 3 * h)), "u": r.normal(0, 1 / np.sqrt(h), (h, 3 * h)), "wc": np.zeros((h, self.classes)), "bc": np.log(mass / mass.sum()),
+            "table": r.normal(0, 0.1, (2 * OWN, 3 * h)), "u": r.normal(0, 1 / np.sqrt(h), (h, 3 * h)), "wc": np.zeros((h, self.classes)), "bc": np.log(mass / mass.sum()),
             "ww": np.zeros((self.classes - 1, h, CLASS)), "bw": inner.reshape(-1, CLASS),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        place = np.arange(m + 1, dtype=np.int64)
+        self.row = np.where(place < OWN, place, OWN + place * 2654435761 % OWN)  # the input vector of each place
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -124,6 +158,7 @@ class Network:
             at += v.size
 
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple:
+        """One time step from rows of input vectors."""
         h, p = HIDDEN, self.p
         given, fed = p["table"][x], state @ p["u"]
         zr = _sigmoid(given[:, : 2 * h] + fed[:, : 2 * h])
@@ -136,42 +171,43 @@ class Network:
         p, n = self.p, len(target)
         group = np.minimum(target // CLASS, self.classes - 1)
         group[target >= self.words] = self.classes - 1
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
-        out = logits[np.arange(n), group] - np.log(s)
+        out, e, total = _log_softmax(states, p["wc"], p["bc"], group)
         back = None
         if gradient is not None:
-            d = e / s[:, None]
-            d[np.arange(n), group] -= 1
-            gradient["wc"] += states.T @ d
-            gradient["bc"] += d.sum(axis=0)
-            back = d @ p["wc"].T
+            e /= total[:, None]
+            e[np.arange(n), group] -= 1
+            gradient["wc"] += states.T @ e
+            gradient["bc"] += e.sum(axis=0)
+            back = e @ p["wc"].T
         order = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[order], np.arange(self.classes + 1))
+        sorted_states = states[order]
         for g in range(self.classes - 1):
-            rows = order[edges[g] : edges[g + 1]]
-            if len(rows):
-                x = states[rows]
-                logits = x @ p["ww"][g] + p["bw"][g]
-                logits -= logits.max(axis=1, keepdims=True)
-                e = np.exp(logits)
-                s = e.sum(axis=1)
-                at = (np.arange(len(rows)), target[rows] - g * CLASS)
-                out[rows] += logits[at] - np.log(s)
+            begin, end = edges[g], edges[g + 1]
+            if begin < end:
+                rows, x = order[begin:end], sorted_states[begin:end]
+                at = target[rows] - g * CLASS
+                own, e, total = _log_softmax(x, p["ww"][g], p["bw"][g], at)
+                out[rows] += own
                 if gradient is not None:
-                    d = e / s[:, None]
-                    d[at] -= 1
-                    gradient["ww"][g] += x.T @ d
-                    gradient["bw"][g] += d.sum(axis=0)
-                    back[rows] += d @ p["ww"][g].T
+                    e /= total[:, None]
+                    e[np.arange(len(rows)), at] -= 1
+                    gradient["ww"][g] += x.T @ e
+                    gradient["bw"][g] += e.sum(axis=0)
+                    back[rows] += e @ p["ww"][g].T
         return out, back
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural-log probability of each token sequence, window by window with the state carried on; the start is the end token's place."""
         total = np.zeros(len(texts))
         order = np.argsort([-len(t) for t in texts], kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            total[some] = self._score([texts[i] for i in some])
+        return total
+
+    def _score(self, texts: list[np.ndarray]) -> np.ndarray:
+        total, order = np.zeros(len(texts)), np.arange(len(texts))
         lengths = np.array([len(texts[i]) for i in order])
         state, last = np.zeros((len(texts), HIDDEN), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
         for begin in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
@@ -186,16 +222,17 @@ class Network:
                 n = int(np.searchsorted(-left, -t, side="left"))
                 if not n:
                     break
-                state[:n] = self.step(last[:n], state[:n])[-1]
+                state[:n] = self.step(self.row[last[:n]], state[:n])[-1]
                 states.append(state[:n].copy()), targets.append(block[:n, t]), owners.append(order[:n])
                 last[:n] = block[:n, t]
-            got = self.outputs(np.concatenate(states), np.concatenate(targets))[0]
+            every, wanted = np.concatenate(states), np.concatenate(targets)
+            got = np.concatenate([self.outputs(every[k : k + ROWS], wanted[k : k + ROWS])[0] for k in range(0, len(wanted), ROWS)])
             total += np.bincount(np.concatenate(owners), weights=got, minlength=len(texts))
         return total
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
         """Truncated backpropagation through windows of a token stream, cut into lanes that go on side by side; Adam."""
-        lanes = max(1, min(LANES, len(stream) // (4 * WINDOW)))
+        lanes = max(1, min(LANES, len(stream) // (STEPS * WINDOW)))
         width = len(stream) // lanes
         if width < 2:
             return
@@ -205,10 +242,10 @@ class Network:
         steps = range(0, width - 1, WINDOW)
         for number, begin in enumerate(steps, 1):
             x, y = rows[:, begin : min(begin + WINDOW, width - 1)], rows[:, begin + 1 : begin + WINDOW + 1]
-            kept, states = [], []
+            inputs, kept, states = self.row[x], [], []
             for t in range(x.shape[1]):
                 before = state * (x[:, t] != 0)[:, None]  # a new document starts afresh after an end token
-                z, r, n, fed, state = self.step(x[:, t], before)
+                z, r, n, fed, state = self.step(inputs[:, t], before)
                 kept.append((before, z, r, n, fed))
                 states.append(state)
             g = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -226,16 +263,27 @@ class Network:
                 through = np.concatenate([dz, dr, dn * r], axis=1)
                 g["u"] += before.T @ through
                 carried = (d * z + through @ self.p["u"].T) * (x[:, t] != 0)[:, None]
-            flat, at = gates.reshape(-1, 3 * h), x.T.ravel()
+            flat, at = gates.reshape(-1, 3 * h), inputs.T.ravel()
             order = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
             g["table"][at[order][first]] += np.add.reduceat(flat[order], first, axis=0)
-            size, pace = x.size, rate * min(1.0, number / 10)
-            for k in self.p:
-                grad = np.clip(g[k] / size, -1, 1)
-                m1[k] += 0.1 * (grad - m1[k])
-                m2[k] += 0.01 * (grad * grad - m2[k])
-                self.p[k] -= pace * (m1[k] / (1 - 0.9**number)) / (np.sqrt(m2[k] / (1 - 0.99**number)) + 1e-6)
+            pace = np.float32(rate * min(1.0, number / 10) / (1 - 0.9**number))
+            share, spread = np.float32(1 / x.size), np.float32(1 / (1 - 0.99**number))
+            for k, v in self.p.items():
+                grad = g[k]
+                grad *= share
+                np.clip(grad, -1, 1, out=grad)
+                m1[k] *= np.float32(0.9)
+                m1[k] += np.float32(0.1) * grad
+                grad *= grad
+                m2[k] *= np.float32(0.99)
+                m2[k] += np.float32(0.01) * grad
+                np.multiply(m2[k], spread, out=grad)
+                np.sqrt(grad, out=grad)
+                grad += np.float32(1e-6)
+                np.divide(m1[k], grad, out=grad)
+                grad *= pace
+                v -= grad
 
 
 class Model:
@@ -269,20 +317,40 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
     """The model of the training documents, given their token counts."""
     spark = documents.sparkSession
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the frequent tokens by steps of the logarithm of their count, as far down as HEAD has room
+    # the frequent tokens by steps of the logarithm of their count, as far down as HEAD has room; of the next step a hashed share
     step = F.floor(F.log("c") * 16)
-    tall, room = None, HEAD
+    wanted, room = F.lit(False), HEAD
     for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        share = min(1.0, 0.98 * room / row["count"]) if row["count"] > room else 1.0
+        wanted |= (step == row["step"]) & (F.pmod(F.xxhash64(F.lit(3), "token"), F.lit(1 << 20)) < int(share * (1 << 20)))
         room -= row["count"]
-        if room < 0:
+        if room <= 0:
             break
-        tall = row["step"]
-    head = sorted(((r[0], r[1]) for r in counts.where(step >= tall).collect()), key=lambda r: (-r[1], r[0])) if tall is not None else []
+    head = sorted(((r[0], r[1]) for r in counts.where(wanted).collect()), key=lambda r: (-r[1], r[0]))
     end = counts.where(F.col("token") == END).collect()
     model = Model(head if any(t == END for t, _ in head) or not end else [(END, end[0]["c"]), *head[: HEAD - 1]], int(totals[0]), int(totals[1]))
-    shared = spark.sparkContext.broadcast(model)
-    mine = documents.where(~held_out()).select(utf8(), F.xxhash64("doc_id", "text").alias("draw"))
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6, -(-model.total // TASK_TOKENS))
+    if not model.total:
+        return model
+    slices = max(4, -(-model.total // SLICE))
+    rounds = min(ROUNDS, max(1, slices // ROUND_SLICES))
+    mine = documents.where(~held_out()).select(utf8(), F.xxhash64("doc_id", "text").alias("draw")).withColumn("slice", F.pmod("draw", F.lit(slices)).cast("int"))
+    for turn in range(rounds):
+        here = -(-(slices - turn) // rounds)  # slices with this remainder
+        part = mine.where(F.col("slice") % rounds == turn).select("utf8", "draw", F.expr(f"slice div {rounds}").cast("int").alias("slice"))
+        moves = _moves(part.repartitionById(here, F.col("slice")).sortWithinPartitions("slice", "draw"), model)
+        rows = moves.toPandas()  # one number for each parameter of the network, and their weight at -1
+        tokens = rows.loc[rows["at"] < 0, "moved"].sum()
+        rows = rows[rows["at"] >= 0]
+        if tokens:
+            flat = model.network.flat().astype(np.float64)
+            flat[rows["at"].to_numpy(dtype=np.int64)] += np.round(rows["moved"].to_numpy(dtype=np.float64) / tokens, 9)  # sums in any order agree so far
+            model.network.load(flat)
+    return model
+
+
+def _moves(slices: DataFrame, model: Model) -> DataFrame:
+    """(at, moved): for each parameter the sum over slices of how far training moved it, times the slice's tokens; at -1 the tokens."""
+    shared = slices.sparkSession.sparkContext.broadcast(model)  # HEAD counts and the network: a fixed size
 
     def trained(batches):
         import copy
@@ -290,25 +358,29 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
         import pyarrow as pa
 
         m = shared.value
-        stream = [np.zeros(1, dtype=np.int32)]
+
+        def rows(stream):
+            network = copy.deepcopy(m.network)
+            start, tokens = network.flat(), np.concatenate(stream)
+            network.train(tokens)
+            moved = (network.flat() - start).astype(np.float64) * len(tokens)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(moved), dtype=np.int32)), pa.array(np.append(len(tokens), moved))], names=["at", "moved"])
+
+        now, stream = None, []
         for batch in batches:
             numbers = Numbers()
             texts = [numbers.of(t) for t in batch.column(0).to_pylist()]
             place = np.append(m.look_up(numbers.keys())[2], 0).astype(np.int32)
-            stream += [place[np.append(t, -1)] for t in texts]
-        network = copy.deepcopy(m.network)
-        start, tokens = network.flat(), np.concatenate(stream)
-        if len(tokens) > 2 * WINDOW:
-            network.train(tokens)
-            moved = network.flat() - start
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved), dtype=np.int32)), pa.array(moved.astype(np.float64) * len(tokens)), pa.array(np.full(len(moved), len(tokens), dtype=np.int64))], names=["at", "moved", "tokens"])
-
-    moves = mine.repartition(parts, "draw").select("utf8").mapInArrow(trained, "at int, moved double, tokens long").groupBy("at").agg((F.sum("moved") / F.sum("tokens")).alias("moved"))
-    flat = model.network.flat().astype(np.float64)
-    rows = moves.toPandas()  # one number for each parameter of the network
-    flat[rows["at"].to_numpy(dtype=np.int64)] += rows["moved"].to_numpy(dtype=np.float64)
-    model.network.load(flat)
-    return model
+            for at, t in zip(batch.column(1).to_pylist(), texts):
+                if at != now:
+                    if stream:
+                        yield rows(stream)
+                    now, stream = at, [np.zeros(1, dtype=np.int32)]
+                stream.append(place[np.append(t, -1)])
+        if stream:
+            yield rows(stream)
+
+    return slices.select("utf8", "slice").mapInArrow(trained, "at int, moved double").groupBy("at").agg(F.sum("moved").alias("moved"))
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

@@ -266,6 +266,18 @@ def test_every_training_document_trains_the_network(make):
     assert any(r["held_out"] for r in got) and all(r["score"] > r["base_score"] + 5 for r in got)
 
 
+def test_the_score_depends_on_no_partitioning(make):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["red", "green", "blue", "black", f"w{r.randrange(50)}"]) for _ in range(r.randrange(400)))) for i in range(120)]
+    one, other = ({x["doc_id"]: x["score"] for x in language_model.fit_and_score(d).collect()} for d in (make(rows).repartition(1), make(rows[::-1]).repartition(7)))
+    assert one == pytest.approx(other, rel=1e-6)
+
+
+def test_the_network_tells_more_than_counts_on_held_out_texts(docs):
+    got = [r for r in language_model.fit_and_score(docs).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
 # --- sharding
 
 

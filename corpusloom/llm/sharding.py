@@ -22,14 +22,15 @@ SHARDS = 40
 SEED = 20_250
 
 
-def _ranked(rows: DataFrame, order: list[str], within: list[str], rank: str) -> DataFrame:
-    """``rows`` with their rank from 1 by ``order``, whose first columns are ``within``, among rows that agree in those."""
+def _ranked(rows: DataFrame, order: list[str], within: list[str], rank: str, size: str) -> DataFrame:
+    """``rows`` with their ``rank`` from 1 by ``order``, whose first columns are ``within``, among the ``size`` rows that agree in those."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part", *within).count()  # a few rows for each range partition
+    counts = dealt.groupBy("part", *within).agg(F.count("*").alias("here"))  # a few rows for each range partition
     before = W.partitionBy(*within).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("part", *within, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    offsets = counts.select("part", *within, F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(W.partitionBy(*within)).alias(size))
     local = dealt.withColumn("local", F.row_number().over(W.partitionBy("part", *within).orderBy(*order)))
+    # the rows of a large group lie in many parts, so no key is hot
     return local.join(offsets.hint("merge"), ["part", *within]).withColumn(rank, F.col("before") + F.col("local")).drop("part", "before", "local")
 
 
@@ -41,12 +42,10 @@ def assign(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and source per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     small = cut(documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), _size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", text).alias("draw")))
-    ranked = _ranked(small, ["source", "draw", "doc_id"], ["source"], "rank")
-    sizes = small.groupBy("source").agg(F.count("*").alias("n"))
-    placed = ranked.join(sizes.hint("merge"), "source").withColumn("place", (F.col("rank") - 0.5) / F.col("n"))
+    placed = _ranked(small, ["source", "draw", "doc_id"], ["source"], "rank", "n").withColumn("place", (F.col("rank") - 0.5) / F.col("n")).drop("rank", "n")
     total = small.count()
     # one group for the whole order, and a constant that leads it
-    at = _ranked(placed.withColumn("all", F.lit(0)), ["all", "place", "source", "draw", "doc_id"], ["all"], "position")
+    at = _ranked(placed.withColumn("all", F.lit(0)), ["all", "place", "source", "draw", "doc_id"], ["all"], "position", "rows")
     at = at.withColumn("position", F.col("position") - 1)
     shard = F.expr(f"position * {shards} div {max(1, total)}")
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")

@@ -1,7 +1,9 @@
 """Quality rules: a linear-chain conditional random field labels lines content or boilerplate.
 
 The labels judge documents, so every line of a labelled document takes its document's label for
-training; the chain's weights average out what that gets wrong. Viterbi decoding gives each line its
+training; the chain's weights average out what that gets wrong. Such chains never change their label,
+so the transitions learn to stay: decoding then smooths, and a lone odd line goes with its
+neighbours instead of by itself. Viterbi decoding gives each line its
 label, and the share of words in content lines decides, after two plain rules, whether a document
 stays.
 
@@ -23,8 +25,8 @@ from .common import map_columns, utf8
 
 #: Labelled documents that the field is fitted on, at most; a fixed bound, taken in the order of a hash of doc_id.
 FIT_ROWS = 6_000
-#: Training chains are cut to so many lines; decoding takes whole documents.
-CHAIN = 64
+#: Training takes at most CHAINS chains of at most CHAIN lines from a labelled document, spread over it; decoding takes whole documents.
+CHAIN, CHAINS = 64, 4
 CONTENT_SHARE = 0.5
 WINDOW = 8
 
@@ -161,13 +163,21 @@ def train(chains: list[tuple[np.ndarray, int]], steps: int = 120, l2: float = 1e
     return LineField(w[: FEATURES * 2].reshape(FEATURES, 2), w[FEATURES * 2 :].reshape(2, 2))
 
 
+def stretches(features: np.ndarray) -> np.ndarray:
+    """All lines of a document of up to CHAIN * CHAINS lines; of a longer one as many, in chains that lie evenly over it."""
+    n = len(features)
+    if n <= CHAIN * CHAINS:
+        return features
+    return np.concatenate([features[at : at + CHAIN] for at in np.linspace(0, n - CHAIN, CHAINS).astype(int)])
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> LineField | None:
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = documents.select("doc_id", utf8()).join(F.broadcast(chosen), "doc_id").select("utf8", "quality")
 
     def start():
         def run(cols):
-            found = [measure(t)[1] for t in cols["utf8"]]
+            found = [stretches(measure(t)[1]) for t in cols["utf8"]]
             return {"quality": cols["quality"], "features": [f.ravel() for f in found]}
 
         return run

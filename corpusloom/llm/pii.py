@@ -34,7 +34,9 @@ _BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_PART = re.compile(r"\x20?([A-Z0-9]+)")
+IBAN_LENGTHS = (15, 34)
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
@@ -50,6 +52,27 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Codes of 15 to 34 characters whose checksum holds: of the ends that a start can have, the last that passes, so words behind a code don't hide it."""
+    out, reach = [], 0
+    for m in _IBAN.finditer(text):
+        if m.start() < reach:
+            continue
+        code, at, best = m[0], m.end(), None
+        while len(code) <= IBAN_LENGTHS[1]:
+            part = _IBAN_PART.match(text, at)
+            if not part:
+                break
+            code, at = code + part[1], part.end()
+            whole = at == len(text) or not (text[at].isascii() and text[at].isalnum())
+            if whole and IBAN_LENGTHS[0] <= len(code) <= IBAN_LENGTHS[1] and mod97(code):
+                best = at
+        if best:
+            out.append((m.start(), best))
+            reach = best
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """What the pattern ``[A-Za-z0-9._%+-]+@domain`` finds, from its @ signs outward, in linear time."""
     out, end, at = [], 0, text.find("@")
@@ -93,10 +116,7 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base += cards
     if "+" in text:
         base += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_NO_DIGIT.sub("", m[0])) <= 15]
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            added.append(("iban", *m.span()))
+    added += [("iban", *x) for x in ibans(text)]
     added += short
     added += [("national", *m.span()) for m in _NATIONAL.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)

@@ -180,6 +180,19 @@ def test_contained_items_are_found(spark, docs, texts):
     assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == set(texts) - want
 
 
+def test_short_items_and_slots_of_other_lengths(make, spark):
+    items = [(1, "what is 5 plus 7 then"), (2, "seven old geese fly north"), (3, "on day 3 Maria buys 1000 red apples for her school and then sells 45 of them to Peter who pays her at once"), (4, "12 34 56")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "pad. What is 8 plus 9 then?"), (2, "where seven old geese fly north today"), (3, "seven old geese"),
+        (4, "so on day 3 Ana Maria buys 1 000 red apples for her school and then sells 45 of them to Jan Peter who pays her at once"),
+        (5, "12 34 56"), (6, "on day 3 Maria buys 1000 green pears"), (7, None),
+        (8, "on day 4 Carla buys 999 red apples for her school and then sells 4 of them to Olaf who pays her at once, and Maria left, and 3 more"),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.report(make(rows), bench).collect()}
+    assert got == {1: "1", 2: "2", 3: "", 4: "3", 5: "", 6: "", 7: "", 8: "3"}
+
+
 def test_short_runs_are_met_at_every_offset(make, spark):
     item = "old clocks tick softly while the keeper sleeps"
     rows = [(i, "pad " * i + item + " end") for i in range(8)]
@@ -296,6 +309,21 @@ def test_shards_are_even_and_mixed(make):
         assert r["size"] == len(t) + 16 and r["text_crc32"] == zlib.crc32(t.encode()) and r["law"] == "rows" and r["grown_shard"] is None
 
 
+def test_positions_are_those_of_the_fractional_ranks(make, spark):
+    from pyspark.sql import functions as F
+
+    rows = make([(i, f"text {i % 50}") for i in range(300)] + [(None, None), (7, "text 7")])
+    got = sharding.assign(rows).collect()
+    draws = rows.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64(F.lit(sharding.SEED), "doc_id", F.coalesce("text", F.lit(""))).alias("draw")).collect()
+    placed = []
+    for source in {r["source"] for r in draws}:
+        own = sorted((r for r in draws if r["source"] == source), key=lambda r: (r["draw"], r["doc_id"] is not None, r["doc_id"] or 0))
+        placed += [((k + 0.5) / len(own), source, r["draw"], r["doc_id"]) for k, r in enumerate(own)]
+    placed.sort(key=lambda p: (*p[:3], p[3] is not None, p[3] or 0))
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == [p[3] for p in placed]
+
+
 # --- toxicity, quality
 
 
@@ -331,6 +359,21 @@ def test_quality_measures(texts):
         assert m == {"n_words": len(w), "word_chars": sum(len(x.decode()) for x in w), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": dup, "n_repeat_words": len(covered)}
 
 
+def test_viterbi_changes_a_verdict(spark):
+    sf = "/root/testdata/sf0.01"
+    field = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    text = "\n".join(["A plain sentence that says what it has to say and ends."] * 3 + ["!!! $$$ BUY | NOW | ### !!!"] + ["Another sentence follows it and is as plain as those before."] * 3)
+    _, features, _ = quality.measure(text.encode())
+    alone = (features @ field.emission).argmax(axis=1)
+    assert field.decode(features).tolist() != alone.tolist()  # line by line another verdict
+
+
+def test_training_lines_of_a_long_document_are_bounded():
+    x = np.arange(10_000, dtype=float)[:, None] * np.ones(quality.FEATURES)
+    got = quality.stretches(x)
+    assert len(got) == quality.CHAIN * quality.CHAINS and got[0, 0] == 0 and got[-1, 0] == 9_999 and len(quality.stretches(x[:200])) == 200
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(3)
     field = quality.LineField(r.normal(size=(quality.FEATURES, 2)), r.normal(size=(2, 2)))
@@ -361,6 +404,10 @@ def test_pii_added_spans():
     assert pii.find("GB83 WEST 1234 5698 7654 32")[1] == []
     assert pii.find("id 078-05-1120")[1] == [] and pii.find("her ssn is 078-05-1120")[1] == [("national", 11, 22)]
     assert pii.find("amex card 378282246310005 ok")[1] == [("shortcard", 10, 25)] and pii.find("no 378282246310005 ok")[1] == []
+    for behind in ("now", "IBAN", "US", ""):
+        assert pii.find(f"AT61 1904 3002 3457 3201 {behind}")[1] == [("iban", 0, 24)]
+    assert pii.find("AT611904300234573201")[1] == [("iban", 0, 20)] and pii.find("AT61 1904 3002 3457 3202 AT61 1904 3002 3457 3201")[1] == [("iban", 25, 49)]
+    assert not pii.find("AB12" * 50_000)[1] and not pii.find("AB12 " * 50_000)[1]
     pii.find("a" * 200_000 + "@" + "1" * 200_000)  # in linear time
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from corpusloom.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
+from corpusloom.llm.common import cut
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -44,8 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply STAGES to the documents of ``sf_dir``."""
+    """Apply STAGES to the documents of ``sf_dir``; every stage but the last is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

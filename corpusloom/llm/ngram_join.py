@@ -42,6 +42,8 @@ from .common import components, cut, join_few, map_columns, utf8
 #: Linked when PER_CENT * union <= 100 * intersection.
 PER_CENT = 90
 WORDS = 3
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 100_000
 #: Sizes of one level go up by this factor; levels a little wider than the bound on sizes give the fewest cells.
 LEVEL = 1.37
 
@@ -145,7 +147,7 @@ def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
         def run(cols):
             out: dict = {k: [] for k in ("row", "doc_id", "n", "a", "b", "cells")}
             for row, doc, text in zip(cols["row"], cols["doc_id"], cols["utf8"]):
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 s = shingle_set(text, known, words)
                 a, b = fingerprint(s)
@@ -165,7 +167,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         known: dict = {}
 
         def run(cols):
-            if len(known) > 500_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             out: dict = {"x": [], "shingles": []}
             for text, points in zip(cols["utf8"], cols["points"]):
@@ -336,13 +338,38 @@ def _blocks(regions: DataFrame) -> DataFrame:
     return pair.select(F.xxhash64("region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "x")
 
 
+def _regions(points: DataFrame) -> DataFrame:
+    """(region, a): points that share cells, directly or over others, by the first half of their fingerprint.
+
+    Nothing is linked yet, so two sets that agree in that half only make a region larger.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        cell = own = None
+        for batch in batches:
+            cells_, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(a):
+                continue
+            same = np.empty(len(a), dtype=bool)
+            same[1:] = (cells_[1:] == cells_[:-1]) & (a[1:] != a[:-1])
+            same[0] = cells_[0] == cell and a[0] != own
+            before = np.append(a[:1] if own is None else [own], a[:-1])
+            pairs = np.unique(np.stack([before[same], a[same]]), axis=1)
+            cell, own = cells_[-1], a[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    # sorted, what shares a cell stands side by side: each is linked with the one before it, and a cell of any size passes through a task as a stream
+    keyed = points.select(F.explode("cells").alias("cell"), "a")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chained = keyed.repartition(parts, "cell").sortWithinPartitions("cell", "a").mapInArrow(run, "u long, v long")
+    return components(chained).select(F.col("component").alias("region"), F.col("node").alias("a"))
+
+
 def links(documents: DataFrame, points: DataFrame, classes: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """Links (u, v) between points, by their ``x``; their components are those of all close pairs."""
-    keyed = points.select(F.explode("cells").alias("cell"), "a", "b")
-    crowded = keyed.groupBy("cell").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("cell")
-    shared = cut(keyed.join(crowded.hint("merge"), "cell", "left_semi").distinct().join(classes.hint("merge"), ["a", "b"]).select("cell", "x"))
-    stars = shared.join(shared.groupBy("cell").agg(F.min("x").alias("p")).hint("merge"), "cell").where("x <> p").select(F.col("p").alias("u"), F.col("x").alias("v")).distinct()
-    regions = cut(components(stars).select(F.col("component").alias("region"), F.col("node").alias("x")))
+    regions = cut(_regions(points).join(classes.select("a", "x").hint("merge"), "a").select("region", "x"))
     wanted = classes.join(regions.select("x").hint("merge"), "x", "left_semi").select("x", "doc_id", "a", "b")
     sets = cut(_sets(documents, wanted, words))
     found, parted = None, False

@@ -122,7 +122,7 @@ def _variants(near: DataFrame) -> DataFrame:
         for batch in batches:
             docs, lines_, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for at in range(0, len(held), LINES_AT_ONCE):
-                if len(keys) > 500_000:
+                if len(keys) > 150_000:
                     keys.clear()
                 found = [x.split() for x in held[at : at + LINES_AT_ONCE]]
                 n = np.array([len(x) for x in found], dtype=np.int64)

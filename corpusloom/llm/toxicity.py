@@ -74,7 +74,7 @@ class _Features(dict):
 
     def of(self, text: bytes) -> dict[int, int]:
         """Saturated counts of the features of a text."""
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         total: Counter = Counter()
         for hit in filter(None, map(self.__getitem__, text.lower().split())):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The columns a search gives back.
@@ -59,6 +60,14 @@ def filter_chunks(chunks: DataFrame, roles: list[str], filters: list[Column | st
     return chunks.where(all_of(wanted)).select(*DEFAULT_COLUMNS, F.lit(1.0).alias("distance"), F.lit(0.0).alias("score")).orderBy("id").limit(limit)
 
 
+def filter_partitions(chunks: DataFrame, roles: list[str], partitions: list[str], filters: list[Column | str] = (), *, per_partition: int = 100, limit: int = 100) -> DataFrame:
+    """Filtering over named partitions: at most ``per_partition`` chunks of each by id, each (source, chunk_index) once, ``limit`` in all."""
+    found = chunks.where(all_of([visible_to(roles), F.col("partition").isin(partitions), *filters]))
+    some = found.withColumn("_nth", F.row_number().over(W.partitionBy("partition").orderBy("id"))).where(F.col("_nth") <= per_partition)
+    once = some.withColumn("_nth", F.row_number().over(W.partitionBy("source", "chunk_index").orderBy("id"))).where("_nth = 1")
+    return once.select(*DEFAULT_COLUMNS, F.lit(1.0).alias("distance"), F.lit(0.0).alias("score")).orderBy("id").limit(limit)
+
+
 def browse(collections: DataFrame, words: str = "", access: str | None = None) -> DataFrame:
     """Collections with ``words`` in their name or description, case aside, and of an access level."""
     low = words.lower()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 BLANK = r"(?U)^\s*$"
+# A line feed inside a paragraph, and spaces before punctuation.
+LONE_BREAK, BEFORE_PUNCTUATION = r"(?<!\n)\n(?!\n)", r" +([.,;:!?])"
 
 
 def tokens(text: Column) -> Column:
@@ -21,8 +23,7 @@ def is_blank(text: Column) -> Column:
 def join_paragraph_lines(text: Column) -> Column:
     """A single line feed inside a paragraph becomes a space; spaces before punctuation go; CRLF counts as LF."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    joined = F.regexp_replace(unix, r"(?<!\n)\n(?!\n)", " ")
-    return F.regexp_replace(joined, r" +([.,;:!?])", "$1")
+    return F.regexp_replace(F.regexp_replace(unix, LONE_BREAK, " "), BEFORE_PUNCTUATION, "$1")
 
 
 def chunk_estimate(text: Column, size: int = 1000, overlap: int = 200) -> Column:
@@ -97,6 +98,16 @@ def summary_prompt(text: Column, words: int = 200) -> Column:
     return F.concat(F.lit(f"Summarise in at most {words} words:\n"), text)
 
 
+def summary_lengths(text: Column, summary: Column) -> tuple[Column, Column]:
+    """Bytes of a text and of its summary."""
+    return tuple(F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in (text, summary))
+
+
+def display_authors(authors: Column) -> Column:
+    """A list of authors as one text; null where there are none."""
+    return F.nullif(F.array_join(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != ""), ", "), F.lit(""))
+
+
 def html_text(html: Column) -> Column:
     """The readable text of a page: scripts, styles, comments and tags out, block ends as line feeds, common entities decoded."""
     x = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")

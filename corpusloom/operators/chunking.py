@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,43 +13,44 @@ from pyspark.sql.types import ArrayType, StringType
 PRESETS = {"standard": (2000, 200), "academic": (10000, 500)}
 
 
+def boundary(window: str, least: int) -> int:
+    """How much of a full window a chunk takes: up to its last paragraph break, else past its last full stop, else to its last space; all of it if none lies late enough."""
+    marks = (("\n\n", 1, 0), (". ", least + 1, 1), (" ", least + 1, 0))
+    ends = ((window.rfind(mark), first, more) for mark, first, more in marks)
+    return next((at + more for at, first, more in ends if at >= first), len(window))
+
+
+def spans(text: str, size: int, overlap: int, paragraphs: bool, least: int) -> Iterator[tuple[int, int]]:
+    """(begin, stop) of the chunks in order; the last one reaches the end of the text."""
+    begin, total = 0, len(text)
+    while begin + size < total:
+        took = boundary(text[begin : begin + size], least) if paragraphs else size
+        yield begin, begin + took
+        begin += max(took - overlap, 0) or took
+        if begin >= total - least:
+            break
+    if begin < total:
+        yield begin, total
+
+
 def cut_points(text: str, size: int, overlap: int, paragraphs: bool, least: int) -> list[str]:
-    """The chunks of one text. Boundaries fall on a paragraph, else a sentence, else a word, if one lies late enough."""
-    if not text or not text.strip():
+    """The chunks of one text, trimmed; short ones before the last are appended to their predecessor."""
+    if not text.strip():
         return []
-    total = len(text)
-    if total <= size:
+    if len(text) <= size:
         return [text]
-    pieces: list[str] = []
-    begin = 0
-    while True:
-        stop = begin + size
-        if stop >= total:
-            pieces.append(text[begin:].strip())
-            break
-        if paragraphs:
-            para, sentence, word = (text.rfind(mark, begin, stop) - begin for mark in ("\n\n", ". ", " "))
-            if para > 0:
-                stop = begin + para
-            elif sentence > least:
-                stop = begin + sentence + 1
-            elif word > least:
-                stop = begin + word
+    found: list[str] = []
+    for begin, stop in spans(text, size, overlap, paragraphs, least):
         piece = text[begin:stop].strip()
-        if pieces and len(piece) < least:
-            pieces[-1] = f"{pieces[-1]} {piece}"
+        if found and len(piece) < least and stop < len(text):
+            found[-1] += " " + piece
         else:
-            pieces.append(piece)
-        begin = stop - overlap if stop - overlap > begin else stop
-        if begin >= total - least:
-            if begin < total and (rest := text[begin:].strip()):
-                pieces.append(rest)
-            break
-    return [p for p in pieces if p]
+            found.append(piece)
+    return [p for p in found if p]
 
 
-def chunk_text(documents: DataFrame, chunk_size: int = 1000, overlap: int = 200, preserve_paragraphs: bool = True, min_chunk_size: int = 100, text: str = "text") -> DataFrame:
-    """Every document column but ``text``, and (chunk_index, text) for each chunk; blank texts give none."""
+def chunk_text(documents: DataFrame, chunk_size: int = 1000, overlap: int = 200, preserve_paragraphs: bool = True, min_chunk_size: int = 100, text: str = "text", strategy: str = "naive") -> DataFrame:
+    """Every document column but ``text``, and (chunk_index, text) for each chunk; blank texts give none. There is one strategy, which stands in for any unknown name."""
     if chunk_size <= 0 or overlap < 0 or min_chunk_size <= 0:
         raise ValueError("chunk_size and min_chunk_size must be positive, overlap not negative")
 

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+# An inline image, and the extensions of its kinds.
 IMAGE = r"(?i)!\[([^\]]*)\]\((data:image/([a-zA-Z0-9.+-]+);base64,([A-Za-z0-9+/=\s]+))\)"
 
+EXTENSIONS = {"jpeg": "jpg", "jpg": "jpg", "pjpeg": "jpg", "svg+xml": "svg", "svg": "svg", "tiff": "tiff", "tif": "tiff", "": "png"}
+
 
 def convert(documents: DataFrame, fn: Callable[[pd.Series], pd.Series], content: str = "content") -> DataFrame:
     """``markdown`` by ``fn`` where it is missing, a row at a time where a batch fails; ``error`` says what failed."""
@@ -35,7 +38,8 @@ def convert(documents: DataFrame, fn: Callable[[pd.Series], pd.Series], content:
 
 def extension(subtype: Column) -> Column:
     low = F.lower(F.coalesce(subtype, F.lit("")))
-    return F.when(low.isin("jpeg", "jpg", "pjpeg"), "jpg").when(low.isin("svg+xml", "svg"), "svg").when(low.isin("tiff", "tif"), "tiff").when(low == "", "png").otherwise(low)
+    known = F.create_map(*[F.lit(x) for kind in EXTENSIONS.items() for x in kind])
+    return F.coalesce(F.try_element_at(known, low), low)
 
 
 def extract_images(documents: DataFrame, markdown: str = "markdown", key: str = "document_id") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip_fences
 
-_TYPES = {"string": "string", "integer": "bigint", "number": "double", "float": "double", "boolean": "boolean"}
-
 
 def check_schema(schema: dict) -> None:
     if schema.get("type") != "object" or not isinstance(schema.get("properties"), dict) or not isinstance(schema.get("required", []), list):
@@ -32,28 +32,39 @@ def sanitize(metadata: Column) -> Column:
     return F.when(F.try_parse_json(metadata).isNotNull() & F.trim(metadata).startswith("{"), metadata).otherwise(F.lit("{}"))
 
 
+def _field(metadata: Column, key: str) -> Column:
+    """A key's value with its JSON type."""
+    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get(F.try_parse_json(metadata), f"$['{quoted}']", "variant")
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def enforce(metadata: Column, schema: dict) -> Column:
-    """Only the schema's keys; missing required ones as "Unknown"; scalars in array places as lists; the rest as strings where strings are asked for."""
+    """Only the schema's keys, in its order; missing required ones as "Unknown" or []; scalars in array places as lists; strings where strings are asked for; all else as it is."""
     check_schema(schema)
     required = set(schema.get("required", []))
-    fields = []
+    members = []
     for key, spec in schema["properties"].items():
-        raw = F.get_json_object(metadata, f"$.{key}")
-        empty = raw.isNull() | raw.isin("", "[]")
+        value = _field(metadata, key)
+        raw, kind = F.to_json(value), F.schema_of_variant(value)
+        empty = raw.isNull() | raw.isin("null", '""', "[]")
         if spec.get("type") == "array":
-            listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
-            value = F.when(empty | (raw == "Unknown"), F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(raw)))
-            value = value if key in required else F.when(raw.isNotNull(), value)
-        elif spec.get("type") in (None, "string") or key in required:
-            value = F.when(empty, F.lit("Unknown")).otherwise(raw) if key in required else raw
+            shown = F.when(empty | (raw == '"Unknown"'), F.lit("[]")).when(kind.startswith("ARRAY"), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+            shown = shown if key in required else F.when(raw.isNotNull(), shown)
         else:
-            value = raw.cast(_TYPES.get(spec["type"], "string"))
-        fields.append(value.alias(key))
-    return F.to_json(F.struct(*fields))
+            text = F.when(kind.isNull() | kind.isin("STRING", "VOID"), raw).otherwise(_quoted(raw)) if spec.get("type") in (None, "string") else raw
+            shown = F.when(empty, F.lit('"Unknown"')).otherwise(text) if key in required else text
+        members.append(F.concat(F.lit(json.dumps(key) + ":"), shown))
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
 
 
 def violations(metadata: Column, schema: dict) -> Column:
-    """The names of broken rules, as ``key: rule``; an empty list for valid rows."""
+    """The names of broken rules, as ``key: rule``; an empty list for valid rows. Types are those of the JSON values; null counts as missing."""
     check_schema(schema)
     broken = []
 
@@ -61,41 +72,37 @@ def violations(metadata: Column, schema: dict) -> Column:
         broken.append(F.when(~F.coalesce(holds, F.lit(True)), F.lit(f"{key}: {name}")))
 
     for key, spec in schema["properties"].items():
-        raw = F.get_json_object(metadata, f"$.{key}")
-        given = F.when(raw.isNotNull(), raw)
-        kind = spec.get("type")
+        value = _field(metadata, key)
+        kind = F.nullif(F.schema_of_variant(value), F.lit("VOID"))
+        wanted = spec.get("type")
         if key in schema.get("required", []):
-            broken.append(F.when(raw.isNull(), F.lit(f"{key}: required")))
-        if kind in ("integer", "number", "float"):
-            rule(key, "type", given.rlike(r"^-?\d+$" if kind == "integer" else r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
-            number = given.try_cast("double")
-            if "minimum" in spec:
-                rule(key, "minimum", number >= spec["minimum"])
-            if "maximum" in spec:
-                rule(key, "maximum", number <= spec["maximum"])
-        elif kind == "boolean":
-            rule(key, "type", given.isin("true", "false"))
-        elif kind == "array":
-            rule(key, "type", given.startswith("["))
-            items = F.from_json(F.when(given.startswith("["), given), "array<string>")
-            if "minItems" in spec:
-                rule(key, "minItems", F.size(items) >= spec["minItems"])
-            if "maxItems" in spec:
-                rule(key, "maxItems", F.size(items) <= spec["maxItems"])
-        elif kind == "string":
-            if "maxLength" in spec:
-                rule(key, "maxLength", F.length(given) <= spec["maxLength"])
-            if "minLength" in spec:
-                rule(key, "minLength", F.length(given) >= spec["minLength"])
-            if "pattern" in spec:
-                rule(key, "pattern", given.rlike(spec["pattern"]))
-            if spec.get("format") == "date":
-                rule(key, "format", given.rlike(r"^\d{4}-\d{2}-\d{2}$") & given.try_cast("date").isNotNull())
+            broken.append(F.when(kind.isNull(), F.lit(f"{key}: required")))
+        whole = kind == "BIGINT"
+        numeric = whole | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        holds = {"string": kind == "STRING", "integer": whole, "number": numeric, "float": numeric, "boolean": kind == "BOOLEAN", "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT")}
+        if wanted in holds:
+            rule(key, "type", holds[wanted])
+        number = F.when(numeric, F.try_variant_get(value, "$", "double"))
+        text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        items = F.size(F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")))
+        sizes = {"minimum": number >= spec.get("minimum"), "maximum": number <= spec.get("maximum"), "minItems": items >= spec.get("minItems"), "maxItems": items <= spec.get("maxItems"), "maxLength": F.length(text) <= spec.get("maxLength"), "minLength": F.length(text) >= spec.get("minLength")}
+        for name, fits in sizes.items():
+            if name in spec:
+                rule(key, name, F.when(kind.isNotNull(), fits))
+        if "pattern" in spec:
+            rule(key, "pattern", text.rlike(spec["pattern"]))
+        if spec.get("format") == "date":
+            rule(key, "format", text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull())
         if "enum" in spec:
-            rule(key, "enum", given.isin(*map(str, spec["enum"])))
+            rule(key, "enum", F.to_json(value).isin(*[json.dumps(v, ensure_ascii=False) for v in spec["enum"]]))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
+def compact(metadata: Column) -> Column:
+    """Metadata as JSON without white space between its parts; null where it isn't JSON."""
+    return F.to_json(F.try_parse_json(metadata))
+
+
 def filter_examples(spark: SparkSession, schema: dict) -> DataFrame:
     """(property, type, example): predicates to start from, in Spark SQL."""
     check_schema(schema)
@@ -116,9 +123,14 @@ def filter_examples(spark: SparkSession, schema: dict) -> DataFrame:
     return spark.createDataFrame(rows, "property string, type string, example string")
 
 
+def members(metadata: Column) -> Column:
+    """The keys of a JSON object with their values as they are; none for anything else."""
+    return F.coalesce(F.from_json(sanitize(metadata), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
 def override(base: Column, change: Column) -> Column:
     """Two JSON objects as one; the second's keys win."""
-    a, b = (F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")) for c in (base, change))
+    a, b = members(base), members(change)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
 
 

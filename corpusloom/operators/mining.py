@@ -31,7 +31,9 @@ EXPANSIONS = {
     "concept_beginner": ("{} for beginners",),
     "concept_advanced": ("advanced {}",),
 }
-# Verbs that count as function names.
+# Patterns of function names and of code, and verbs that count as names.
+NAME_PATTERNS = (r"(?i)\bfunction\s+(\w+)", r"(?i)\bdef\s+(\w+)", r"\b(\w+)\s*\([^)]*\)", r"\b(\w+)\s*\([^}]*\{")
+CODE_PATTERNS = (r"`([^`]+)`", r"(?s)```.*?```", r"\b\w+\s*\([^)]*\)", r"\b\w+\.\w+\s*\([^)]*\)")
 NAME_WORDS = ("process", "transform", "analyze", "convert", "validate")
 
 
@@ -63,16 +65,15 @@ def expand(text: Column, kind: str) -> Column:
 
 def function_names(text: Column, most: int = 3) -> Column:
     """Names after function or def, names of calls, verbs and words with an underscore; in order of the rules, each once."""
-    patterns = (r"(?i)\bfunction\s+(\w+)", r"(?i)\bdef\s+(\w+)", r"\b(\w+)\s*\([^)]*\)", r"\b(\w+)\s*\([^}]*\{")
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in NAME_PATTERNS]
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.isin(*NAME_WORDS) | (F.contains(w, F.lit("_")) & (F.length(w) > 3)))
     return F.slice(F.array_distinct(F.concat(*found, words)), 1, most)
 
 
 def code_patterns(text: Column, most: int = 2) -> Column:
     """Spans in backticks, fenced blocks and calls; a short text without any stands for itself."""
-    spans = F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1))
-    rest = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (r"(?s)```.*?```", r"\b\w+\s*\([^)]*\)", r"\b\w+\.\w+\s*\([^)]*\)")]
+    spans = F.regexp_extract_all(text, F.lit(CODE_PATTERNS[0]), F.lit(1))
+    rest = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in CODE_PATTERNS[1:]]
     found = F.transform(F.concat(spans, *rest), lambda p: F.regexp_replace(p, r"^`+|`+$", ""))
     return F.slice(F.when((F.size(found) == 0) & (F.length(text) < 200), F.array(text)).otherwise(found), 1, most)
 
@@ -109,3 +110,11 @@ def similar_code(hits: DataFrame, least: float = 0.7, most: int = 6) -> DataFram
     """Hits of a cosine search (query_id, score, source, chunk_index, text) that are similar enough."""
     ranked = hits.where(F.col("score") >= least).withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "source", "chunk_index")))
     return ranked.where(F.col("nth") <= most).select("query_id", "nth", F.substring("text", 1, 2000).alias("pattern_code"), F.concat(F.lit("Source: "), F.col("source"), F.lit(", Chunk: "), F.col("chunk_index").cast("string")).alias("context"), F.col("score").alias("similarity_score"))
+
+
+def catalogue_entries(collections: DataFrame, most: int = 60, width: int = 240) -> DataFrame:
+    """(collection, entry) of the first ``most`` collections by name: name, description and hint on one line each, and the metadata's fields."""
+    short = lambda c: F.substring(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), 1, width)
+    fields = F.array_join(F.array_sort(F.map_keys(F.from_json(F.get_json_object("metadata_schema", "$.properties"), "map<string,string>"))), ", ")
+    entry = F.concat(F.lit("- "), F.col("collection"), F.lit(": "), short(F.col("description")), F.lit(" | "), short(F.col("hint")), F.lit(" | fields: "), F.coalesce(fields, F.lit("")))
+    return collections.select("collection", entry.alias("entry")).orderBy("collection").limit(most)

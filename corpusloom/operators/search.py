@@ -150,13 +150,18 @@ def build_postings(rows: DataFrame, id_: str = "id", text: str = "text") -> Data
 
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, id_: str = "id", text: str = "text", k1: float = K1, b: float = B, drop_ratio: float = 0.0) -> DataFrame:
-    """(query_id, id, score, rank); idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of asked terms are made."""
+    """(query_id, id, score, rank); idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of asked terms are made.
+
+    Asked words are dealt out by row id, once: tf, scores and the first k of each query in a partition
+    are then made where they lie, and only those k go on, however many rows share a common word.
+    """
     own = rows.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
     n, mean = own.agg(F.count("*"), F.avg(F.size("t"))).first()
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
     how = "broadcast" if terms.count() <= FEW_ROWS else "merge"  # weights have a row for each asked term at most
-    postings = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.hint(how), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    matched = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.hint(how), "term")
+    postings = matched.repartition("id").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("idf"))
     if drop_ratio:
@@ -206,6 +211,28 @@ def search_partitions(queries: DataFrame, chunks: DataFrame, partitions: list[st
     return top(fused, limit, F.desc("rrf_score"), F.desc("score"), F.col("id"))
 
 
+def dense_fusion(queries: DataFrame, vectors: DataFrame, limit: int = 10, by: str = "request_id", per_list: int | None = None) -> DataFrame:
+    """Requests of several embedded queries, by their vectors alone: a ranking for each query, fused per request."""
+    ranked = cosine_topk(queries, vectors, per_list or limit).join(queries.select("query_id", by).distinct().hint("merge"), "query_id")
+    return rrf_fuse([ranked], limit, by=[by])
+
+
+def search_collections(queries: DataFrame, chunks: DataFrame, collections: list[str], first: int, final: int) -> DataFrame:
+    """``first`` fused hits in each collection, then the ``final`` best over all by a second fusion: (query_id, id, rrf_score, rank)."""
+    lists = [hybrid_search(queries, chunks.where(F.col("collection") == c), first) for c in collections]
+    return rrf_fuse(lists, final)
+
+
+def dispatch(queries: DataFrame, chunks: DataFrame, limit: int, search=None) -> DataFrame:
+    """Queries (query_id, text, partition): ranked by ``search`` where there is a text; without one, the first chunks of the wanted partition; without either, nothing."""
+    columns = ("query_id", "id", "score", "rank")
+    blank = is_blank(F.col("text"))
+    ranked = (search or bm25_topk)(queries.where(~blank).select("query_id", "text"), chunks, limit).select(*columns)
+    heads = chunks.where("chunk_index = 0").select("partition", "id").withColumn("rank", F.row_number().over(W.partitionBy("partition").orderBy("id"))).where(F.col("rank") <= limit)
+    listed = queries.where(blank & F.col("partition").isNotNull()).select("query_id", "partition").join(heads.hint("merge"), "partition").select("query_id", "id", F.lit(0.0).alias("score"), "rank")
+    return ranked.unionByName(listed)
+
+
 def first_query(texts: Column) -> Column:
     """The first text that isn't blank."""
     return F.element_at(F.filter(texts, lambda t: ~is_blank(t)), 1)
@@ -232,4 +259,4 @@ def dedupe_first(hits: DataFrame, order: Column, key: list[str] = ("source", "ch
 
 
 def dedupe_best(hits: DataFrame, key: list[str] = ("id",), distance: str = "distance") -> DataFrame:
-    return hits.groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(distance, *key)).alias("_best")).select("_best.*")
+    return hits.groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(distance, *hits.columns)).alias("_best")).select("_best.*")

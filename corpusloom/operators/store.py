@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.filters import visible_to
+from corpusloom.operators.metadata import members
 
 KEY = ("source", "chunk_index")
 
@@ -28,12 +29,9 @@ def prepare_rows(chunks: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
-    """``existing`` with every row of ``incoming`` in the place of its key; of several, the last by ``order``."""
-    last = incoming
-    if order:
-        last = incoming.withColumn("_nth", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc(order)))).where("_nth = 1").drop("_nth")
-    else:
-        last = incoming.dropDuplicates(list(KEY))
+    """``existing`` with every row of ``incoming`` in the place of its key; of several the last by ``order``, or without it the greatest by its columns."""
+    by = [F.desc(order)] if order else [F.desc(c) for c in incoming.columns]
+    last = incoming.withColumn("_nth", F.row_number().over(W.partitionBy(*KEY).orderBy(*by))).where("_nth = 1").drop("_nth")
     return existing.join(last.select(*KEY).hint("merge"), list(KEY), "left_anti").unionByName(last.select(*existing.columns))
 
 
@@ -102,9 +100,10 @@ def describe_collections(chunks: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.withColumn("access_level", F.coalesce("access_level", F.lit("public"))).fillna(0, ["num_chunks", "num_documents", "num_partitions"])
 
 
-def entity_counts(chunks: DataFrame) -> DataFrame:
-    """Rows of each collection and, under a null name, of all."""
-    return chunks.rollup("collection").agg(F.count("*").alias("entities"))
+def entity_counts(chunks: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Rows of each collection and, under a null name, of all; -1 for collections (``unreadable``) that can't be read."""
+    counts = chunks.rollup("collection").agg(F.count("*").alias("entities"))
+    return counts if unreadable is None else counts.unionByName(unreadable.select("collection", F.lit(-1).cast("long").alias("entities")))
 
 
 def pipeline_catalogue(configs: DataFrame) -> DataFrame:
@@ -116,6 +115,6 @@ def pipeline_catalogue(configs: DataFrame) -> DataFrame:
 def collection_config(catalogue: DataFrame) -> DataFrame:
     """(collection, config): the stored configuration under either key, with this collection's name; null when it can't be read."""
     raw = F.coalesce(F.get_json_object("description", "$.collection_config"), F.get_json_object("description", "$.collection_config_json"))
-    entries = F.from_json(raw, "map<string,string>")
-    named = F.map_concat(F.map_filter(entries, lambda k, v: k != "collection_name"), F.create_map(F.lit("collection_name"), F.col("collection")))
-    return catalogue.select("collection", F.when(F.size(entries) > 0, F.to_json(named)).alias("config"))
+    kept = F.map_filter(members(raw), lambda k, v: k != "collection_name")
+    named = F.map_concat(kept, F.create_map(F.lit("collection_name"), F.parse_json(F.to_json(F.col("collection").cast("variant")))))
+    return catalogue.select("collection", F.when(F.size(members(raw)) > 0, F.to_json(named)).alias("config"))

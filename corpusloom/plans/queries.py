@@ -1,7 +1,7 @@
 """The registered queries of the retrieval engine, over the given tables, with the same results in SQL.
 
 Chunks are the lines of ``documents``; their metadata, groups and partitions come from its columns.
-Questions are the first words of the ``benchmark`` items.
+Questions are the ``benchmark`` items.
 """
 
 from __future__ import annotations
@@ -39,18 +39,18 @@ def chunks(spark, sf_dir):
     meta = F.to_json(F.struct(F.concat(F.lit("Doc "), F.col("id").cast("string")).alias("title"), F.array("author").alias("author"), (F.lit(2000) + F.col("id") % 25).alias("date"), F.array("lang", "author").alias("keywords")))
     # in a step of its own: beside a generator the struct would lose its field names
     docs = docs.withColumn("metadata", meta)
-    return docs.select(F.col("id").alias("doc"), "source", "lang", "author", "metadata", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).select((F.col("doc") * 100000 + F.col("chunk_index")).alias("id"), F.col("doc").cast("string").alias("document_id"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "metadata", F.array("lang").alias("security_group"), F.lit("[]").alias("benchmark_questions"), F.col("lang").alias("partition"), "doc", "author")
+    return docs.select(F.col("id").alias("doc"), "source", "lang", "author", "metadata", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).select((F.col("doc") * 10000000 + F.col("chunk_index")).alias("id"), F.col("doc").cast("string").alias("document_id"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "metadata", F.array("lang").alias("security_group"), F.lit("[]").alias("benchmark_questions"), F.col("lang").alias("partition"), "doc", "author")
 
 
 def questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _META = """'{"title":"Doc ' || doc_id || '","author":["' || src || '"],"date":' || (2000 + doc_id % 25) || ',"keywords":["' || lang || '","' || src || '"]}'"""
-CHUNKS = f"""chunks AS (SELECT doc_id * 100000 + i - 1 AS id, CAST(doc_id AS VARCHAR) AS document_id, src || '/' || doc_id AS source, i - 1 AS chunk_index, lines[i] AS text, {_META} AS metadata, lang, src, doc_id
+CHUNKS = f"""chunks AS (SELECT doc_id * 10000000 + i - 1 AS id, CAST(doc_id AS VARCHAR) AS document_id, src || '/' || doc_id AS source, i - 1 AS chunk_index, lines[i] AS text, {_META} AS metadata, lang, src, doc_id
   FROM (SELECT doc_id, lang, source AS src, string_split(text, chr(10)) AS lines FROM documents), UNNEST(range(1, len(lines) + 1)) AS t(i))"""
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-ASKED = r"q AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\s+')[1:6], ' ') AS text FROM benchmark)"
+ASKED = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
 def _bm25_sql(rows: str, text: str, k: int, tag: str = "", where: str = "true") -> str:
@@ -188,7 +188,7 @@ def d1_dedupe_first(spark, sf_dir):
 @query("SELECT author, arg_min(id, (n_chars, id)) AS id, min(n_chars) AS n_chars FROM (SELECT source AS author, doc_id AS id, n_chars FROM documents) GROUP BY author")
 def d2_dedupe_best(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return d.groupBy("author").agg(F.min_by("id", F.struct("n_chars", "id")).alias("id"), F.min("n_chars").alias("n_chars"))
+    return search.dedupe_best(d.select("author", "id", "n_chars"), key=["author"], distance="n_chars")
 
 
 # --- filters and access
@@ -277,10 +277,10 @@ def c1_html_to_text(spark, sf_dir):
 
 def _with_image(spark, sf_dir):
     data = F.base64(F.substring("lang", 1, 2).cast("binary"))
-    return documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.concat(F.substring("text", 1, 100), F.lit(" ![a](data:image/jpeg;base64,"), data, F.lit(") end")).alias("markdown"))
+    return documents(spark, sf_dir).select(F.col("id").alias("document_id"), F.concat("text", F.lit(" ![a](data:image/jpeg;base64,"), data, F.lit(") end")).alias("markdown"))
 
 
-@query("SELECT doc_id AS document_id, substr(text, 1, 100) || ' *[Image (jpg), 2 bytes]* end' AS markdown FROM documents")
+@query("SELECT doc_id AS document_id, text || ' *[Image (jpg), 2 bytes]* end' AS markdown FROM documents")
 def c6_replace_images(spark, sf_dir):
     docs = _with_image(spark, sf_dir)
     return conversion.replace_images(docs, conversion.describe_images(conversion.distinct_images(conversion.extract_images(docs))))
@@ -524,7 +524,7 @@ def h8_request_errors(spark, sf_dir):
 
 @query("SELECT conv_id, turn, 1 AS n_parts, text, CAST(NULL AS VARCHAR) AS error FROM conversations")
 def h1_normalise_messages(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").withColumn("content", F.substring(F.to_json(F.struct(F.col("text").alias("v"))), 6, 10_000_000)).withColumn("content", F.expr("substring(content, 1, length(content) - 1)"))
+    m = table(spark, sf_dir, "conversations").withColumn("content", F.to_json(F.array("text"))).withColumn("content", F.expr("substring(content, 2, length(content) - 2)"))
     return conversation.normalise_messages(m).select("conv_id", "turn", F.size("parts").alias("n_parts"), F.col("parts")[0]["text"].alias("text"), "error")
 
 

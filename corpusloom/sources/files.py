@@ -61,3 +61,8 @@ def ingest_stages(documents: DataFrame, convert: Callable[[DataFrame], DataFrame
     """Raw rows go through both stages; rows with Markdown skip the first, rows with metadata the second."""
     converted = documents.where("markdown is not null").unionByName(convert(documents.where("markdown is null")), allowMissingColumns=True)
     return converted.where("metadata is not null").unionByName(extract(converted.where("metadata is null")), allowMissingColumns=True)
+
+
+def preview(documents: DataFrame, convert: Callable[[DataFrame], DataFrame], extract: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an ingest would store, chunk by chunk; nothing is written."""
+    return chunk(ingest_stages(documents, convert, extract).withColumnRenamed("markdown", "text").where("text is not null"))

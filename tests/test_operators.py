@@ -247,7 +247,7 @@ def test_collections_on_disk(spark, tmp_path):
     assert store.delete_chunks(rows, rows.select("id"), [])[0].count() == 2
     cat = spark.createDataFrame([("a", '{"collection_config_json": {"collection_name": "old", "chunk_size": 5}}'), ("b", "broken")], "collection string, description string")
     got = {r["collection"]: r["config"] for r in store.collection_config(cat).collect()}
-    assert json.loads(got["a"]) == {"collection_name": "a", "chunk_size": "5"} and got["b"] is None
+    assert json.loads(got["a"]) == {"collection_name": "a", "chunk_size": 5} and got["b"] is None
     assert store.pipeline_catalogue(spark.createDataFrame([("n", '{"chunk_size": 9}')], "name string, config string")).first()["chunk_size"] == 9
 
 

@@ -9,8 +9,10 @@ import duckdb
 import pytest
 
 from corpusloom.plans import queries as own
+from corpusloom.plans import single
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = own.QUERIES | single.QUERIES, own.ORACLE | single.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -33,15 +35,15 @@ def rows(found, columns, order):
     return sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(own.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, duck, name):
-    df = own.QUERIES[name](spark, SF)
-    result = duck.execute(own.ORACLE[name])
+    df = QUERIES[name](spark, SF)
+    result = duck.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.collect(), df.columns, sorted(columns)) == rows(result.fetchall(), columns, sorted(columns))
 
 
-@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert own.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0

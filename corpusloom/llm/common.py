@@ -53,16 +53,22 @@ ARROW = {
 }
 
 
-def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
-    """Run ``start()(columns) -> columns`` over Arrow batches; ``start`` runs once a task, so its closures can hold caches."""
+#: Rows of an Arrow batch that become Python objects at once, so that a worker's memory follows these and not the batch.
+ROWS_AT_ONCE = 500
+
+
+def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]], at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """Run ``start()(columns) -> columns`` over Arrow batches, ``at_once`` rows each; ``start`` runs once a task, so its closures can hold caches."""
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]
     names, types = [n for n, _ in fields], [ARROW[t] for _, t in fields]
 
     def run(batches):
         rows = start()
         for batch in batches:
-            out = rows({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                out = rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
 
     return df.mapInArrow(run, schema)
 

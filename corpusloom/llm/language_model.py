@@ -413,7 +413,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         return run
 
     given = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), utf8())
-    firsts = cut(map_columns(given, "row long, doc_id long, held_out boolean, n long, known long, logs double, outer_logs double, network double, outer long, tail array<long>, times array<long>", start))
+    firsts = cut(map_columns(given, "row long, doc_id long, held_out boolean, n long, known long, logs double, outer_logs double, network double, outer long, tail array<long>, times array<long>", start, at_once=TOGETHER))
     tails = firsts.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     found = tails.join(counts.hint("merge"), "token", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("tail_logs"))

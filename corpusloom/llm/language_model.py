@@ -321,11 +321,11 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
     step = F.floor(F.log("c") * 16)
     wanted, room = F.lit(False), HEAD
     for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        share = min(1.0, 0.98 * room / row["count"]) if row["count"] > room else 1.0
-        wanted |= (step == row["step"]) & (F.pmod(F.xxhash64(F.lit(3), "token"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        room -= row["count"]
-        if room <= 0:
+        if row["count"] > room:
+            share = F.pmod(F.xxhash64(F.lit(3), "token"), F.lit(1 << 20)) < int(0.98 * room / row["count"] * (1 << 20))
+            wanted = (step > row["step"]) | ((step == row["step"]) & share)
             break
+        wanted, room = step >= row["step"], room - row["count"]
     head = sorted(((r[0], r[1]) for r in counts.where(wanted).collect()), key=lambda r: (-r[1], r[0]))
     end = counts.where(F.col("token") == END).collect()
     model = Model(head if any(t == END for t, _ in head) or not end else [(END, end[0]["c"]), *head[: HEAD - 1]], int(totals[0]), int(totals[1]))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.chunking import chunk_text
@@ -36,9 +35,9 @@ def stream_ingest(documents: DataFrame, collection: str, checkpoint: str, **chun
 
 
 def stream_search(questions: DataFrame, chunks: DataFrame, answers: str, checkpoint: str, k: int = 10, search: Callable = bm25_topk) -> StreamingQuery:
-    """Answer streamed questions (query_id, text) from a static collection; hits are added to ``answers``."""
+    """Answer streamed questions (query_id, text) from a static collection; each batch has a folder of its own under ``answers`` (column ``epoch``), which it overwrites if it is run again."""
 
     def answer(batch: DataFrame, epoch: int) -> None:
-        search(batch, chunks, k).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(answers)
+        search(batch, chunks, k).write.mode("overwrite").parquet(f"{answers}/epoch={epoch}")
 
     return questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

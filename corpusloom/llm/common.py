@@ -55,10 +55,21 @@ ARROW = {
 
 #: Rows of an Arrow batch that become Python objects at once, so that a worker's memory follows these and not the batch.
 ROWS_AT_ONCE = 500
+#: Bytes of an Arrow batch, which the executor and its worker both hold; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch to ``BATCH_BYTES``, so that no task holds its whole partition of long texts at once; a limit given with a unit such as ``8m`` is the user's and stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key).removesuffix("b")
+    if given.isdigit() and int(given) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]], at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Run ``start()(columns) -> columns`` over Arrow batches, ``at_once`` rows each; ``start`` runs once a task, so its closures can hold caches."""
+    small_batches(df.sparkSession)
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]
     names, types = [n for n, _ in fields], [ARROW[t] for _, t in fields]
 

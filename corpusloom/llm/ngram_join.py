@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_few, map_columns, utf8
+from .common import components, cut, join_few, map_columns, strategy, utf8
 
 #: Linked when PER_CENT * union <= 100 * intersection.
 PER_CENT = 90
@@ -185,18 +185,21 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(p, x, inter, total) for distinct pairs."""
-    x = sets.select("x", F.col("shingles").alias("xs"))
-    p = sets.select(F.col("x").alias("p"), F.col("shingles").alias("ps"))
+    """(p, x, inter, total) for distinct pairs of a pivot p and a point x: a point's set is shuffled once, those of the pivots are broadcast where their measured bytes allow."""
+    own = cut(pairs.select("p").distinct().join(sets.select(F.col("x").alias("p"), F.col("shingles").alias("ps")).hint("merge"), "p"))
+    to = pairs.groupBy("x").agg(F.collect_list("p").alias("to"))  # PIVOTS for each region that x is in
+    rows = to.join(sets.hint("merge"), "x").select("x", F.col("shingles").alias("xs"), F.explode("to").alias("p")).join(own.hint(strategy(own)), "p").select("p", "x", "xs", "ps")
 
-    def start():
-        def run(cols):
-            inter = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(cols["xs"], cols["ps"])]
-            return {"p": cols["p"], "x": cols["x"], "inter": inter, "total": [len(a) + len(b) - i for a, b, i in zip(cols["xs"], cols["ps"], inter)]}
+    def run(batches):
+        import pyarrow as pa
 
-        return run
+        for batch in batches:
+            xs, ps = batch.column(2), batch.column(3)
+            inter = np.array([len(np.intersect1d(xs[k].values.to_numpy(), ps[k].values.to_numpy(), assume_unique=True)) for k in range(batch.num_rows)], dtype=np.int64)
+            both = np.array([len(xs[k]) + len(ps[k]) for k in range(batch.num_rows)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter), pa.array(both - inter)], names=["p", "x", "inter", "total"])
 
-    return map_columns(pairs.join(x.hint("merge"), "x").join(p.hint("merge"), "p").select("p", "x", "xs", "ps"), "p long, x long, inter long, total long", start)
+    return rows.mapInArrow(run, "p long, x long, inter long, total long")
 
 
 class Leaf:
@@ -304,12 +307,11 @@ def _split(regions: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFram
     dealt = regions.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PIVOTS)))
     pivots = cut(dealt.groupBy("region", "part").agg(F.min("x").alias("p")))
     rows = regions.join(pivots.select("region", "p").hint("merge"), "region").where("p <> x")
-    far = cut(_distances(rows.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct(), sets))
+    far = cut(_distances(rows.select("p", "x").distinct(), sets))
     found = far.where(F.col("inter") * 100 >= F.col("total") * per_cent).select(F.col("p").alias("u"), F.col("x").alias("v"))
     # pivots are done: each was compared with all points of its region
     rest = dealt.join(pivots.hint("merge"), ["region", "part"]).where("x <> p").select("region", "x")
     d = far.select("p", "x", (1 - F.col("inter") / F.col("total")).alias("d"))
-    d = d.unionByName(d.select(F.col("x").alias("p"), F.col("p").alias("x"), "d"))
     measured = rest.join(pivots.select("region", "p").hint("merge"), "region").join(d.hint("merge"), ["p", "x"])
     near = measured.groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("to"))  # PIVOTS entries
     near = near.withColumn("homes", F.filter("to", lambda t: t["d"] <= F.array_min(F.col("to.d")) + 2 * radius))

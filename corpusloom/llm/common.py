@@ -29,11 +29,26 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_at(df)[0]
 
 
+#: Spark's setting to delete an execution's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """As ``cut``, with the path, so that ``forget`` can delete what a later round replaces."""
-    path = f"{shared_folder(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """As ``cut``, with the path, so that ``forget`` can delete what a later round replaces.
+
+    Later steps read the written table, so the shuffle files behind it go at once, not when the driver next collects garbage.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
+    given = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if given is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, given)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_few, map_columns, strategy, utf8
+from .common import components, cut, cut_at, forget, join_few, map_columns, strategy, utf8
 
 #: Linked when PER_CENT * union <= 100 * intersection.
 PER_CENT = 90
@@ -369,9 +369,8 @@ def _regions(points: DataFrame) -> DataFrame:
     return components(chained).select(F.col("component").alias("region"), F.col("node").alias("a"))
 
 
-def links(documents: DataFrame, points: DataFrame, classes: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
-    """Links (u, v) between points, by their ``x``; their components are those of all close pairs."""
-    regions = cut(_regions(points).join(classes.select("a", "x").hint("merge"), "a").select("region", "x"))
+def links(documents: DataFrame, regions: DataFrame, classes: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
+    """Links (u, v) between points, by their ``x``, within regions (region, x); their components are those of all close pairs."""
     wanted = classes.join(regions.select("x").hint("merge"), "x", "left_semi").select("x", "doc_id", "a", "b")
     sets = cut(_sets(documents, wanted, words))
     found, parted = None, False
@@ -392,20 +391,23 @@ def links(documents: DataFrame, points: DataFrame, classes: DataFrame, per_cent:
 
 def join(documents: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    digests = cut(_digests(documents, per_cent, words))
+    digests, path = cut_at(_digests(documents, per_cent, words))
     points = digests.where("n > 0 and doc_id is not null")
     classes = cut(points.groupBy("a", "b").agg(F.min("row").alias("x"), F.min("doc_id").alias("doc_id")))
     named = cut(points.select("doc_id", "n", "a", "b").join(classes.select("a", "b", "x").hint("merge"), ["a", "b"]).select("doc_id", "n", "x"))
+    blank = cut(digests.where("n = 0 or doc_id is null").select("doc_id", "n"))
+    regions = cut(_regions(points).join(classes.select("a", "x").hint("merge"), "a").select("region", "x"))
+    forget(documents.sparkSession, path)  # the cells, which are about as large as the texts
     # the texts of one doc_id hold together
     same = named.groupBy("doc_id").agg(F.min("x").alias("u"), F.max("x").alias("last")).where("u < last").select("doc_id", "u")
     held = named.join(same.hint("merge"), "doc_id").select("u", F.col("x").alias("v"))
-    linked = cut(components(links(documents, points, classes, per_cent, words).unionByName(held)))
+    linked = cut(components(links(documents, regions, classes, per_cent, words).unionByName(held)))
     least = linked.join(classes.select(F.col("x").alias("node"), "doc_id").hint("merge"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = linked.join(least.hint("merge"), "component").select(F.col("node").alias("x"), "component_id")
     alone = classes.select("x", F.col("doc_id").alias("least"))
     component = alone.join(of.hint("merge"), "x", "left").select("x", F.coalesce("component_id", "least").alias("component_id"))
     some = named.join(component.hint("merge"), "x").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(digests.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return some.unionByName(blank.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(documents: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:

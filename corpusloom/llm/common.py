@@ -2,59 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: the cluster's ``spark.checkpoint.dir``; where it is unset the warehouse, or on a single machine a temporary folder."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):  # driver and tasks are one process here
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-        return spark.sparkContext.getCheckpointDir()
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/corpusloom-intermediate"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it from there: no recomputation, no lost blocks."""
-    return cut_at(df)[0]
-
-
-#: Spark's setting to delete an execution's shuffle files when it ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """As ``cut``, with the path, so that ``forget`` can delete what a later round replaces.
-
-    Later steps read the written table, so the shuffle files behind it go at once, not when the driver next collects garbage.
-    """
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/corpusloom-{uuid.uuid4().hex}"
-    given = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if given is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, given)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+from corpusloom.operators.tables import BROADCAST_BYTES, cut, cut_at, forget, join_few, measured_bytes, shared_folder, small_batches, strategy, unused  # noqa: F401
 
 
 def utf8(column: str = "text") -> Column:
@@ -70,18 +24,6 @@ ARROW = {
 
 #: Rows of an Arrow batch that become Python objects at once, so that a worker's memory follows these and not the batch.
 ROWS_AT_ONCE = 500
-#: Bytes of an Arrow batch, which the executor and its worker both hold; a single longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on an Arrow batch to ``BATCH_BYTES``, so that no task holds its whole partition of long texts at once; a limit given with a unit such as ``8m`` is the user's and stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = spark.conf.get(key).removesuffix("b")
-    if given.isdigit() and int(given) > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]], at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Run ``start()(columns) -> columns`` over Arrow batches, ``at_once`` rows each; ``start`` runs once a task, so its closures can hold caches."""
     small_batches(df.sparkSession)
@@ -99,45 +41,6 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """``name``, longer if ``columns`` has it."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-#: Measured bytes of a table that may be broadcast.
-BROADCAST_BYTES = 16 << 20
-
-
-def _width(column: Column, kind: DataType) -> Column:
-    """Bytes that a value holds, with some for its place."""
-    if isinstance(kind, StringType | BinaryType):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(kind, StructType):
-        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    if isinstance(kind, ArrayType):
-        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda total, x: total + _width(x, kind.elementType))
-    return F.lit(8)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all values of ``df``, by a count over its rows."""
-    return int(df.agg(F.coalesce(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")), F.lit(0))).first()[0])
-
-
-def strategy(few: DataFrame) -> str:
-    """The join hint for a written table, by its measured bytes."""
-    return "broadcast" if measured_bytes(few) <= BROADCAST_BYTES else "merge"
-
-
-def join_few(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` with rows whose bytes are measured first: broadcast up to ``BROADCAST_BYTES``, else a sort-merge join, which spills."""
-    few = cut(few)
-    return big.join(few.hint(strategy(few)), on, how)
-
-
 #: Edges that one task of a component round takes.
 EDGES_PER_TASK = 200_000
 

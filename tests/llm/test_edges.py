@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import bpe, decontamination, language_model, line_dedup, ngram_join, pii, quality, secrets, sharding, toxicity
+from corpusloom.llm import bpe, decontamination, fill_in_middle, language_model, line_dedup, ngram_join, pii, quality, secrets, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +23,11 @@ def runs(labels, benchmark):
     return {
         "decontamination": lambda d: decontamination.report(d, benchmark), "language_model": language_model.fit_and_score, "sharding": sharding.assign, "bpe": lambda d: bpe.digests(d, vocabulary),
         "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)), "ngram_join": ngram_join.join, "quality": lambda d: quality.judge(d, quality.fit(d, labels)), "pii": pii.digests,
-        "secrets": lambda d: secrets.digests(d, ranks, public_tokenizers.PATTERN), "line_dedup": line_dedup.report,
+        "secrets": lambda d: secrets.digests(d, ranks, public_tokenizers.PATTERN), "line_dedup": line_dedup.report, "fill_in_middle": fill_in_middle.digests,
     }
 
 
-NAMES = ["decontamination", "language_model", "sharding", "bpe", "toxicity", "ngram_join", "quality", "pii", "secrets", "line_dedup"]
+NAMES = ["decontamination", "language_model", "sharding", "bpe", "toxicity", "ngram_join", "quality", "pii", "secrets", "line_dedup", "fill_in_middle"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -19,8 +19,12 @@ def all_of(filters: list[Column | str | None]) -> Column:
 
 
 def meta(key: str, kind: str = "string", column: str = "metadata") -> Column:
-    """A flat metadata key by type; arrays are read as JSON."""
-    raw = F.get_json_object(column, f"$.{key}")
+    """A flat metadata key by type, whatever characters it has; arrays are read as JSON."""
+    if any(c in key for c in "'?\\"):  # JSON paths can't name these
+        value = F.try_element_at(F.from_json(column, "map<string,variant>"), F.lit(key))
+        raw = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    else:
+        raw = F.get_json_object(column, f"$['{key}']")
     return F.from_json(raw, kind) if kind.startswith("array") else raw.cast(kind)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import tables
+
 
 def effective_groups(level: Column, groups: Column, creator: Column) -> Column:
     """The groups of a new collection by its access level, each once, in order."""
@@ -41,6 +43,30 @@ def visible_chunks(principals: DataFrame, chunks: DataFrame) -> DataFrame:
     return groups.join(roles.hint("merge"), "g").select("user", "id").distinct()
 
 
+def set_number(groups: Column) -> Column:
+    """The number of a set of groups, whatever their order; null for none."""
+    once = F.array_sort(F.array_distinct(F.filter(groups, lambda g: g.isNotNull())))
+    return F.when(F.size(once) > 0, F.xxhash64(once))
+
+
+def group_sets(chunks: DataFrame) -> DataFrame:
+    """(set, groups, n): the distinct sets of groups and the chunks of each; far fewer than chunks, and counted before they are shuffled."""
+    once = F.array_sort(F.array_distinct(F.filter("security_group", lambda g: g.isNotNull())))
+    return chunks.select(set_number(F.col("security_group")).alias("set"), once.alias("groups")).where("set is not null").groupBy("set").agg(F.first("groups").alias("groups"), F.count("*").alias("n"))
+
+
+def visible_sets(principals: DataFrame, sets: DataFrame) -> DataFrame:
+    """(user, set): the sets that each of many users may see. A chunk carries its ``set_number``, so who sees it is a look-up, and no group is a key that most chunks share."""
+    roles = principals.select("user", F.explode("roles").alias("g")).distinct()
+    return sets.select("set", F.explode("groups").alias("g")).join(roles.hint("merge"), "g").select("user", "set").distinct()
+
+
+def visible_counts(principals: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(user, n): how many chunks each user sees, from the sets alone; users who see none are left out."""
+    sets = tables.cut(group_sets(chunks))
+    return visible_sets(principals, sets).join(sets.select("set", "n").hint("merge"), "set").groupBy("user").agg(F.sum("n").alias("n"))
+
+
 def required_roles(privileges: DataFrame, collections: DataFrame) -> DataFrame:
     """(collection, roles): the known roles among the groups of each collection."""
     groups = collections.select("collection", F.explode("security_group").alias("role"))

@@ -35,10 +35,21 @@ def from_bytes(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def matrix(column: pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     """The lists of ``column`` as rows; shorter ones end in zeros."""
-    lists = column.combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    lists = one_array(column)
     flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
     width = int(sizes.max(initial=0))
     if len(sizes) and (sizes == width).all():
@@ -54,7 +65,8 @@ def pack(rows: DataFrame, index: Callable[[pa.Table], dict] | None = None, schem
     ``ends`` gives places at which a table must be parted further; ``index`` adds the columns of ``schema`` and may replace ``block``.
     """
     tables.small_batches(rows.sparkSession)
-    names = ["number", "block", *[f.strip().split(" ")[0] for f in schema.split(",") if f.strip()]]
+    schema = "number long, block binary" + (f", {schema}" if schema else "")
+    shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,7 +84,7 @@ def pack(rows: DataFrame, index: Callable[[pa.Table], dict] | None = None, schem
                     row = {"number": (TaskContext.get().partitionId() << 32) + at, "block": None} | extra
                     row["block"] = to_bytes(row["block"] if row["block"] is not None else part)
                     at += 1
-                    yield pa.RecordBatch.from_pydict({n: [row[n]] for n in names})
+                    yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in shape], schema=shape)
             held, bytes_held, many = [], 0, 0
 
         for batch in batches:
@@ -86,7 +98,7 @@ def pack(rows: DataFrame, index: Callable[[pa.Table], dict] | None = None, schem
         if many:
             yield from out()
 
-    return rows.mapInArrow(run, "number long, block binary" + (f", {schema}" if schema else ""))
+    return rows.mapInArrow(run, schema)
 
 
 def pack_queries(queries: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
@@ -94,31 +106,38 @@ def pack_queries(queries: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
     return tables.cut(pack(queries.repartition(max(1, -(-queries.count() // most))), most=most))
 
 
-def meet(queries: DataFrame, blocks: DataFrame, start: Callable[[], object], schema: str) -> DataFrame:
-    """Every written query block with every written block: ``start()`` gives a task an object with ``add(number, queries, block)`` and ``rest()``, both yielding columns of ``schema``."""
+def _block(row: pa.RecordBatch) -> dict:
+    return row.to_pylist()[0] | {"block": from_bytes(row.column("block")[0].as_py())}
+
+
+def meet(queries: DataFrame, blocks: DataFrame, start: Callable[[], object], schema: str, read: Callable[[pa.RecordBatch], object] = _block, written: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Every written query block with every block, or with those of equal ``keys``: ``start()`` gives a task an object with ``add(number, queries, block)`` and ``rest()``, both yielding columns of ``schema``; ``read`` makes a block of its row."""
     parts = max(1, queries.count())
-    asked = queries.select(F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int").alias("part"), F.col("number").alias("asking"), F.col("block").alias("asked"))
-    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    how, on = tables.strategy(queries), ["part"]
+    how, on = tables.strategy(queries), [*(keys or ["_part"])]
+    if how == "merge" and not written:
+        blocks = tables.cut(blocks)
+    asked = queries.select(*(keys or [F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int").alias("_part")]), F.col("number").alias("_asking"), F.col("block").alias("_asked"))
+    dealt = blocks if keys else blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     if how == "merge":
         groups = max(1, -(-blocks.select("number").count() // GROUP))
-        dealt = dealt.withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int"))
-        asked, on = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["part", "group"]
-    kinds = [f.strip().split(" ")[0] for f in schema.split(",")]
+        dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int"))
+        asked, on = asked.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), [*on, "_group"]
+    shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, known, number = start(), None, None
 
         def shown(found):
             for columns in found:
-                yield pa.RecordBatch.from_pydict({n: columns[n] for n in kinds})
+                yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in shape], schema=shape)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["asking"] != number or known is None:
-                    number, known = row["asking"], from_bytes(row.pop("asked"))
-                row.pop("asked", None)
-                yield from shown(state.add(number, known, row | {"block": from_bytes(row["block"])}))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                asking = row.column("_asking")[0].as_py()
+                if asking != number:
+                    number, known = asking, from_bytes(row.column("_asked")[0].as_py())
+                yield from shown(state.add(number, known, read(row.drop_columns(["_asking", "_asked"]))))
         yield from shown(state.rest())
 
     return dealt.join(asked.hint(how), on).drop(*on).mapInArrow(run, schema)

@@ -62,8 +62,47 @@ def chunk_text(documents: DataFrame, chunk_size: int = 1000, overlap: int = 200,
     return documents.select(*rest, F.posexplode(cut(F.col(text))).alias("chunk_index", "text"))
 
 
-def reassemble(chunks: DataFrame, by: list[str] = ("document_id",), separator: str = "\n") -> DataFrame:
-    """Chunks by index joined with ``separator``; the first chunk's metadata and groups, where there are any."""
+def shared(before: str, after: str, most: int) -> int:
+    """The length of the longest end of ``before`` that ``after`` starts with, up to ``most``, in time linear in it."""
+    head, tail = after[:most], before[-most:] if most else ""
+    borders, size = [0] * len(head), 0
+    for i in range(1, len(head)):
+        while size and head[i] != head[size]:
+            size = borders[size - 1]
+        size += head[i] == head[size]
+        borders[i] = size
+    size = 0
+    for c in tail:
+        while size and (size == len(head) or c != head[size]):
+            size = borders[size - 1]
+        size += bool(head) and c == head[size]
+    return size
+
+
+def join_trimmed(texts: list[str], separator: str, most: int, least: int) -> str:
+    """Texts in order, each without what its predecessor ended with; ``separator`` stands where fewer than ``least`` characters are shared."""
+    out = list(texts[:1])
+    for before, after in zip(texts, texts[1:]):
+        n = shared(before, after, most)
+        out.append(after[n:] if n >= least else separator + after)
+    return "".join(out)
+
+
+def reassemble(chunks: DataFrame, by: list[str] = ("document_id",), separator: str = "\n", trim: int = 0, least: int = 8) -> DataFrame:
+    """Chunks by index joined with ``separator``; the first chunk's metadata and groups, where there are any.
+
+    With ``trim``, the overlap that the chunks were cut with, neighbours are joined without what they
+    share, if that is ``least`` characters or more.
+    """
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    if trim:
+
+        @F.pandas_udf("string")
+        def trimmed(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda texts: join_trimmed([t or "" for t in texts], separator, trim, least))
+
+        firsts = [F.min_by(c, "chunk_index").alias(c) for c in ("source", "metadata", "security_group", "benchmark_questions") if c in chunks.columns]
+        grouped = chunks.groupBy(*by).agg(parts.alias("_parts"), F.count("*").alias("n_chunks"), *firsts)
+        return grouped.select(*by, trimmed(F.transform("_parts", lambda p: p["text"])).alias("text"), "n_chunks", *[c for c in grouped.columns if c not in (*by, "_parts", "n_chunks")])
     firsts = [F.min_by(c, "chunk_index").alias(c) for c in ("source", "metadata", "security_group", "benchmark_questions") if c in chunks.columns]
     return chunks.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["text"]), separator).alias("text"), F.count("*").alias("n_chunks"), *firsts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import is_blank
@@ -48,6 +48,20 @@ def placement_histogram(placed: DataFrame) -> DataFrame:
     return placed.where("placement is not null").groupBy("placement").agg(F.count("*").alias("n"))
 
 
+def save_run(measured: DataFrame, placed: DataFrame, root: str, run: str) -> None:
+    """Write an evaluation run as JSON lines under ``root``: a line for each metric, its cut-offs as string keys, and one for the histogram of placements. A run that is there already stays."""
+    histogram = placement_histogram(placed).select(F.lit("placement_distribution").alias("metric"), F.col("placement").alias("k"), F.col("n").cast("double").alias("value"))
+    values = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), "value"))))
+    both = measured.select("metric", "k", "value").unionByName(histogram).groupBy("metric").agg(values.alias("values"))
+    both.coalesce(1).write.mode("errorifexists").json(f"{root}/run={run}")
+
+
+def load_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run, metric, k, value) of all saved runs."""
+    saved = spark.read.schema("metric string, values map<string,double>, run string").json(root)
+    return saved.select("run", "metric", F.explode("values").alias("k", "value")).withColumn("k", F.col("k").cast("int"))
+
+
 def results_json(measured: DataFrame) -> DataFrame:
     """One JSON object per metric, with the cut-offs as string keys."""
     return measured.groupBy("metric").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), "value"))))).alias("values"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip_fences
+from corpusloom.functions.text import extraction_prompt, strip_fences
+from corpusloom.operators import tables
 
 
 def check_schema(schema: dict) -> None:
@@ -34,8 +37,9 @@ def sanitize(metadata: Column) -> Column:
 
 def _field(metadata: Column, key: str) -> Column:
     """A key's value with its JSON type."""
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(F.try_parse_json(metadata), f"$['{quoted}']", "variant")
+    if "'" in key or "\\" in key:  # paths can't name these
+        return F.try_element_at(F.from_json(metadata, "map<string,variant>"), F.lit(key))
+    return F.try_variant_get(F.try_parse_json(metadata), f"$['{key}']", "variant")
 
 
 def _quoted(text: Column) -> Column:
@@ -103,23 +107,66 @@ def compact(metadata: Column) -> Column:
     return F.to_json(F.try_parse_json(metadata))
 
 
-def filter_examples(spark: SparkSession, schema: dict) -> DataFrame:
-    """(property, type, example): predicates to start from, in Spark SQL."""
+#: Well-known fields and the type for which they get examples of their own.
+KNOWN_FIELDS = {"author": ("array",), "date": ("integer", "number"), "keywords": ("array",), "unique_words": ("array",), "title": ("string",), "description": ("string",)}
+
+
+def _path(key: str) -> str:
+    if any(c in key for c in "'?\\"):  # JSON paths can't name these
+        return f"CAST(try_element_at(from_json(metadata, 'map<string,variant>'), {_literal(key)}) AS STRING)"
+    return f"get_json_object(metadata, \"$['{key}']\")"
+
+
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array_examples(path: str, one: str, some: list[str]) -> list[str]:
+    """Contains one, any of some, all of them."""
+    listed, array = f"from_json({path}, 'array<string>')", f"array({', '.join(map(_literal, some))})"
+    return [f"array_contains({listed}, {_literal(one)})", f"arrays_overlap({listed}, {array})", f"size(array_except({array}, {listed})) = 0"]
+
+
+def _known_examples(key: str) -> list[str]:
+    path = _path(key)
+    return {
+        "author": _array_examples(path, "John Doe", ["John Doe", "Jane Smith"])[:2], "date": [f"CAST({path} AS DOUBLE) >= 2021", f"CAST({path} AS DOUBLE) BETWEEN 2018 AND 2024"],
+        "keywords": [*_array_examples(path, "machine learning", ["AI", "ML"])[:2], _array_examples(path, "", ["neural networks", "optimization"])[2]], "unique_words": _array_examples(path, "backpropagation", [])[:1],
+        "title": [f"{path} LIKE '%Analysis%'"], "description": [f"{path} LIKE '%Analysis%'"],
+    }[key]
+
+
+def example_matches(examples: DataFrame, rows: DataFrame) -> DataFrame:
+    """``examples`` with the number of rows that each predicate holds for: one pass over the rows for all of them."""
+    listed = examples.collect()  # a few for each property of the schema
+    counts = rows.agg(*[F.count_if(F.expr(r["example"])).alias(f"n{n}") for n, r in enumerate(listed)]).first()
+    return examples.sparkSession.createDataFrame([(*r, counts[n]) for n, r in enumerate(listed)], "property string, type string, example string, matches long")
+
+
+def filter_examples(spark: SparkSession, schema: dict, values: dict[str, list] | None = None) -> DataFrame:
+    """(property, type, example): predicates to start from, in Spark SQL: by the type of each property, then for well-known fields, then one that combines the first of up to three properties (property ``*``). ``values`` gives a property values of its data to show; where it does, well-known fields get no others."""
     check_schema(schema)
-    rows = []
+    values, rows = values or {}, []
     for key, spec in schema["properties"].items():
-        kind, path = spec.get("type", "other"), f"get_json_object(metadata, '$.{key}')"
+        kind, path, own = spec.get("type", "other"), _path(key), values.get(key)
         if kind == "array":
-            examples = [f"array_contains(from_json({path}, 'array<string>'), 'value')", f"arrays_overlap(from_json({path}, 'array<string>'), array('a', 'b'))"]
+            examples = _array_examples(path, (own or ["value"])[0], own or ["a", "b"])
         elif kind in ("integer", "number", "float"):
-            examples = [f"CAST({path} AS DOUBLE) BETWEEN 1 AND 10", f"CAST({path} AS DOUBLE) IN (1, 2)"]
+            low, high = (own or [1, 10])[0], (own or [1, 10])[-1]
+            examples = [f"CAST({path} AS DOUBLE) BETWEEN {low} AND {high}", f"CAST({path} AS DOUBLE) IN ({low}, {high if own else 2})"]
         elif kind == "boolean":
             examples = [f"CAST({path} AS BOOLEAN) = true"]
         elif kind == "string":
-            examples = [f"{path} = 'value'", f"{path} LIKE '%value%'"]
+            one = (own or ["value"])[0]
+            examples = [f"{path} = {_literal(one)}", f"contains({path}, {_literal(one)})"]
         else:
             examples = [f"{path} IS NOT NULL"]
         rows += [(key, kind, e) for e in examples]
+    firsts = [next(e for k, _, e in rows if k == key) for key in list(schema["properties"])[:3]]
+    known = [k for k, kinds in KNOWN_FIELDS.items() if schema["properties"].get(k, {}).get("type") in kinds and k not in values]
+    rows += [(k, schema["properties"][k]["type"], e) for k in known for e in _known_examples(k)]
+    if firsts:
+        rows.append(("*", "combined", " AND ".join(firsts)))
     return spark.createDataFrame(rows, "property string, type string, example string")
 
 
@@ -139,3 +186,33 @@ def comb(chunks: DataFrame, perspective: str, limit: int = 1000) -> DataFrame:
     first = chunks.orderBy("id").limit(limit)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda c: c["text"]), "\n")
     return first.agg(F.concat(F.lit(f"Read these passages with regard to {perspective}:\n"), texts).alias("prompt"), F.count("*").alias("passages"))
+
+
+def extract(documents: DataFrame, schema: dict, answer: Callable[[pd.Series], pd.Series], *, key: str = "document_id", text: str = "text", context: str = "", tries: int = 3, limit: int = 4000, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Metadata of documents by a model that is given as a function from prompts to answers, a batch at a time.
+
+    Answers are read as JSON (``coerce_json``), with ``strict`` put into the schema's form (``enforce``) and checked
+    (``violations``). Documents whose answer can't be read or breaks a rule are asked again, with the broken rules
+    in the prompt, up to ``tries`` times in all. Gives (documents with ``metadata`` and ``attempts``) and
+    (key, attempts, broken, answer) of those that stayed bad. Every answer is written once, so none is asked for twice.
+    """
+    check_schema(schema)
+
+    @F.pandas_udf("string")
+    def model(prompts: pd.Series) -> pd.Series:
+        return answer(prompts)
+
+    prompt, metadata, broken, said, attempts = (tables.unused(n, documents.columns) for n in ("prompt", "metadata", "broken", "answer", "attempts"))
+    todo = documents.withColumn(prompt, extraction_prompt(F.coalesce(F.col(text), F.lit("")), json.dumps(schema), context, limit))
+    good = None
+    for n in range(1, tries + 1):
+        answered = tables.cut(todo.withColumn(said, model(F.col(prompt))).withColumn(attempts, F.lit(n)).withColumn(metadata, coerce_json(F.col(said))))
+        read = tables.cut(answered.withColumn(metadata, F.when(F.col(metadata).isNotNull(), enforce(F.col(metadata), schema)))) if strict else answered
+        checked = read.withColumn(broken, F.when(F.col(metadata).isNull(), F.array(F.lit("unreadable"))).otherwise(violations(F.col(metadata), schema)))
+        done = checked.where(F.size(broken) == 0).select(*documents.columns, metadata, attempts)
+        good = done if good is None else good.unionByName(done)
+        bad = checked.where(F.size(broken) > 0)
+        if n == tries or bad.isEmpty():
+            break
+        todo = bad.withColumn(prompt, F.concat(F.col(prompt), F.lit("\nThe last answer broke these rules: "), F.array_join(broken, ", "))).select(*documents.columns, prompt)
+    return good, bad.select(key, attempts, broken, said)

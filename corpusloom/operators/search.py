@@ -6,23 +6,23 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from corpusloom.functions.text import is_blank, tokens
+from corpusloom.operators import postings, tables
+from corpusloom.operators.blocks import first_k, matrix, meet, one_array, pack, pack_queries
+from corpusloom.operators.conversation import last_user_message
+from corpusloom.operators.cells import assign_cells, fit_centres
+from corpusloom.operators.postings import K1, B
 
-K1, B = 1.2, 0.75
 RRF_K = 100
-#: Queries scored against the vectors at once; larger query tables go block by block.
-QUERY_BLOCK = 1_000
-#: Rows of a query-side table that may be broadcast after counting.
-FEW_ROWS = 200_000
-
-
-def _with_few(big: DataFrame, few: DataFrame, on, how: str = "inner") -> DataFrame:
-    return big.join(few.hint("broadcast" if few.count() <= FEW_ROWS else "merge"), on, how)
+#: Queries whose scores with a block are held at once.
+AT_ONCE = 512
 
 
 def top(ranked: DataFrame, k: int, *order: Column, by: list[str] = ("query_id",)) -> DataFrame:
@@ -57,38 +57,37 @@ def embed(rows: DataFrame, text: str = "text", fn=None, width: int = 256, out: s
     return rows.withColumn(out, given(F.col(text)) if fn else own(tokens(F.col(text))))
 
 
+class _Nearest:
+    """The ``k`` nearest rows of each block to every query."""
+
+    def __init__(self, k: int, metric: str):
+        self.k, self.metric = k, metric
+
+    def add(self, number: int, queries: pa.Table, block: dict):
+        ids, X, Q = one_array(block["block"]["id"]), matrix(block["block"]["v"]), matrix(queries["embedding"])
+        names = one_array(queries["query_id"])
+        by_id = pc.sort_indices(ids).to_numpy()
+        width = max(X.shape[1], Q.shape[1])
+        X, Q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (X[by_id], Q))
+        for at in range(0, len(Q), AT_ONCE):
+            some = Q[at : at + AT_ONCE]
+            if self.metric == "cosine":
+                length = np.linalg.norm(X, axis=1)[None, :] * np.linalg.norm(some, axis=1)[:, None]
+                s = np.divide(some @ X.T, length, out=np.zeros_like(length), where=length > 0)
+            else:
+                s = -((some**2).sum(1)[:, None] - 2 * some @ X.T + (X**2).sum(1)[None, :])
+            i, j = first_k(np.nan_to_num(np.round(s, 9), nan=-np.inf), self.k)
+            yield {"query_id": names.take(pa.array(at + i)), "id": ids.take(pa.array(by_id[j])), "s": np.round(s[i, j], 9)}
+
+    def rest(self):
+        yield from ()
+
+
 def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str, id_: str, vector: str) -> DataFrame:
-    usable = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id")
-    ids = [r[0] for r in usable.select("query_id").collect()]
-    kind, id_kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_]
-    found = None
-    for start in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = usable.where(F.col("query_id").isin(ids[start : start + QUERY_BLOCK])).toPandas()
-        names, Q = block["query_id"].tolist(), np.array(block["embedding"].tolist(), dtype=np.float64).reshape(len(block), -1)
-        shared = vectors.sparkSession.sparkContext.broadcast((names, Q))
-
-        def run(batches):
-            names, Q = shared.value
-            norms = np.linalg.norm(Q, axis=1)
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                if not len(pdf) or not len(names):
-                    continue
-                X = np.array(pdf["v"].tolist(), dtype=np.float64)
-                if metric == "cosine":
-                    length = np.linalg.norm(X, axis=1)[None, :] * norms[:, None]
-                    s = np.divide(Q @ X.T, length, out=np.zeros_like(length), where=length > 0)
-                else:
-                    s = -((Q**2).sum(1)[:, None] - 2 * Q @ X.T + (X**2).sum(1)[None, :])
-                s = np.round(s, 9)
-                for i, name in enumerate(names):
-                    # every row that may be among the first k of this batch, ties included
-                    edge = np.partition(s[i], -k)[-k] if len(X) > k else -np.inf
-                    at = np.flatnonzero(s[i] >= edge)
-                    yield pd.DataFrame({"query_id": name, "id": pdf["id"].to_numpy()[at], "s": s[i][at]})
-
-        part = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, id {id_kind}, s double")
-        found = part if found is None else found.unionByName(part)
+    """Query blocks meet vector blocks, each of which gives its ``k`` best; one read of the vectors, whatever the number of queries."""
+    asked = pack_queries(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"))
+    stored = pack(vectors.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v")))
+    found = meet(asked, stored, lambda: _Nearest(k, metric), f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)[id_]}, s double", written=False)
     return top(found, k, F.desc("s"), F.col("id"))
 
 
@@ -103,29 +102,15 @@ def l2_topk(queries: DataFrame, vectors: DataFrame, k: int, id_: str = "id", vec
 
 
 def build_cells(vectors: DataFrame, cells: int, vector: str = "text_embedding", sample: int = 20_000, seed: int = 3):
-    """k-means over a bounded sample of unit vectors; gives ``vectors`` with the cell of every row, and the centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    chosen = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample)
-    model = KMeans(k=cells, seed=seed, featuresCol="features", distanceMeasure="cosine").fit(chosen.select(array_to_vector(F.col(vector)).alias("features")))
-    centres = np.array(model.clusterCenters())
+    """``vectors`` with the cell of every row, and the centres; ``cells.write_cells`` stores such an index."""
+    centres = fit_centres(vectors, cells, vector, sample, seed)
     return assign_cells(vectors, centres, 1, vector).withColumn("cell", F.col("cells")[0]).drop("cells"), centres
 
 
-def assign_cells(rows: DataFrame, centres: np.ndarray, n: int, vector: str) -> DataFrame:
-    @F.pandas_udf("array<int>")
-    def nearest(vs: pd.Series) -> pd.Series:
-        C = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-        return vs.map(lambda v: None if v is None else np.argsort(-(C @ np.asarray(v, dtype=np.float64)), kind="stable")[:n].astype(np.int32))
-
-    return rows.withColumn("cells", nearest(F.col(vector)))
-
-
 def approx_cosine_topk(queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int, nprobe: int = 10, id_: str = "id", vector: str = "text_embedding") -> DataFrame:
     """Cosine top-k among the rows of each query's ``nprobe`` nearest cells."""
     probes = assign_cells(queries.where(F.col("embedding").isNotNull()), centres, nprobe, "embedding").select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-    near = _with_few(celled.select(F.col(id_).alias("id"), F.col(vector).alias("v"), "cell"), probes, "cell")
+    near = tables.join_few(celled.select(F.col(id_).alias("id"), F.col(vector).alias("v"), "cell"), probes, "cell")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v")))
     return top(near.select("query_id", "id", F.round(score, 9).alias("score")), k, F.desc("score"), F.col("id"))
@@ -134,15 +119,6 @@ def approx_cosine_topk(queries: DataFrame, celled: DataFrame, centres: np.ndarra
 # --- BM25
 
 
-def query_terms(queries: DataFrame, drop_ratio: float = 0.0, idf: DataFrame | None = None) -> DataFrame:
-    """(query_id, term) distinct; with ``idf`` (term, idf) the lightest ``drop_ratio`` of each query's terms go."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    if not drop_ratio or idf is None:
-        return terms
-    share = F.percent_rank().over(W.partitionBy("query_id").orderBy("idf", "term"))
-    return terms.join(idf.hint("merge"), "term").withColumn("share", share).where(F.col("share") >= drop_ratio).select("query_id", "term")
-
-
 def build_postings(rows: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     """(term, id, tf, dl)."""
     counted = rows.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
@@ -150,25 +126,9 @@ def build_postings(rows: DataFrame, id_: str = "id", text: str = "text") -> Data
 
 
 def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, id_: str = "id", text: str = "text", k1: float = K1, b: float = B, drop_ratio: float = 0.0) -> DataFrame:
-    """(query_id, id, score, rank); idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of asked terms are made.
-
-    Asked words are dealt out by row id, once: tf, scores and the first k of each query in a partition
-    are then made where they lie, and only those k go on, however many rows share a common word.
-    """
-    own = rows.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
-    n, mean = own.agg(F.count("*"), F.avg(F.size("t"))).first()
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct()
-    how = "broadcast" if terms.count() <= FEW_ROWS else "merge"  # weights have a row for each asked term at most
-    matched = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.hint(how), "term")
-    postings = matched.repartition("id").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("idf"))
-    if drop_ratio:
-        asked = query_terms(queries, drop_ratio, idf)
-    scored = _with_few(postings.join(idf.hint(how), "term"), asked, "term")
-    value = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
-    return top(scored.groupBy("query_id", "id").agg(F.round(F.sum(value), 6).alias("score")), k, F.desc("score"), F.col("id"))
+    """(query_id, id, score, rank) over rows with unique ids: one tokenisation into ranges of asked terms, which are then searched; ``postings.build`` keeps such ranges for further searches."""
+    terms = tables.cut(postings.query_terms(queries).select("term").distinct())
+    return postings.search(queries, tables.cut(postings.build(rows, id_, text, terms)), k, k1, b, drop_ratio)
 
 
 # --- fusion
@@ -250,6 +210,21 @@ def expanded_where_thin(queries: DataFrame, hits: DataFrame, limit: int) -> Data
     return counts.select("query_id", F.explode(F.array("text", F.concat("text", F.lit(" example")), F.concat("text", F.lit(" usage")))).alias("text"))
 
 
+def refined(queries: DataFrame, hits: DataFrame, chunks: DataFrame, limit: int, partitions: list[str], more: list[str]) -> DataFrame:
+    """``hits`` (query_id, id, score) and, for queries with too few, those of a second search: the query and its variants over ``partitions`` and ``more``; each row once with its best score, the first ``limit`` by ``rank``."""
+    variants = tables.cut(expanded_where_thin(queries, hits, limit).withColumn("asked", F.col("query_id")).withColumn("query_id", F.concat_ws("/", "asked", F.xxhash64("text"))))
+    again = search_partitions(variants.select("query_id", "text"), chunks, list(dict.fromkeys([*partitions, *more])), limit)
+    named = again.join(variants.select("query_id", "asked").distinct().hint("merge"), "query_id").select(F.col("asked").alias("query_id"), "id", "score")
+    best = hits.select("query_id", "id", "score").unionByName(named).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(best, limit, F.desc("score"), F.col("id"))
+
+
+def search_conversations(messages: DataFrame, chunks: DataFrame, limit: int = 10, embed_text=None, **options) -> DataFrame:
+    """(query_id, id, rrf_score, rank): the last user message of each conversation as the query of a hybrid search; ``embed_text`` gives (query_id, text) a vector."""
+    asked = last_user_message(messages).withColumnRenamed("conv_id", "query_id")
+    return hybrid_search(embed_text(asked) if embed_text else asked, chunks, limit, **options)
+
+
 def legacy_score(distance: Column) -> Column:
     return F.when(distance <= 1, 1 - distance).otherwise(F.lit(0.0))
 

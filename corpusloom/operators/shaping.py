@@ -110,6 +110,35 @@ def top_topics(chunks: DataFrame, k: int, key: str = "keywords") -> DataFrame:
     return pairs.groupBy("topic").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "topic").limit(k)
 
 
+def topic_sketches(chunks: DataFrame, by: list[str] = (), key: str = "keywords", lg: int = 12) -> DataFrame:
+    """(…by, topic, documents): a mergeable sketch of the documents of each topic, to be kept for each day or partition and put together later; ``lg`` 12 errs by about 2 % (one standard deviation)."""
+    pairs = chunks.select(*by, "document_id", F.explode(meta(key, "array<string>")).alias("topic"))
+    return pairs.groupBy(*by, "topic").agg(F.hll_sketch_agg("document_id", lg).alias("documents"))
+
+
+def topics_from_sketches(sketches: DataFrame, k: int) -> DataFrame:
+    """The ``k`` topics of most documents, by the union of their sketches."""
+    counted = sketches.groupBy("topic").agg(F.hll_sketch_estimate(F.hll_union_agg("documents", True)).alias("documents"))
+    return counted.orderBy(F.desc("documents"), "topic").limit(k)
+
+
+def frequent_sketches(chunks: DataFrame, by: list[str], key: str = "keywords", capacity: int = 4096) -> DataFrame:
+    """(…by, frequent, n): a heavy-hitter sketch of the topics of first chunks, ``capacity`` counters each; a topic's count is off by at most about 3.5 n / capacity."""
+    topics = chunks.where("chunk_index = 0").select(*by, F.explode(F.array_distinct(meta(key, "array<string>"))).alias("topic"))
+    return topics.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(topic, {capacity})").alias("frequent"), F.count("topic").alias("n"))
+
+
+def frequent_topics(sketches: DataFrame, k: int, capacity: int = 4096) -> DataFrame:
+    """(topic, documents) of the ``k`` heaviest topics over all sketches."""
+    merged = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(frequent, {capacity}), {k})").alias("top"))
+    return merged.select(F.inline("top")).toDF("topic", "documents")
+
+
+def distinct_estimate(chunks: DataFrame, found: Column, lg: int = 12) -> DataFrame:
+    """As ``documents_on``, by a sketch: no document id is shuffled."""
+    return chunks.where(found).agg(F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg("document_id", lg)), F.lit(0)).alias("documents"))
+
+
 def documents_on(chunks: DataFrame, found: Column) -> DataFrame:
     return chunks.where(found).agg(F.countDistinct("document_id").alias("documents"))
 

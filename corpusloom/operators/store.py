@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql.utils import AnalysisException
+
 from corpusloom.functions.filters import visible_to
+from corpusloom.operators import tables
 from corpusloom.operators.metadata import members
 
 KEY = ("source", "chunk_index")
@@ -87,9 +90,109 @@ def write_snapshot(chunks: DataFrame, root: str) -> str:
     return name
 
 
+def current_version(spark: SparkSession, root: str) -> str:
+    """The name of the newest snapshot: one small table is read."""
+    return spark.read.parquet(f"{root}/versions").orderBy(F.desc("at")).first()["version"]
+
+
+def load_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{version}")
+
+
 def load_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.parquet(f"{root}/versions").orderBy(F.desc("at")).first()["version"]
-    return spark.read.parquet(f"{root}/{name}")
+    return load_version(spark, root, current_version(spark, root))
+
+
+# --- collections in key buckets
+
+
+class Conflict(RuntimeError):
+    """Another writer has moved the collection on."""
+
+
+#: Buckets of a collection; its sources are dealt to them by a hash.
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+
+
+def _claim(spark: SparkSession, root: str, version: int, buckets: int) -> None:
+    """Take a version number, which only one writer can."""
+    try:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("errorifexists").parquet(f"{root}/versions/version={version}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise Conflict(f"version {version} is taken") from e
+
+
+def bucket_version(spark: SparkSession, root: str) -> tuple[int, int]:
+    """The newest version of a bucketed collection and its number of buckets: one small table is read."""
+    return tuple(spark.read.parquet(f"{root}/versions").agg(F.max(F.struct(F.col("version").cast("int"), "buckets")).alias("v")).select("v.*").first())
+
+
+def create_buckets(chunks: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Write a collection by the bucket of its source, as version 1; a large bucket may have several files."""
+    _claim(chunks.sparkSession, root, 1, buckets)
+    chunks.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/rows")
+
+
+def load_buckets(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/rows").drop("bucket")
+
+
+def upsert_buckets(incoming: DataFrame, root: str, order: str | None = None, seen: int | None = None) -> tuple[int, list[int]]:
+    """Upsert into the buckets that ``incoming`` touches, and leave all other files as they are: the new version and those buckets.
+
+    The version is claimed after the new rows are made and before any is put in place, so of two writers
+    that began from one version the second gets ``Conflict`` and changes nothing; so does a caller whose
+    ``seen`` version is no longer the newest. An update that fails halfway is run again.
+    """
+    spark = incoming.sparkSession
+    version, buckets = bucket_version(spark, root)
+    if seen is not None and seen != version:
+        raise Conflict(f"version {seen} was read, {version} is stored")
+    rows = tables.cut(incoming.withColumn("bucket", _bucket(buckets)))
+    touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets
+    if not touched:
+        return version, touched
+    stored = spark.read.parquet(f"{root}/rows").where(F.col("bucket").isin(touched))
+    try:
+        new = tables.cut(upsert(stored, rows, order))
+    except Exception as e:  # files that another writer replaced can't be read any more
+        if bucket_version(spark, root)[0] != version:
+            raise Conflict(f"version {version} was replaced") from e
+        raise
+    _claim(spark, root, version + 1, buckets)
+    new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/rows")
+    return version + 1, touched
+
+
+def create_partition(spark: SparkSession, root: str, name: str) -> bool:
+    """Name a partition of the collection at ``root``, which may stay empty; False if it is there already."""
+    try:
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("errorifexists").parquet(f"{root}.partitions/partition={name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        return False
+    return True
+
+
+def partitions(spark: SparkSession, root: str) -> DataFrame:
+    """(name) of the partitions that were created or hold rows."""
+    found = None
+    for path, column in ((f"{root}.partitions", "name"), (root, "partition")):
+        try:
+            some = spark.read.parquet(path).select(F.col(column).cast("string").alias("name"))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            continue
+        found = some if found is None else found.unionByName(some)
+    return spark.createDataFrame([], "name string") if found is None else found.distinct()
 
 
 def describe_collections(chunks: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import filters as fl
 from corpusloom.functions import text as tx
-from corpusloom.operators import access, chunking, conversation, conversion, evaluation, metadata, mining, search, shaping, store
+from corpusloom.operators import access, chunking, conversation, conversion, evaluation, metadata, mining, search, shaping, store, tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -381,7 +381,7 @@ def _expected(spark, sf_dir):
     starts = F.when(F.size("words") >= _RUN, F.sequence(F.lit(1), F.size("words") - _RUN + 1)).otherwise(F.array().cast("array<int>"))
     split = docs.where("text is not null").select("id", F.split("text", r"\s+").alias("words"))
     runs = split.select("id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, _RUN)))).alias("run"))
-    pairs = search._with_few(runs, traced.select("item_id", "run"), "run").select("id", "item_id").distinct()
+    pairs = tables.join_few(runs, traced.select("item_id", "run"), "run").select("id", "item_id").distinct()
     held = pairs.join(docs.hint("merge"), "id").join(b.hint("merge"), "item_id").where(F.contains("text", "item")).select("item_id", "id")
     # items of too few words for a run are tried on every document
     brief = b.where(F.size(words) < _RUN + 2)

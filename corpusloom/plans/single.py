@@ -55,14 +55,14 @@ def v3_approx_in_every_cell(spark, sf_dir):
     return search.approx_cosine_topk(q, celled, centres, 10, nprobe=12).withColumn("score", F.round("score", 6))
 
 
-_EMBEDDED = "ed AS (SELECT doc_id AS id, text, lang, '{\"lang\":\"' || lang || '\"}' AS metadata, embedding FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)"
-_DENSE = f"SELECT a.query_id, b.id, {_COS} AS score FROM q a, ed b"
+_EMBEDDED = "ed AS (SELECT doc_id AS id, text, lang, '{\"lang\":\"' || lang || '\"}' AS metadata, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id), q AS (SELECT item_id AS query_id, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"
+_DENSE = f"SELECT a.query_id, b.id, {_COS} AS score FROM q a, ed b WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL"
 
 
 def _embedded(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("text_embedding"))
-    docs = documents(spark, sf_dir).join(v.hint("merge"), "id").withColumn("metadata", F.to_json(F.struct("lang")))
-    asked = questions(spark, sf_dir).join(v.select(F.col("id").alias("query_id"), F.col("text_embedding").alias("embedding")).hint("merge"), "query_id")
+    docs = documents(spark, sf_dir).join(v.hint("merge"), "id", "left").withColumn("metadata", F.to_json(F.struct("lang")))
+    asked = questions(spark, sf_dir).join(v.select(F.col("id").alias("query_id"), F.col("text_embedding").alias("embedding")).hint("merge"), "query_id", "left")
     return asked, docs
 
 
@@ -238,7 +238,7 @@ def m10_compact(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", metadata.compact(F.format_string('{ "a" : [1, 2],\n "k": %d }', "event_id")).alias("metadata"))
 
 
-@query("SELECT * FROM (VALUES ('k', 'integer', 2), ('name', 'string', 2), ('tags', 'array', 2), ('year', 'integer', 2)) AS t(property, type, examples), (SELECT count(*) AS events FROM events)")
+@query("SELECT * FROM (VALUES ('k', 'integer', 2), ('name', 'string', 2), ('tags', 'array', 3), ('year', 'integer', 2), ('*', 'combined', 1)) AS t(property, type, examples), (SELECT count(*) AS events FROM events)")
 def m11_filter_examples(spark, sf_dir):
     merged = metadata.merge_schemas(_SCHEMA, {"type": "object", "properties": {"tags": {"type": "array"}}})
     n = table(spark, sf_dir, "events").agg(F.count("*").alias("events"))

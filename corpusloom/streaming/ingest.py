@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from corpusloom.operators import postings
 from corpusloom.operators.chunking import chunk_text
-from corpusloom.operators.search import bm25_topk
-from corpusloom.operators.store import new_sources, prepare_rows
+from corpusloom.operators.store import current_version, load_version, prepare_rows
+
+#: Where Spark keeps the keys of a stateful query: on disk, not in the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -22,22 +28,90 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+class FirstOfSource(StatefulProcessor):
+    """Lets a source's first document pass and none after it; the state of a source is that it has been seen."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        known = self.seen.exists()
+        for batch in rows:
+            if not known and len(batch):
+                known = True
+                self.seen.update((True,))
+                # of several in one batch the least id, whatever their order
+                yield batch.sort_values("document_id", kind="stable").head(1)[self.columns]
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_each_source(documents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Streamed ``documents`` whose source neither came before nor is among ``stored`` (source); what came is kept as state, by source, so nothing stored is read after the first batch."""
+    initial = None if stored is None else stored.select("source").distinct().groupBy("source")
+    processor = FirstOfSource(documents.columns)
+    return documents.where("source is not null").groupBy("source").transformWithStateInPandas(processor, documents.schema, "Append", "None", initial)
+
+
 def stream_ingest(documents: DataFrame, collection: str, checkpoint: str, **chunking) -> StreamingQuery:
-    """Chunk each batch of streamed documents (document_id, source, text) and add those whose source isn't stored; a batch that is run again adds nothing twice."""
+    """Chunk streamed documents (document_id, source, text) and add those whose source isn't stored.
+
+    Which sources came is keyed state; those that the collection held before the stream first started are
+    its initial state. Each batch writes folders of its own under ``collection`` (columns ``ingest`` and
+    ``partition``), which it overwrites if it is run again, so repeated files, late files and restarts add
+    nothing twice. Documents without a source or a text are left out.
+    """
+    spark = documents.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def add(batch: DataFrame, epoch: int) -> None:
-        have = _stored(batch.sparkSession, collection)
-        fresh = batch.dropDuplicates(["source"])
-        fresh = fresh if have is None else new_sources(fresh, have)
-        prepare_rows(chunk_text(fresh.where("text is not null"), **chunking)).write.mode("append").partitionBy("partition").parquet(collection)
+        rows = prepare_rows(chunk_text(batch.where("text is not null"), **chunking)).withColumn("ingest", F.lit(f"{stream}-{epoch}"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest", "partition").parquet(collection)
+
+    stored = _stored(spark, collection)
+    if stored is not None and "ingest" in stored.columns:  # its own folders are in its state, or written again
+        stored = stored.where(~F.col("ingest").startswith(f"{stream}-"))
+    fresh = first_of_each_source(documents, stored)
+    return fresh.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class KeptIndex:
+    """Postings of the newest snapshot under ``root``, opened once and again only when its version changes. Made postings stay beside their snapshot."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.version, self.index, self.opened = spark, root, None, None, 0
+
+    def now(self) -> DataFrame:
+        version = current_version(self.spark, self.root)
+        if version != self.version:
+            path = f"{self.root}/postings/{version}"
+            if _stored(self.spark, path) is None:
+                postings.build(load_version(self.spark, self.root, version)).write.mode("overwrite").parquet(path)
+            self.version, self.index, self.opened = version, self.spark.read.parquet(path), self.opened + 1
+        return self.index
 
-    return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def stream_search(questions: DataFrame, root: str, answers: str, checkpoint: str, k: int = 10, search: Callable = postings.search) -> StreamingQuery:
+    """Answer streamed questions (query_id, text) from the newest snapshot under ``root``.
 
-def stream_search(questions: DataFrame, chunks: DataFrame, answers: str, checkpoint: str, k: int = 10, search: Callable = bm25_topk) -> StreamingQuery:
-    """Answer streamed questions (query_id, text) from a static collection; each batch has a folder of its own under ``answers`` (column ``epoch``), which it overwrites if it is run again."""
+    A batch reads one small version row; postings are opened anew when it has changed. Each batch has a
+    folder of its own under ``answers`` (column ``epoch``), which it overwrites if it is run again, and
+    tells the version it answered from.
+    """
+    kept = KeptIndex(questions.sparkSession, root)
 
     def answer(batch: DataFrame, epoch: int) -> None:
-        search(batch, chunks, k).write.mode("overwrite").parquet(f"{answers}/epoch={epoch}")
+        index = kept.now()
+        search(batch, index, k).withColumn("version", F.lit(kept.version)).write.mode("overwrite").parquet(f"{answers}/epoch={epoch}")
 
-    return questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.kept = kept
+    return query

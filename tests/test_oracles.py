@@ -8,11 +8,12 @@ import os
 import duckdb
 import pytest
 
+from corpusloom.plans import kept
 from corpusloom.plans import queries as own
 from corpusloom.plans import single
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = own.QUERIES | single.QUERIES, own.ORACLE | single.ORACLE
+QUERIES, ORACLE = own.QUERIES | single.QUERIES | kept.QUERIES, own.ORACLE | single.ORACLE | kept.ORACLE
 
 
 @pytest.fixture(scope="module")

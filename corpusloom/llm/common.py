@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,18 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict],
     return df.mapInArrow(run, schema)
 
 
+class Taken:
+    """Spans, to be asked whether one of them overlaps another span, by a search in their sorted starts."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 #: Edges that one task of a component round takes.
 EDGES_PER_TASK = 200_000
 

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import Taken, map_columns
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "shortcard", "national")
@@ -119,8 +119,8 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     added += [("iban", *x) for x in ibans(text)]
     added += short
     added += [("national", *m.span()) for m in _NATIONAL.finditer(text)]
-    taken = sorted((s, e) for _, s, e in base)
-    sure = [x for x in added if score(text, *x) >= ACCEPT and not any(s < x[2] and x[1] < e for s, e in taken)]
+    taken = Taken([(s, e) for _, s, e in base])
+    sure = [x for x in added if score(text, *x) >= ACCEPT and not taken.overlaps(x[1], x[2])]
     return base, sure
 
 

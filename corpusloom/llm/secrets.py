@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import Taken, map_columns
 
 BASE = ("assign", "access", "hex")
 ADDED = ("random",)
@@ -100,6 +100,7 @@ def find(text: str, tokens_of) -> tuple[list[tuple[str, int, int]], list[tuple[s
         base += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
     base.sort(key=lambda x: (x[1], BASE.index(x[0])))
+    taken = Taken([(s, e) for _, s, e in base])
     added, at, reach = [], 0, 0
     for m in _LONG.finditer(text):
         while at < len(base) and base[at][1] < m.end():
@@ -109,7 +110,7 @@ def find(text: str, tokens_of) -> tuple[list[tuple[str, int, int]], list[tuple[s
             added.append(("random", *m.span()))
         else:
             stretches = [(m.start() + a, m.start() + b) for a, b in random_stretches(m[0], tokens_of)]
-            added += [("random", a, b) for a, b in stretches if not any(x[1] < b and a < x[2] for x in base)]
+            added += [("random", a, b) for a, b in stretches if not taken.overlaps(a, b)]
     return base, added
 
 

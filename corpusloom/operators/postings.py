@@ -97,8 +97,8 @@ def build(rows: DataFrame, id_: str = "id", text: str = "text", only: DataFrame
         if many:
             yield out()
 
-    read = rows.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
-    return read.mapInArrow(run, schema)
+    read = tables.dealt_out(rows.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("t")))
+    return read.select("id", tokens(F.col("t")).alias("t")).mapInArrow(run, schema)
 
 
 class Scores:
@@ -178,9 +178,9 @@ def _search(queries: DataFrame, index: DataFrame, k: int, k1: float, b: float, d
     mean, idf = weights(index, terms.select("term").distinct())
     idf = tables.cut(idf)
     asked = query_terms(queries, drop_ratio, idf) if drop_ratio else terms
-    pairs = asked.join(idf.hint(tables.strategy(idf)), "term")
+    pairs = asked.join(idf.hint("merge"), "term")
     lists = pairs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"))
-    return blocks.meet(blocks.pack_queries(lists), index, lambda: Scores(k, mean, k1, b, report), schema, read=lambda row: row)
+    return blocks.meet(blocks.pack_queries(tables.cut(lists)), index, lambda: Scores(k, mean, k1, b, report), schema, read=lambda row: row)
 
 
 def search(queries: DataFrame, index: DataFrame, k: int, k1: float = K1, b: float = B, drop_ratio: float = 0.0) -> DataFrame:

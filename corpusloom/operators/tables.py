@@ -86,9 +86,14 @@ def _width(column: Column, kind: DataType) -> Column:
     return F.lit(8)
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and bytes of all its values, by one pass over it."""
+    return tuple(map(int, df.agg(F.count("*"), F.coalesce(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")), F.lit(0))).first()))
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all values of ``df``, by a count over its rows."""
-    return int(df.agg(F.coalesce(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")), F.lit(0))).first()[0])
+    """Bytes of all values of ``df``."""
+    return measured(df)[1]
 
 
 def strategy(few: DataFrame) -> str:
@@ -102,6 +107,12 @@ def join_few(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "in
     return big.join(few.hint(strategy(few)), on, how)
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows`` of fewer files than there are cores in as many partitions as cores: a small file is often a single block, which one task would read and work on alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, longer if ``columns`` has it."""
     taken = {c.lower() for c in columns}

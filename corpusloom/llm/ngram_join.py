@@ -44,6 +44,8 @@ PER_CENT = 90
 WORDS = 3
 #: Words whose hashes a task keeps.
 KNOWN_WORDS = 100_000
+#: Points that a task remembers; a copy of one of them needs no cells of its own, as the first has them.
+KNOWN_POINTS = 200_000
 #: Sizes of one level go up by this factor; levels a little wider than the bound on sizes give the fewest cells.
 LEVEL = 1.37
 
@@ -142,6 +144,7 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
     def start():
         known: dict = {}
+        filed: set = set()  # points whose cells this task has given
         levels = Levels(per_cent)
 
         def run(cols):
@@ -149,9 +152,14 @@ def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
             for row, doc, text in zip(cols["row"], cols["doc_id"], cols["utf8"]):
                 if len(known) > KNOWN_WORDS:
                     known.clear()
+                if len(filed) > KNOWN_POINTS:
+                    filed.clear()
                 s = shingle_set(text, known, words)
                 a, b = fingerprint(s)
-                out["row"].append(row), out["doc_id"].append(doc), out["n"].append(len(s)), out["cells"].append(cells(s, levels) if doc is not None else [])
+                new = doc is not None and (a, b) not in filed
+                if new:
+                    filed.add((a, b))
+                out["row"].append(row), out["doc_id"].append(doc), out["n"].append(len(s)), out["cells"].append(cells(s, levels) if new else [])
                 out["a"].append(a), out["b"].append(b)
             return out
 

@@ -444,3 +444,13 @@ def test_random_strings_behind_readable_ones():
             assert not more and start <= 4 + len(before) and end == 4 + len(before) + len(secret)
     for known in ("/api/users/550e8400-e29b-41d4-a716-446655440000/details", "/objects/of/repository/d41d8cd98f00b204e9800998ecf8427e", "private_key_for_production_server=2024"):
         assert not secrets.random_stretches(known, tokens)
+
+
+def test_copies_of_a_text_share_its_cells(make):
+    """Of the rows of one text in a task the first alone has cells; all have its component."""
+    text = " ".join(f"w{i} of" for i in range(40))
+    docs = make([(i, text) for i in range(500)] + [(600, text + " end"), (601, None), (None, text)]).coalesce(1)
+    given = [len(r["cells"]) for r in ngram_join._digests(docs, 90, 3).where("n > 0").collect()]
+    assert sum(n > 0 for n in given) == 2
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert {got[i] for i in [*range(500), 600]} == {0} and got[601] == 601 and got[None] is None

@@ -8,8 +8,9 @@ token and the unseen one. It starts as the unigram model: biases are the logs of
 
 Training takes every training document once. A hash deals them into slices of about ``SLICE``
 tokens in a fixed order; a task trains a copy of the network on a slice by truncated
-backpropagation, and the copies' parameters are averaged in Spark. With many slices this goes in
-rounds, each from the average of the last. Neither the number of partitions nor a repeated task
+backpropagation, and the copies' parameters are averaged in Spark, as arrays. With many slices this
+goes in rounds, each from the average of the last; as the corpus grows, so do both the rounds and the
+slices that one of them takes, each with the root of the number of slices. Neither the number of partitions nor a repeated task
 changes what a slice holds. Documents are scored whole: the hidden state is carried from window to
 window.
 
@@ -22,6 +23,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, utf8
+from .common import cut, forget, map_columns, shared_folder, utf8
 
 HEAD = 200_000
 WORDS, CLASS, HIDDEN = 4096, 64, 24
@@ -39,8 +42,10 @@ OWN = 1024
 WINDOW, LANES, STEPS = 24, 512, 128
 #: Training tokens of a slice, which one task takes, so that tasks grow in number with the corpus.
 SLICE = 4_000_000
-#: Rounds of averaging, at most, and slices that a round takes at least.
-ROUNDS, ROUND_SLICES = 4, 12
+#: Slices of one round of averaging; with n times as many there are sqrt(n) rounds of sqrt(n) times as many.
+ROUND_SLICES = 12
+#: Parameters that are added up together.
+CHUNK = 8192
 #: Documents whose states go on side by side in scoring, and states whose outputs are taken at once.
 TOGETHER, ROWS = 4096, 6144
 #: The key of the end token; no word has it.
@@ -332,24 +337,28 @@ def fit(documents: DataFrame, counts: DataFrame) -> Model:
     if not model.total:
         return model
     slices = max(4, -(-model.total // SLICE))
-    rounds = min(ROUNDS, max(1, slices // ROUND_SLICES))
+    rounds = max(1, math.isqrt(slices // ROUND_SLICES))
     mine = documents.where(~held_out()).select(utf8(), F.xxhash64("doc_id", "text").alias("draw")).withColumn("slice", F.pmod("draw", F.lit(slices)).cast("int"))
+    path = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
+    if rounds > 1:  # written by round, so that a round reads its own texts and no others
+        mine.withColumn("turn", F.col("slice") % rounds).write.partitionBy("turn").parquet(path)
+        mine = spark.read.parquet(path)
     for turn in range(rounds):
         here = -(-(slices - turn) // rounds)  # slices with this remainder
-        part = mine.where(F.col("slice") % rounds == turn).select("utf8", "draw", F.expr(f"slice div {rounds}").cast("int").alias("slice"))
+        part = mine if rounds == 1 else mine.where(F.col("turn") == turn)
+        part = part.select("utf8", "draw", F.expr(f"slice div {rounds}").cast("int").alias("slice"))
         moves = _moves(part.repartitionById(here, F.col("slice")).sortWithinPartitions("slice", "draw"), model)
-        rows = moves.toPandas()  # one number for each parameter of the network, and their weight at -1
-        tokens = rows.loc[rows["at"] < 0, "moved"].sum()
-        rows = rows[rows["at"] >= 0]
-        if tokens:
-            flat = model.network.flat().astype(np.float64)
-            flat[rows["at"].to_numpy(dtype=np.int64)] += np.round(rows["moved"].to_numpy(dtype=np.float64) / tokens, 9)  # sums in any order agree so far
-            model.network.load(flat)
+        rows = sorted((r["chunk"], r["tokens"], r["moved"]) for r in moves.collect())  # one number for each parameter of the network
+        if rows:
+            moved = np.concatenate([np.array(m) for _, _, m in rows]) / rows[0][1]
+            model.network.load(model.network.flat().astype(np.float64) + np.round(moved, 9))  # sums in any order agree so far
+    if rounds > 1:
+        forget(spark, path)
     return model
 
 
 def _moves(slices: DataFrame, model: Model) -> DataFrame:
-    """(at, moved): for each parameter the sum over slices of how far training moved it, times the slice's tokens; at -1 the tokens."""
+    """(chunk, tokens, moved): for ``CHUNK`` parameters at a time the sums over slices of how far training moved them, times the slice's tokens; and all tokens."""
     shared = slices.sparkSession.sparkContext.broadcast(model)  # HEAD counts and the network: a fixed size
 
     def trained(batches):
@@ -364,7 +373,8 @@ def _moves(slices: DataFrame, model: Model) -> DataFrame:
             start, tokens = network.flat(), np.concatenate(stream)
             network.train(tokens)
             moved = (network.flat() - start).astype(np.float64) * len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(moved), dtype=np.int32)), pa.array(np.append(len(tokens), moved))], names=["at", "moved"])
+            parts = [moved[at : at + CHUNK] for at in range(0, len(moved), CHUNK)]
+            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([len(tokens)] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["chunk", "tokens", "moved"])
 
         now, stream = None, []
         for batch in batches:
@@ -380,7 +390,20 @@ def _moves(slices: DataFrame, model: Model) -> DataFrame:
         if stream:
             yield rows(stream)
 
-    return slices.select("utf8", "slice").mapInArrow(trained, "at int, moved double").groupBy("at").agg(F.sum("moved").alias("moved"))
+    def added(batches):
+        import pyarrow as pa
+
+        sums: dict = {}  # a task has a few chunks, each of CHUNK numbers, whatever the number of slices
+        for batch in batches:
+            for chunk, tokens, moved in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                old = sums.get(chunk, (0, 0.0))
+                sums[chunk] = old[0] + tokens, old[1] + moved.values.to_numpy()
+        if sums:
+            chunks, both = zip(*sums.items())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([t for t, _ in both], pa.int64()), pa.array([m for _, m in both], pa.list_(pa.float64()))], names=["chunk", "tokens", "moved"])
+
+    schema = "chunk int, tokens long, moved array<double>"
+    return slices.select("utf8", "slice").mapInArrow(trained, schema).repartition("chunk").mapInArrow(added, schema)
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

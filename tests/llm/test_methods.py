@@ -454,3 +454,60 @@ def test_copies_of_a_text_share_its_cells(make):
     assert sum(n > 0 for n in given) == 2
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
     assert {got[i] for i in [*range(500), 600]} == {0} and got[601] == 601 and got[None] is None
+
+
+def test_ordinal_fit_is_at_the_least_loss():
+    """The fit's likelihood against a plain descent by differences, and against small moves of every number."""
+    rng = np.random.default_rng(3)
+    n, width = 120, 5
+    x = rng.integers(0, 4, size=(n, width)).astype(float)
+    lean = x @ np.array([1.0, -0.8, 0.5, 0.0, 0.3]) + rng.logistic(size=n)
+    grade = np.digitize(lean, np.quantile(lean, [0.5, 0.7, 0.9]))
+    rows, cols = np.nonzero(x)
+
+    def loss(p):
+        w, cuts = p[:width], p[width:]
+        upper = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - cuts[None, :]))), np.zeros((n, 1))], axis=1)
+        return -np.log(np.maximum(upper[np.arange(n), grade] - upper[np.arange(n), grade + 1], 1e-12)).mean() + 1e-3 / 20 * (w**2).sum()
+
+    w, cuts = toxicity._ordinal_fit(rows, cols, x[rows, cols], grade, width, steps=3000)
+    fitted = np.concatenate([w, cuts])
+    assert list(cuts) == sorted(cuts)
+    plain = np.concatenate([np.zeros(width), [0.0, 1.0, 2.0]])
+    for _ in range(3000):
+        slope = np.array([(loss(plain + d) - loss(plain - d)) / 2e-5 for d in np.eye(len(plain)) * 1e-5])
+        plain = plain - 0.3 * slope
+    assert loss(fitted) <= loss(plain) + 1e-4
+    assert np.abs(fitted - plain).max() < 0.1
+    for d in np.eye(len(fitted)) * 0.05:
+        assert loss(fitted) <= min(loss(fitted + d), loss(fitted - d)) + 1e-6
+
+
+def test_toxicity_on_a_table_that_no_constant_was_chosen_on(spark):
+    """Fitted on two thirds of the labels of the larger table, judged on the rest; nothing was tried on it before."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(documents, labels.where("doc_id % 3 <> 1"))
+    judged = toxicity.score(documents, model).join(labels.where("doc_id % 3 = 1"), "doc_id").select("rejected", "toxic").collect()
+    assert len(judged) > 1000 and sum(r["rejected"] == bool(r["toxic"]) for r in judged) >= 0.97 * len(judged)
+
+
+@pytest.mark.parametrize("text", [None, "", " "])
+def test_values_of_blank_texts(spark, make, text):
+    docs = make([(1, text), (1, text), (None, text), (2, "bad bad worse"), (3, "good words")])
+    labels = spark.createDataFrame([(2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id = 1 or doc_id is null").collect():
+        assert (r["severity"], r["grade"], r["rejected"]) == (0.0, 0, False)  # two documents teach nothing
+    for r in quality.judge(docs, quality.fit(docs, labels)).where("doc_id = 1 or doc_id is null").collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (0, 0, 0, 0, 0, True, False)
+    for r in language_model.fit_and_score(docs).where("doc_id = 1 or doc_id is null").collect():
+        assert r["n_tokens"] == 1 and -20 < r["score"] < 0
+
+
+def test_rounds_grow_and_read_their_own_texts(spark, make, monkeypatch):
+    """Many slices: several rounds, the same model whatever the partitions."""
+    monkeypatch.setattr(language_model, "SLICE", 200)
+    docs = make([(i, " ".join(f"w{(i * j) % 17}" for j in range(20))) for i in range(700)])
+    scores = [{r["doc_id"]: r["score"] for r in language_model.fit_and_score(d).collect()} for d in (docs, docs.repartition(7))]
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) < 1e-3 for k in scores[0])
+    base = {r["doc_id"]: r["base_score"] for r in language_model.fit_and_score(docs).collect()}
+    assert sum(scores[0].values()) > sum(base.values())

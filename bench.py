@@ -8,9 +8,11 @@ import time
 
 from pyspark.sql import SparkSession
 
+from corpusloom.plans import kept
 from corpusloom.plans import queries as own
 
 HEADLINE = ["b3_bm25", "b2_postings", "v2_cosine_topk", "r2_hybrid_search", "a1_consolidate_by_document", "k1_chunk_text", "e8_metrics", "u1_upsert", "s8_describe_collections", "a12_top_topics", "f8_metadata_filters", "h5_conversation_search"]
+KEPT = ["b3_kept_postings", "v3_stored_cells", "u1_upsert_buckets", "j4_visible_by_sets"]
 
 
 def main() -> None:
@@ -20,7 +22,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    wanted = {n: own.QUERIES[n] for n in HEADLINE}
+    wanted = {n: own.QUERIES[n] for n in HEADLINE} | {n: kept.QUERIES[n] for n in KEPT}
     try:
         from corpusloom.llm import queries as llm
 

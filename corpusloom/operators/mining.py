@@ -86,8 +86,9 @@ def _capped(value: Column, order: str, most: int, when: Column | None = None) ->
 def api_relations(hits: DataFrame, name: str = "function_name") -> DataFrame:
     """Per query: functions named beside it, import lines, usage examples and documentation from its hits (query_id, rank, text, and the name asked for)."""
     low = F.lower("text")
-    first = hits.where(F.col("rank") <= 100)
-    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    # words stand in a column of their own: inside the loop over places they would be split again for each
+    first = hits.where(F.col("rank") <= 100).withColumn("_words", F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
+    words = F.col("_words")
     after = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(words, i), F.lit("")).isin("function", "def")), lambda i: F.regexp_replace(F.coalesce(F.try_element_at(words, i + 1), F.lit("")), r"^[(),]+|[(),]+$", ""))
     named = F.filter(after, lambda w: (w != "") & (w != F.col(name)))
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("import ") | x.startswith("from "))

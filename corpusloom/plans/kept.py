@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.functions import filters as fl
-from corpusloom.operators import access, cells, chunking, evaluation, metadata, postings, search, shaping, store, tables
+from corpusloom.operators import access, cells, chunking, conversation, evaluation, metadata, mining, postings, search, shaping, store, tables
 from corpusloom.plans import queries as own
 from corpusloom.plans.queries import ASKED, CHUNKS, DOC_ROWS, _bm25_sql, _vectors, chunks, documents, questions, table
 from corpusloom.streaming import ingest
@@ -275,3 +275,60 @@ def t2_stream_search(spark, sf_dir):
     asked = _stream(spark, sf_dir, "benchmark", f"{root}/in").select(F.col("item_id").alias("query_id"), "text")
     ingest.stream_search(asked, f"{root}/store", f"{root}/out", f"{root}/check").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("query_id", "id", "score", "rank")
+
+
+# --- forms of operators that other queries leave out
+
+_NAMED = r"h AS (SELECT doc_id % 50 AS query_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rank, 'f' || doc_id % 50 % 7 || '(x' AS name, 'def f' || doc_id % 7 || '(x), usage' || chr(10) || ' import m' || doc_id % 3 || chr(10) || text AS text FROM documents)"
+
+
+@query(
+    rf"WITH {_NAMED}, f AS (SELECT * FROM h WHERE rank <= 100), w AS (SELECT query_id, rank, name, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM f),"
+    r" n AS (SELECT query_id, rank, i, name, regexp_replace(coalesce(w[i + 1], ''), '^[(),]+|[(),]+$', '', 'g') AS fn FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] IN ('function', 'def')),"
+    " names AS (SELECT query_id, fn, min((rank, i)) AS place FROM n WHERE fn <> '' AND fn <> name GROUP BY ALL), rel AS (SELECT query_id, array_to_string(list(fn ORDER BY place)[1:10], '|') AS related FROM names GROUP BY query_id),"
+    " l AS (SELECT query_id, rank, i, trim(ls[i]) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM f))),"
+    " dep AS (SELECT query_id, array_to_string(list(line ORDER BY place)[1:10], '|') AS dependencies FROM (SELECT query_id, line, min((rank, i)) AS place FROM l WHERE starts_with(line, 'import ') OR starts_with(line, 'from ') GROUP BY ALL) GROUP BY query_id),"
+    " t AS (SELECT query_id, array_to_string((list(substr(text, 1, 500) ORDER BY rank) FILTER (contains(lower(text), 'example') OR contains(lower(text), 'usage')))[1:5], '|') AS examples, substr(string_agg(substr(text, 1, 1000), ' ' ORDER BY rank), 1, 2000) AS documentation FROM f GROUP BY query_id)"
+    " SELECT query_id, coalesce(related, '') AS related, coalesce(dependencies, '') AS dependencies, coalesce(examples, '') AS examples, documentation FROM t LEFT JOIN rel USING (query_id) LEFT JOIN dep USING (query_id)"
+)
+def x11_named_relations(spark, sf_dir):
+    """Relations of named functions: the asked name isn't among those beside it."""
+    d = documents(spark, sf_dir)
+    text = F.concat(F.lit("def f"), (F.col("id") % 7).cast("string"), F.lit("(x), usage\n import m"), (F.col("id") % 3).cast("string"), F.lit("\n"), "text")
+    hits = d.select((F.col("id") % 50).alias("query_id"), F.col("id").alias("of"), text.alias("text"))
+    ranked = search.top(hits, 100, F.col("of")).withColumn("function_name", F.concat(F.lit("f"), (F.col("query_id") % 7).cast("string"), F.lit("(x")))
+    found = mining.api_relations(ranked)
+    return found.select("query_id", F.array_join("related_functions", "|").alias("related"), F.array_join("dependencies", "|").alias("dependencies"), F.array_join("usage_examples", "|").alias("examples"), "documentation")
+
+
+@query(f"{own._HITS} SELECT query_id, source, round(min(1 - rrf_score), 6) AS best, row_number() OVER (PARTITION BY query_id ORDER BY min(1 - rrf_score), source) AS rank FROM h GROUP BY query_id, source")
+def a3_consolidate_ascending(spark, sf_dir):
+    """Sources by their least distance."""
+    near = own._hits(spark, sf_dir).withColumn("distance", 1 - F.col("rrf_score"))
+    return shaping.consolidate_by_source(near, ascending=True).select("query_id", "source", F.round("best", 6).alias("best"), "rank")
+
+
+@query(f"{own._HITS} SELECT query_id, document_id, array_to_string(list_sort(list_distinct(list('c' || chunk_index % 3) || ['w'])), ',') AS words FROM h GROUP BY query_id, document_id")
+def a2_unique_words(spark, sf_dir):
+    """The union of the unique words of a document's chunks."""
+    words = F.to_json(F.struct(F.array(F.lit("w"), F.concat(F.lit("c"), (F.col("chunk_index") % 3).cast("string"))).alias("unique_words")))
+    rich = shaping.consolidate_rich(own._hits(spark, sf_dir).withColumn("metadata", words).withColumn("distance", F.lit(0.0)))
+    return rich.select("query_id", "document_id", F.array_join("unique_words", ",").alias("words"))
+
+
+@query(
+    "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'text,image_url' WHEN 1 THEN 'text' WHEN 2 THEN '' ELSE 'text,audio' END AS kinds, CASE turn % 4 WHEN 2 THEN NULL ELSE text END AS text,"
+    " CASE turn % 4 WHEN 0 THEN 'http://x/' || role END AS url, CASE WHEN turn % 7 = 6 THEN 'unknown role' WHEN turn % 4 = 3 THEN 'unknown part' END AS error FROM conversations"
+)
+def h1_message_parts(spark, sf_dir):
+    """Contents as lists of parts, strings and null, unknown roles and unknown parts."""
+    m = table(spark, sf_dir, "conversations")
+    kind = F.col("turn") % 4
+    said, none = F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.lit(None).cast("string")
+    image = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("http://x/"), "role").alias("url")).alias("image_url"))
+    listed = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(p) for p in parts]), F.lit("]"))
+    alone = F.to_json(F.array("text"))
+    content = F.when(kind == 0, listed(said, image)).when(kind == 1, F.substring(alone, F.lit(2), F.length(alone) - 2)).when(kind == 2, none).otherwise(listed(said, F.struct(F.lit("audio").alias("type"))))
+    role = F.when(F.col("turn") % 7 == 6, F.lit("robot")).otherwise(F.col("role"))
+    found = conversation.normalise_messages(m.withColumn("content", content).withColumn("role", role))
+    return found.select("conv_id", "turn", F.array_join("parts.type", ",").alias("kinds"), F.get("parts", F.lit(0))["text"].alias("text"), F.get("parts", F.lit(1))["url"].alias("url"), "error")

@@ -382,7 +382,8 @@ def _expected(spark, sf_dir):
     split = docs.where("text is not null").select("id", F.split("text", r"\s+").alias("words"))
     runs = split.select("id", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, _RUN)))).alias("run"))
     pairs = tables.join_few(runs, traced.select("item_id", "run"), "run").select("id", "item_id").distinct()
-    held = pairs.join(docs.hint("merge"), "id").join(b.hint("merge"), "item_id").where(F.contains("text", "item")).select("item_id", "id")
+    # texts stay where they lie as long as what is asked of them is small
+    held = tables.join_few(tables.join_few(docs, pairs, "id"), b, "item_id").where(F.contains("text", "item")).select("item_id", "id")
     # items of too few words for a run are tried on every document
     brief = b.where(F.size(words) < _RUN + 2)
     if brief.count():

@@ -20,8 +20,8 @@ shingle space, and documents are pivots inside them:
    ``FEW`` points, joined exactly.
 4. Pivots don't thin out a region whose points are all about equally far apart, as texts are that
    share a long passage. In a task such a region is joined exactly at once. A larger one is parted by
-   its own rarest shingles: two close sets share one of their first ``n - ceil(t n) + 1`` in the
-   order of frequency within the region. Where that fails too, it is cut into blocks, each two of
+   its own shingles: two close sets share one of their first ``n - ceil(t n) + 1`` in an order in
+   which what is frequent in the region comes last. Of regions of the same points one is joined. Where that fails too, it is cut into blocks, each two of
    which are a region; that is quadratic in such a region, but complete.
 5. Links become components by star contraction.
 
@@ -58,6 +58,8 @@ PIVOTS = 4
 FEW = 8
 #: Pivots thin a region out if they send each of its points to fewer regions than this, on average.
 THIN = 1.5
+#: One point in so many tells what is frequent in a region, and the share of them from which a shingle is.
+TELL, OFTEN = 64, 0.02
 #: Bits of a leaf's sketches.
 SKETCH = 1024
 
@@ -331,13 +333,36 @@ def _split(regions: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFram
 
 
 def _by_rare_shingles(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Regions that pivots don't thin out, parted by shingles: (region, x) for each of the rarest of x, rare by its count within the region."""
-    rows = regions.join(sets.hint("merge"), "x").select("region", "x", F.explode("shingles").alias("shingle"))
-    counts = rows.groupBy("region", "shingle").agg(F.count("*").alias("times"))
-    ranked = rows.join(counts.hint("merge"), ["region", "shingle"]).groupBy("region", "x").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("order"))  # a set's own shingles
-    n = F.size("order")
-    first = F.explode(F.slice("order", F.lit(1), (n - F.ceil(n * per_cent / 100) + 1).cast("int"))).alias("rare")
-    return ranked.select("region", "x", first).where("rare.times > 1").select(F.xxhash64("region", "rare.shingle").alias("region"), "x")
+    """Regions that pivots don't thin out, parted by shingles: (region, x) for each of the first of x in an order of the region.
+
+    Any order that all sets of a region share is complete. What many of the region's points have comes last, so that the first ones part
+    them; which those are is told by one point in ``TELL``, as that decides no more than the order. No shingle is counted over all points.
+    """
+    some = regions.where(F.pmod(F.xxhash64(F.lit(9), "x"), F.lit(TELL)) == 0)
+    told = join_few(sets, some, "x").select("region", F.explode("shingles").alias("shingle")).groupBy("region", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    often = told.join(some.groupBy("region").agg(F.count("*").alias("size")).hint("merge"), "region").where(F.col("times") >= OFTEN * F.col("size"))
+    # of each region no more than its average set times 1 / OFTEN
+    last = often.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("last")).select("region", F.col("last.shingle").alias("last"))
+    rows = join_few(join_few(sets, regions, "x"), last, "region", "left").select("region", "x", "shingles", "last")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, xs = [], []
+            for k in range(batch.num_rows):
+                region, x = np.int64(batch.column(0)[k].as_py()).view(np.uint64), batch.column(1)[k].as_py()
+                own, after = batch.column(2)[k].values.to_numpy().view(np.uint64), batch.column(3)[k].values
+                after = np.zeros(0, dtype=np.uint64) if after is None else after.to_numpy().view(np.uint64)
+                common = np.isin(own, after)
+                rare = own[~common]
+                order = np.concatenate([rare[np.argsort(_mix(rare))], after[np.isin(after, own)]])
+                first = order[: len(own) + (-len(own) * per_cent // 100) + 1]  # n - ceil(n * per_cent / 100) + 1
+                keys.append(_mix(_mix(first) ^ region)), xs.append(np.full(len(first), x, dtype=np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(xs))], names=["region", "x"])
+
+    return rows.mapInArrow(run, "region long, x long")
 
 
 def _blocks(regions: DataFrame) -> DataFrame:
@@ -383,7 +408,10 @@ def links(documents: DataFrame, regions: DataFrame, classes: DataFrame, per_cent
     sets = cut(_sets(documents, wanted, words))
     found, parted = None, False
     while True:
-        sized = cut(regions.join(regions.groupBy("region").agg(F.count("*").alias("n")).hint("merge"), "region").where("n > 1"))
+        # regions of the same points have the same links: one of them stays
+        members = regions.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("f"), F.bit_xor(F.xxhash64(F.lit(7), "x")).alias("g")).where("n > 1")
+        once = members.groupBy("n", "f", "g").agg(F.min("region").alias("region")).select("region", "n")
+        sized = cut(regions.join(once.hint("merge"), "region"))
         small = cut(_leaves(sized.where(F.col("n") <= LEAF).select("region", "x"), sets, per_cent))
         found = small if found is None else found.unionByName(small)
         large = sized.where(F.col("n") > LEAF).select("region", "x")

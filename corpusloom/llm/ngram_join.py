@@ -21,7 +21,8 @@ shingle space, and documents are pivots inside them:
 4. Pivots don't thin out a region whose points are all about equally far apart, as texts are that
    share a long passage. In a task such a region is joined exactly at once. A larger one is parted by
    its own shingles: two close sets share one of their first ``n - ceil(t n) + 1`` in an order in
-   which what is frequent in the region comes last. Of regions of the same points one is joined. Where that fails too, it is cut into blocks, each two of
+   which what is frequent in the region comes last. Parts that share points are one region again where
+   a task can hold it, and of regions of the same points one is joined. Where that fails too, it is cut into blocks, each two of
    which are a region; that is quadratic in such a region, but complete.
 5. Links become components by star contraction.
 
@@ -402,6 +403,14 @@ def _regions(points: DataFrame) -> DataFrame:
     return components(chained).select(F.col("component").alias("region"), F.col("node").alias("a"))
 
 
+def _gathered(parts: DataFrame) -> DataFrame:
+    """(region, x): parts that share points as one region where one task can hold it, so that a set is sent there once and not once for each of its shingles; the others as they are."""
+    whole = cut(_regions(parts.select(F.array("region").alias("cells"), F.col("x").alias("a"))).withColumnRenamed("a", "x"))
+    sized = cut(whole.join(whole.groupBy("region").agg(F.count("*").alias("n")).hint("merge"), "region"))
+    large = sized.where(F.col("n") > LEAF).select("x")
+    return sized.where(F.col("n") <= LEAF).select("region", "x").unionByName(parts.join(large.hint("merge"), "x", "left_semi").select("region", "x"))
+
+
 def links(documents: DataFrame, regions: DataFrame, classes: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """Links (u, v) between points, by their ``x``, within regions (region, x); their components are those of all close pairs."""
     wanted = classes.join(regions.select("x").hint("merge"), "x", "left_semi").select("x", "doc_id", "a", "b")
@@ -421,7 +430,7 @@ def links(documents: DataFrame, regions: DataFrame, classes: DataFrame, per_cent
         more, left = _split(large, sets, per_cent)
         found, regions = found.unionByName(more), cut(left)
         if regions.count() > 0.6 * before:
-            regions = _blocks(regions) if parted else cut(_by_rare_shingles(regions, sets, per_cent))
+            regions = _blocks(regions) if parted else cut(_gathered(cut(_by_rare_shingles(regions, sets, per_cent))))
             parted = True
 
 

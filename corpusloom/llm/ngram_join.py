@@ -22,7 +22,8 @@ shingle space, and documents are pivots inside them:
    share a long passage. In a task such a region is joined exactly at once. A larger one is parted by
    its own shingles: two close sets share one of their first ``n - ceil(t n) + 1`` in an order in
    which what is frequent in the region comes last. Parts that share points are one region again where
-   a task can hold it, and of regions of the same points one is joined. Where that fails too, it is cut into blocks, each two of
+   a task can hold it. From a part go the points that no other there can be close to by size and
+   sketch, before any set is sent, and of regions of the same points one is joined. Where that fails too, it is cut into blocks, each two of
    which are a region; that is quadratic in such a region, but complete.
 5. Links become components by star contraction.
 
@@ -61,7 +62,7 @@ FEW = 8
 THIN = 1.5
 #: One point in so many tells what is frequent in a region, and the share of them from which a shingle is.
 TELL, OFTEN = 64, 0.02
-#: Bits of a leaf's sketches.
+#: Bits of a sketch.
 SKETCH = 1024
 
 
@@ -144,6 +145,11 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return _signed(_mix(hashes)), _signed(_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit for the parity of the hashes that fall on it, as bytes: two sets differ in as many elements as their sketches do in bits, at least."""
+    return np.packbits((np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool))
+
+
 def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
     def start():
         known: dict = {}
@@ -172,7 +178,7 @@ def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(x, shingles) of the wanted points (x, doc_id, a, b); of the texts of a doc_id, the one with the point's fingerprint."""
+    """(x, n, sketch, shingles) of the wanted points (x, doc_id, a, b); of the texts of a doc_id, the one with the point's fingerprint."""
 
     def start():
         known: dict = {}
@@ -180,19 +186,19 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         def run(cols):
             if len(known) > KNOWN_WORDS:
                 known.clear()
-            out: dict = {"x": [], "shingles": []}
+            out: dict = {"x": [], "n": [], "sketch": [], "shingles": []}
             for text, points in zip(cols["utf8"], cols["points"]):
                 s = shingle_set(text, known, words)
                 own = fingerprint(s)
                 for p in points:
                     if (p["a"], p["b"]) == own:
-                        out["x"].append(p["x"]), out["shingles"].append(s.view(np.int64))
+                        out["x"].append(p["x"]), out["n"].append(len(s)), out["sketch"].append(sketch(s).tobytes()), out["shingles"].append(s.view(np.int64))
             return out
 
         return run
 
     few = join_few(documents.select("doc_id", utf8()), wanted.groupBy("doc_id").agg(F.collect_list(F.struct("x", "a", "b")).alias("points")), "doc_id")
-    return map_columns(few, "x long, shingles array<long>", start).dropDuplicates(["x"])
+    return map_columns(few, "x long, n long, sketch binary, shingles array<long>", start).dropDuplicates(["x"])
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,8 +247,7 @@ class Leaf:
     def _exactly(self, at: np.ndarray) -> None:
         """All pairs, smaller sets first, by sketches and then in full."""
         if self.sketches is None:
-            # one bit for the parity of the hashes that fall on it: as many bits differ as elements do, at most
-            self.sketches = np.stack([np.packbits((np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.uint64) for s in self.sets])
+            self.sketches = np.stack([sketch(s) for s in self.sets]).view(np.uint64)
         at = np.sort(at)  # by size
         for k, i in enumerate(at[:-1]):
             rest = at[k + 1 : int(np.searchsorted(self.sizes[at], self.sizes[i] * 100 // self.per_cent, side="right"))]
@@ -312,6 +317,55 @@ def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "u long, v long")
 
 
+def partnered(sizes: np.ndarray, sketches: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which of some points another of them may be close to, by their sizes and sketches (a row of words for each)."""
+    order = np.argsort(sizes, kind="stable")
+    n, bits, has = sizes[order], sketches[order], np.zeros(len(order), dtype=bool)
+    last = np.searchsorted(n, n * 100 // per_cent, side="right")
+    for i in range(len(n) - 1):
+        rest = np.arange(i + 1, last[i])
+        if has[i]:
+            rest = rest[~has[rest]]
+        near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) * (100 + per_cent) <= (n[rest] + n[i]) * (100 - per_cent)]
+        if len(near):
+            has[i] = has[near] = True
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = has
+    return out
+
+
+def _partnered(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Regions of at most LEAF points without the points that no other of the same region can be close to; what travels is a sketch of each, not its set."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def left(region, ids, sizes, sketches):
+            has = partnered(np.array(sizes), np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(ids), -1), per_cent) if len(ids) > 1 else np.zeros(len(ids), dtype=bool)
+            own = np.array(ids, dtype=np.int64)[has]
+            return pa.RecordBatch.from_arrays([pa.array([region] * len(own), pa.int64()), pa.array(own)], names=["region", "x"])
+
+        now, ids, sizes, sketches = None, [], [], []
+        for batch in batches:
+            for region, x, n, bits in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if region != now:
+                    yield left(now, ids, sizes, sketches)
+                    now, ids, sizes, sketches = region, [], [], []
+                ids.append(x), sizes.append(n), sketches.append(bits)
+        yield left(now, ids, sizes, sketches)
+
+    rows = regions.join(sets.select("x", "n", "sketch").hint("merge"), "x").select("region", "x", "n", "sketch")
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "region long, x long")
+
+
+def _once(regions: DataFrame) -> DataFrame:
+    """(region, x, n) of regions of two points or more, with their sizes; of those with the same points, which have the same links, one."""
+    members = regions.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("f"), F.bit_xor(F.xxhash64(F.lit(7), "x")).alias("g")).where("n > 1")
+    one = members.groupBy("n", "f", "g").agg(F.min("region").alias("region")).select("region", "n")
+    return regions.join(one.hint("merge"), "region").select("region", "x", "n")
+
+
 def _split(regions: DataFrame, sets: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
     """One step into large regions: links to their pivots, and the regions (region, x) of all pairs still open."""
     radius = 1 - per_cent / 100 + 1e-12
@@ -417,11 +471,11 @@ def links(documents: DataFrame, regions: DataFrame, classes: DataFrame, per_cent
     sets = cut(_sets(documents, wanted, words))
     found, parted = None, False
     while True:
-        # regions of the same points have the same links: one of them stays
-        members = regions.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("f"), F.bit_xor(F.xxhash64(F.lit(7), "x")).alias("g")).where("n > 1")
-        once = members.groupBy("n", "f", "g").agg(F.min("region").alias("region")).select("region", "n")
-        sized = cut(regions.join(once.hint("merge"), "region"))
-        small = cut(_leaves(sized.where(F.col("n") <= LEAF).select("region", "x"), sets, per_cent))
+        sized = cut(_once(regions))
+        leaves = sized.where(F.col("n") <= LEAF).select("region", "x")
+        if parted:  # a point is in a part for each of its first shingles: its set goes only where a partner may be
+            leaves = cut(_once(cut(_partnered(leaves, sets, per_cent)))).select("region", "x")
+        small = cut(_leaves(leaves, sets, per_cent))
         found = small if found is None else found.unionByName(small)
         large = sized.where(F.col("n") > LEAF).select("region", "x")
         before = large.count()

@@ -157,6 +157,29 @@ def test_regions_in_a_task_are_exact():
         assert {frozenset(i for i in range(300) if root(i) == k) for k in range(300)} - {frozenset()} == want
 
 
+@pytest.mark.parametrize("per_cent", [90, 80, 60])
+def test_points_that_may_have_a_partner(per_cent):
+    """No close pair loses a point, sizes on the bound included; points that share a passage and no more go."""
+    r = random.Random(per_cent)
+    fresh = lambda n: [r.randrange(1 << 60) for _ in range(n)]
+    passage, sets = fresh(50), []
+    for n in (1, 10, 100, 400, 3000):
+        base = fresh(n)
+        for change in (0, 1, n // 20, n // 10, n * (100 - per_cent) // 100):
+            sets.append(base[change:]), sets.append([*base[change:], *fresh(change)])
+    alone = len(sets)
+    sets += [passage + fresh(r.randint(150, 600)) for _ in range(60)]
+    sets = [np.unique(np.array(x, dtype=np.uint64)) for x in sets]
+    sizes, bits = np.array([len(s) for s in sets]), np.stack([ngram_join.sketch(s) for s in sets]).view(np.uint64)
+    has = ngram_join.partnered(sizes, bits, per_cent)
+    for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
+        inter = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * inter >= per_cent * (sizes[i] + sizes[j] - inter):
+            assert has[i] and has[j]
+    assert per_cent < 80 or not has[alone:].any()
+    assert not ngram_join.partnered(sizes[:1], bits[:1], per_cent).any()
+
+
 # --- decontamination
 
 

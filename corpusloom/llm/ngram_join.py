@@ -62,7 +62,7 @@ FEW = 8
 THIN = 1.5
 #: One point in so many tells what is frequent in a region, and the share of them from which a shingle is.
 TELL, OFTEN = 64, 0.02
-#: Bits of a sketch.
+#: Least bits of a sketch; a larger set has the power of two from its size on.
 SKETCH = 1024
 
 
@@ -147,7 +147,26 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """One bit for the parity of the hashes that fall on it, as bytes: two sets differ in as many elements as their sketches do in bits, at least."""
-    return np.packbits((np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool))
+    bits = max(SKETCH, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
+
+
+class Sketches:
+    """Sketches of points that are sorted by size, and so by width; a wider one is folded onto a narrower, which gives the sketch of that width."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in sketches])
+        self.begin = {int(w): int(np.searchsorted(self.width, w)) for w in np.unique(self.width)}
+        self.words = {w: np.frombuffer(b"".join(sketches[lo : int(np.searchsorted(self.width, w, side="right"))]), dtype=np.uint64).reshape(-1, w) for w, lo in self.begin.items()}
+
+    def differ(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """In how many bits point i and each of ``rest``, none of them smaller, differ."""
+        w, out, widths = int(self.width[i]), np.zeros(len(rest), dtype=np.int64), self.width[rest]
+        own = self.words[w][i - self.begin[w]]
+        for v in map(int, np.unique(widths)):
+            x = self.words[v][rest[widths == v] - self.begin[v]]
+            out[widths == v] = np.bitwise_count((np.bitwise_xor.reduce(x.reshape(len(x), -1, w), axis=1) if v > w else x) ^ own).sum(axis=1)
+        return out
 
 
 def _digests(documents: DataFrame, per_cent: int, words: int) -> DataFrame:
@@ -228,7 +247,7 @@ class Leaf:
         self.sizes = np.array([len(s) for s in self.sets])
         self.label = np.arange(len(ids))
         self.found: list[tuple[int, int]] = []
-        self.sketches: np.ndarray | None = None
+        self.sketches: Sketches | None = None
 
     def _link(self, i: int, j: int) -> None:
         if self.label[i] != self.label[j]:
@@ -247,13 +266,13 @@ class Leaf:
     def _exactly(self, at: np.ndarray) -> None:
         """All pairs, smaller sets first, by sketches and then in full."""
         if self.sketches is None:
-            self.sketches = np.stack([sketch(s) for s in self.sets]).view(np.uint64)
+            self.sketches = Sketches([sketch(s).tobytes() for s in self.sets])
         at = np.sort(at)  # by size
         for k, i in enumerate(at[:-1]):
             rest = at[k + 1 : int(np.searchsorted(self.sizes[at], self.sizes[i] * 100 // self.per_cent, side="right"))]
             rest = rest[self.label[rest] != self.label[i]]
             if len(rest):
-                differ = np.bitwise_count(self.sketches[rest] ^ self.sketches[i]).sum(axis=1)
+                differ = self.sketches.differ(i, rest)
                 for j in rest[differ * (100 + self.per_cent) <= (self.sizes[rest] + self.sizes[i]) * (100 - self.per_cent)]:
                     if self.label[i] != self.label[j] and self._close(len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)), i, j):
                         self._link(i, j)
@@ -317,16 +336,16 @@ def _leaves(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "u long, v long")
 
 
-def partnered(sizes: np.ndarray, sketches: np.ndarray, per_cent: int) -> np.ndarray:
-    """Which of some points another of them may be close to, by their sizes and sketches (a row of words for each)."""
+def partnered(sizes: np.ndarray, sketches: list[bytes], per_cent: int) -> np.ndarray:
+    """Which of some points another of them may be close to, by their sizes and sketches."""
     order = np.argsort(sizes, kind="stable")
-    n, bits, has = sizes[order], sketches[order], np.zeros(len(order), dtype=bool)
+    n, bits, has = sizes[order], Sketches([sketches[i] for i in order]), np.zeros(len(order), dtype=bool)
     last = np.searchsorted(n, n * 100 // per_cent, side="right")
     for i in range(len(n) - 1):
         rest = np.arange(i + 1, last[i])
         if has[i]:
             rest = rest[~has[rest]]
-        near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) * (100 + per_cent) <= (n[rest] + n[i]) * (100 - per_cent)]
+        near = rest[bits.differ(i, rest) * (100 + per_cent) <= (n[rest] + n[i]) * (100 - per_cent)]
         if len(near):
             has[i] = has[near] = True
     out = np.zeros(len(order), dtype=bool)
@@ -341,7 +360,7 @@ def _partnered(regions: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         import pyarrow as pa
 
         def left(region, ids, sizes, sketches):
-            has = partnered(np.array(sizes), np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(ids), -1), per_cent) if len(ids) > 1 else np.zeros(len(ids), dtype=bool)
+            has = partnered(np.array(sizes), sketches, per_cent) if len(ids) > 1 else np.zeros(len(ids), dtype=bool)
             own = np.array(ids, dtype=np.int64)[has]
             return pa.RecordBatch.from_arrays([pa.array([region] * len(own), pa.int64()), pa.array(own)], names=["region", "x"])
 

@@ -101,6 +101,11 @@ def build(rows: DataFrame, id_: str = "id", text: str = "text", only: DataFrame
     return read.select("id", tokens(F.col("t")).alias("t")).mapInArrow(run, schema)
 
 
+def write(rows: DataFrame, path: str, id_: str = "id", text: str = "text") -> None:
+    """Write the ranges of ``rows`` to ``path``, in row groups of bounded bytes."""
+    build(rows, id_, text).write.options(**tables.WIDE_ROWS).mode("overwrite").parquet(path)
+
+
 class Scores:
     """The best ``k`` rows of every query that a task has met; counts the ranges it could skip."""
 

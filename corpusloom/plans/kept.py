@@ -40,7 +40,7 @@ def _folder(spark) -> str:
 def b3_kept_postings(spark, sf_dir):
     """All postings of the documents are written; the search reads them."""
     root = _folder(spark)
-    postings.build(documents(spark, sf_dir)).write.parquet(root)
+    postings.write(documents(spark, sf_dir), root)
     return postings.search(questions(spark, sf_dir), spark.read.parquet(root), 10)
 
 

@@ -94,7 +94,7 @@ class KeptIndex:
         if version != self.version:
             path = f"{self.root}/postings/{version}"
             if _stored(self.spark, path) is None:
-                postings.build(load_version(self.spark, self.root, version)).write.mode("overwrite").parquet(path)
+                postings.write(load_version(self.spark, self.root, version), path)
             self.version, self.index, self.opened = version, self.spark.read.parquet(path), self.opened + 1
         return self.index
 

@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from corpusloom.operators import tables
+
 # An inline image, and the extensions of its kinds.
 IMAGE = r"(?i)!\[([^\]]*)\]\((data:image/([a-zA-Z0-9.+-]+);base64,([A-Za-z0-9+/=\s]+))\)"
 
+#: Keys under which one description meets the places that it stands in, where descriptions are too many to be broadcast.
+SALTS = 32
+
 EXTENSIONS = {"jpeg": "jpg", "jpg": "jpg", "pjpeg": "jpg", "svg+xml": "svg", "svg": "svg", "tiff": "tiff", "tif": "tiff", "": "png"}
 
 
@@ -68,7 +73,14 @@ def replace_images(documents: DataFrame, descriptions: DataFrame, markdown: str
     has = documents.where(F.size(tags) > 0)
     parts = has.select(key, F.posexplode(F.arrays_zip(split.alias("before"), F.concat(tags, F.array(F.lit(""))).alias("tag"))).alias("position", "p")).select(key, "position", "p.before", "p.tag")
     hashed = parts.withColumn("hash", F.when(F.col("tag") != "", F.sha2(F.unbase64(F.regexp_replace(F.regexp_extract("tag", IMAGE, 4), r"\s", "")), 256)))
-    named = hashed.join(descriptions.hint("merge"), "hash", "left")
+    # an image that many documents share is no hot key: descriptions are broadcast, or met under as many keys as there are partitions
+    described = tables.cut(descriptions)
+    if tables.strategy(described) == "broadcast":
+        named = hashed.join(described.hint("broadcast"), "hash", "left")
+    else:
+        salts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = hashed.withColumn("_salt", F.when(F.col("hash").isNotNull(), F.pmod(F.xxhash64(key, "position"), F.lit(min(salts, SALTS)))).cast("int"))
+        named = salted.join(described.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(min(salts, SALTS) - 1)))).hint("merge"), ["hash", "_salt"], "left")
     shown = F.concat("before", F.when(F.col("description").isNotNull(), F.concat(F.lit("*"), F.col("description"), F.lit("*"))).otherwise(F.col("tag")))
     whole = named.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", shown.alias("s")))), lambda c: c["s"]), "").alias("_new"))
     return documents.join(whole.hint("merge"), key, "left").withColumn(markdown, F.coalesce("_new", markdown)).drop("_new")

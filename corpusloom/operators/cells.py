@@ -74,6 +74,9 @@ def write_cells(vectors: DataFrame, root: str, cells: int = CELLS, copies: int =
 class _FirstPass:
     """The ``k`` best rows of each block to every query that probes its cell, by their codes."""
 
+    #: Queries whose scores with a block are held at once.
+    AT_ONCE = 64
+
     def __init__(self, k: int):
         self.k = k
 
@@ -85,19 +88,22 @@ class _FirstPass:
             X[n, : len(c)] = c
         width = max(X.shape[1], Q.shape[1])
         X, Q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (X, Q))
-        s = Q @ (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)).T
-        i, j = first_k(s, self.k)
-        yield {"query_id": one_array(queries["query_id"]).take(pa.array(i)), "id": one_array(table["id"]).take(pa.array(j)), "home": one_array(table["home"]).take(pa.array(j)), "s": s[i, j]}
+        X = (X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)).T
+        names, ids, homes = one_array(queries["query_id"]), one_array(table["id"]), one_array(table["home"])
+        for at in range(0, len(Q), self.AT_ONCE):
+            s = Q[at : at + self.AT_ONCE] @ X
+            i, j = first_k(s, self.k)
+            yield {"query_id": names.take(pa.array(at + i)), "id": ids.take(pa.array(j)), "home": homes.take(pa.array(j)), "s": s[i, j]}
 
     def rest(self):
         yield from ()
 
 
-def _by_cell(table: pa.Table) -> list[int]:
+def by_cell(table: pa.Table) -> list[int]:
     return (np.flatnonzero(np.diff(table["cell"].to_numpy())) + 1).tolist()
 
 
-def _cell(part: pa.Table) -> dict:
+def one_cell(part: pa.Table) -> dict:
     return {"cell": part["cell"][0].as_py()}
 
 
@@ -109,8 +115,8 @@ def search_cells(queries: DataFrame, root: str, k: int, nprobe: int | None = Non
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"))
     probes = tables.cut(assign_cells(asked, centres, nprobe or -(-len(centres) // 4), "q").select("query_id", "q", F.explode("cells").alias("cell")))
     wanted = [r[0] for r in probes.select("cell").distinct().collect()]
-    probing = tables.cut(pack(probes.repartition("cell").sortWithinPartitions("cell", "query_id"), _cell, "cell int", _by_cell))
-    blocks = pack(stored.where(F.col("cell").isin(wanted)).select("id", "code", "home", F.col("cell").cast("int").alias("cell")), _cell, "cell int", _by_cell)
+    probing = tables.cut(pack(probes.repartition("cell").sortWithinPartitions("cell", "query_id"), one_cell, "cell int", by_cell))
+    blocks = pack(stored.where(F.col("cell").isin(wanted)).select("id", "code", "home", F.col("cell").cast("int").alias("cell")), one_cell, "cell int", by_cell)
     kinds = dict(queries.dtypes)["query_id"], dict(stored.dtypes)["id"]
     first = meet(probing, blocks, lambda: _FirstPass(k * candidates), f"query_id {kinds[0]}, id {kinds[1]}, home int, s double", written=False, keys=["cell"])
     once = first.groupBy("query_id", "id", "home").agg(F.max("s").alias("s"))

@@ -96,7 +96,7 @@ def test_hits_are_sent_to_the_chunks(spark):
     assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
 
 
-def test_rows_of_light_terms_alone_are_not_scored():
+def test_rows_of_light_terms_alone_are_not_scored(spark):
     names = [str(i) for i in range(200)]
     lists = pa.array([["common"] + (["rare"] if i < 3 else [n]) for i, n in enumerate(names)])
     one = postings._range(pa.array(range(200), pa.int64()), lists, None)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from corpusloom.operators import postings
 from corpusloom.operators.chunking import chunk_text
 from corpusloom.operators.store import current_version, load_version, prepare_rows
+from corpusloom.operators.tables import unused
 
 #: Where Spark keeps the keys of a stateful query: on disk, not in the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,36 +29,48 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+#: Groups of sources that the state of a stream is kept by. A call into state costs milliseconds, so a batch pays for the groups it touches and not for each of its sources. Checkpoints hold these groups, so a stream that has begun can't change their number.
+SOURCE_GROUPS = 1024
+
+
 class FirstOfSource(StatefulProcessor):
-    """Lets a source's first document pass and none after it; the state of a source is that it has been seen."""
+    """Lets a source's first document pass and none after it; the state of a group of sources is which of them came."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
     def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.seen = handle.getValueState("seen", "sources array<string>")
+
+    def _known(self) -> set[str]:
+        held = self.seen.get()
+        return set() if held is None else set(held[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        known = self.seen.exists()
+        known, first = self._known(), None
         for batch in rows:
-            if not known and len(batch):
-                known = True
-                self.seen.update((True,))
+            new = batch.loc[~batch["source"].isin(known), self.columns]
+            if len(new):
                 # of several in one batch the least id, whatever their order
-                yield batch.sort_values("document_id", kind="stable").head(1)[self.columns]
+                first = (new if first is None else pd.concat([first, new])).sort_values("document_id", kind="stable").drop_duplicates("source")
+        if first is not None:
+            self.seen.update((sorted(known.union(first["source"])),))
+            yield first
 
     def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        self.seen.update((True,))
+        self.seen.update((sorted(self._known().union(initial["source"])),))
 
     def close(self) -> None:
         pass
 
 
 def first_of_each_source(documents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Streamed ``documents`` whose source neither came before nor is among ``stored`` (source); what came is kept as state, by source, so nothing stored is read after the first batch."""
-    initial = None if stored is None else stored.select("source").distinct().groupBy("source")
+    """Streamed ``documents`` whose source neither came before nor is among ``stored`` (source); what came is kept as state, by groups of sources, so nothing stored is read after the first batch and a batch reads the state of the groups it touches."""
+    name = unused("group", documents.columns)
+    group = F.pmod(F.xxhash64("source"), F.lit(SOURCE_GROUPS)).alias(name)
+    initial = None if stored is None else stored.where("source is not null").select("source").distinct().select("source", group).groupBy(name)
     processor = FirstOfSource(documents.columns)
-    return documents.where("source is not null").groupBy("source").transformWithStateInPandas(processor, documents.schema, "Append", "None", initial)
+    return documents.where("source is not null").select("*", group).groupBy(name).transformWithStateInPandas(processor, documents.schema, "Append", "None", initial)
 
 
 def stream_ingest(documents: DataFrame, collection: str, checkpoint: str, **chunking) -> StreamingQuery:

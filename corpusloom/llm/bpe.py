@@ -17,9 +17,9 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -62,65 +62,74 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
         self.token = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.special.items()}
-        self.merge = {(v.ids[a], v.ids[b]): (rank, v.ids[a + b]) for rank, (a, b) in enumerate(v.merges)}
+        self.merge = {(v.ids[a], v.ids[b]): rank for rank, (a, b) in enumerate(v.merges)}
+        self.merged = [(v.ids[a], v.ids[b], v.ids[a + b]) for a, b in v.merges]
         letters = byte_letters()
-        self.inner = [v.ids[letters[b]] for b in range(256)]
-        self.last = [v.ids[letters[b] + v.end] for b in range(256)]
+        # a byte inside a word, and 256 further the same byte at its end
+        self.byte = np.array([v.ids[letters[b] + end] for end in ("", v.end) for b in range(256)])
+        self.first = np.full((512, 512), -1)
+        code = {int(i): c for c, i in enumerate(self.byte)}
+        for (left, right), rank in self.merge.items():
+            if left in code and right in code:
+                self.first[code[left], code[right]] = rank
         self.words_of = regex.compile(v.pattern).findall
         self.special = v.special
         self.special_in = regex.compile("|".join(map(regex.escape, v.special))) if v.special else None
         self.starts = tuple({s[:2] for s in v.special})
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[str, str, int]] = {}
         self.pieces: dict[str, tuple[str, str, int]] = {}
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together over their pair occurrence index."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for w in words:
-            data = w.encode()
-            at, n = len(symbol), len(data)
-            starts.append(at)
-            symbol += [self.inner[b] for b in data[:-1]]
-            symbol.append(self.last[data[-1]])
-            after += range(at + 1, at + n)
-            after.append(-1)
-            before.append(-1)
-            before += range(at, at + n - 1)
-        merge, places, active = self.merge, defaultdict(list), []
-        for i, j in enumerate(after):
-            if j >= 0 and (hit := merge.get((symbol[i], symbol[j]))):
-                places[hit[0]].append(i)
-        pair_of = {merge[p][0]: (p, merge[p][1]) for p in {(symbol[i[0]], symbol[after[i[0]]]) for i in places.values()}}
-        active = list(places)
-        heapq.heapify(active)
+        data = [w.encode() for w in words]
+        ends = np.cumsum([len(x) for x in data]) - 1
+        codes = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64)
+        codes[ends] += 256
+        symbol = self.byte[codes].tolist()
+        after, before = np.arange(1, len(codes) + 1), np.arange(-1, len(codes) - 1)
+        after[ends] = before[0] = before[ends[:-1] + 1] = -1
+        after, before = after.tolist(), before.tolist()
+        ranks = self.first[codes[:-1], codes[1:]]
+        ranks[ends[:-1]] = -1  # a pair over the end of a word
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        active, begin = np.unique(ranks[at], return_index=True)
+        active = active.tolist()  # ascending, so a heap
+        places = {rank: part.tolist() for rank, part in zip(active, np.split(at, begin[1:]))}
+        get, merged, push = self.merge.get, self.merged, heapq.heappush
         while active:
             rank = heapq.heappop(active)
-            (left, right), new = pair_of.pop(rank)
-            spots = places.pop(rank)
-            spots.sort()
-            for i in spots:
+            left, right, new = merged[rank]
+            for i in sorted(places.pop(rank)):
                 j = after[i]
                 if symbol[i] != left or j < 0 or symbol[j] != right:
                     continue  # an earlier merge took one of its symbols
                 k, h = after[j], before[i]
                 symbol[i], after[i], symbol[j] = new, k, -1
+                if h >= 0 and (hit := get((symbol[h], new))) is not None:
+                    if hit in places:
+                        places[hit].append(h)
+                    else:
+                        places[hit] = [h]
+                        push(active, hit)
                 if k >= 0:
                     before[k] = i
-                for at, pair in ((h, (symbol[h], new) if h >= 0 else None), (i, (new, symbol[k]) if k >= 0 else None)):
-                    if pair and (hit := merge.get(pair)):
-                        if hit[0] not in pair_of:
-                            pair_of[hit[0]] = (pair, hit[1])
-                            heapq.heappush(active, hit[0])
-                        places[hit[0]].append(at)
-        for w, at in zip(words, starts):
-            out = []
-            while at >= 0:
-                out.append(symbol[at])
-                at = after[at]
-            self.words[w] = out
+                    if (hit := get((new, symbol[k]))) is not None:
+                        if hit in places:
+                            places[hit].append(i)
+                        else:
+                            places[hit] = [i]
+                            push(active, hit)
+        # what is left of each word stands in its order
+        held = np.array(symbol)
+        left = held >= 0
+        stops, held, lo = np.cumsum(left)[ends].tolist(), held[left].tolist(), 0
+        for w, hi in zip(words, stops):
+            self.words[w] = self._piece(held[lo:hi])
+            lo = hi
+
+    def _piece(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]), len(ids)
 
     def _split(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the pattern
@@ -131,7 +140,7 @@ class Encoder:
         """The pieces of each text, all of which ``pieces`` then holds."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces, self.words = {}, {}
-        out, new = [], {}
+        out, met = [], set()
         for text in texts:
             if self.special_in and any(s in text for s in self.starts):
                 found, at = [], 0
@@ -143,16 +152,19 @@ class Encoder:
             else:
                 found = self._split(text)
             out.append(found)
-            for p in found:
-                if p not in self.pieces and p not in new:
-                    clean = unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()
-                    new[p] = None if p in self.special else self.words_of(clean)
+            met.update(found)
+        new = {p: None if p in self.special else self.words_of(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()) for p in met.difference(self.pieces)}
         unknown = {w for ws in new.values() if ws for w in ws if w not in self.words}
         if unknown:
             self.learn(list(unknown))
         for p, ws in new.items():
-            ids = [self.special[p]] if ws is None else [i for w in ws for i in self.words[w]]
-            self.pieces[p] = (" ".join(map(str, ids)), " ".join(self.token[i] for i in ids), len(ids))
+            if ws is None:
+                self.pieces[p] = self._piece([self.special[p]])
+            elif len(ws) == 1:
+                self.pieces[p] = self.words[ws[0]]
+            else:
+                parts = [self.words[w] for w in ws]
+                self.pieces[p] = " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -184,8 +196,9 @@ def digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def row(found):
-        ids, text = " ".join(f[0] for f in found if f[2]), " ".join(f[1] for f in found if f[2])
-        return sum(f[2] for f in found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        found = [f for f in found if f[2]]
+        ids, text = " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return sum([f[2] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     return _run(documents, vocabulary, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row, ("doc_id",))
 

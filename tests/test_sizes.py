@@ -161,3 +161,25 @@ def test_ingest_state_is_called_for_groups_of_sources(spark, tmp_path):
         ingest.stream_ingest(stream, f"{tmp_path}/col", f"{tmp_path}/{check}").awaitTermination()
     stored = spark.read.parquet(f"{tmp_path}/col")
     assert stored.count() == 200 and stored.select("source").distinct().count() == 200
+
+
+def test_bpe_asks_only_for_pairs_that_merges_make():
+    """op4_bpe: words were indexed pair by pair in Python, and each token of a document was looked up by itself; now only pairs that a merge makes are asked for one by one."""
+    import public_tokenizers
+
+    from corpusloom.llm import bpe
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    one = bpe.Encoder(bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    one.merge = Counted(one.merge)
+    words = [f"{a}{b}aaaa{b}" for a in "abcdefgh" for b in "xyz"]
+    one.prepare([" ".join(words), words[0]])
+    merges = sum(len(w) - one.pieces[w][2] for w in words)
+    assert len(one.pieces) == len(words) and 0 < one.merge.asked <= 2 * merges
+    assert all(n == len(ids.split()) and tokens.replace(" ", "") == f"{w}</w>" for w, (ids, tokens, n) in one.pieces.items())

@@ -196,18 +196,28 @@ def decisions(documents: DataFrame) -> DataFrame:
     return exact.unionByName(close.select("first.doc_id", "first.line", F.lit(True).alias("near"))).groupBy("doc_id").agg(F.collect_set(F.struct("line", "near")).alias("drops"))
 
 
+def packed(drops: DataFrame) -> DataFrame:
+    """(doc_id, exact, near): a document's dropped lines as two strings of decimal numbers, those with an equal earlier line and the others; a few bytes a line, so that far larger lists can be broadcast and texts stay where they are."""
+    lines_ = lambda near: F.array_join(F.transform(F.filter("drops", lambda d: d["near"] == near), lambda d: d["line"].cast("string")), ",")
+    return drops.select("doc_id", lines_(False).alias("exact"), lines_(True).alias("near"))
+
+
+def unpacked(lines_: str | None) -> set[int]:
+    return set(map(int, lines_.split(","))) if lines_ else set()
+
+
 @F.pandas_udf(StringType())
-def _kept(text, drops):
+def _kept(text, exact, near):
     import pandas as pd
 
-    def one(t, d):
-        if t is None or d is None:
+    def one(t, e, n):
+        if t is None:
             return None
-        gone = set(d)
+        gone = unpacked(e) | unpacked(n)
         left = [x for i, x in enumerate(t.split("\n")) if i not in gone]
         return "\n".join(left) if any(x.encode().split() for x in left) else None
 
-    return pd.Series([one(t, d) for t, d in zip(text, drops)], dtype=object)
+    return pd.Series([one(t, e, n) for t, e, n in zip(text, exact, near)], dtype=object)
 
 
 def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
@@ -215,10 +225,10 @@ def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
     names, kinds = documents.columns, dict(documents.dtypes)
     if "text" not in names or "doc_id" not in names:
         raise ValueError("documents needs doc_id and text")
-    gone, new = unused("gone", names), unused("new", names)
-    joined = join_few(documents, drops.select("doc_id", F.col("drops.line").alias(gone)), "doc_id", "left")
+    gone, near, new = (unused(x, names) for x in ("gone", "near", "new"))
+    joined = join_few(documents, packed(drops).select("doc_id", F.col("exact").alias(gone), F.col("near").alias(near)), "doc_id", "left")
     some = F.col(gone).isNotNull() & F.col("text").isNotNull()
-    changed = joined.withColumn(new, _kept(F.when(some, F.col("text")), F.col(gone))).where(~some | F.col(new).isNotNull())
+    changed = joined.withColumn(new, _kept(F.when(some, F.col("text")), F.col(gone), F.col(near))).where(~some | F.col(new).isNotNull())
     out = {"text": F.when(some, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in names:
         out["n_chars"] = F.when(some, F.length(new).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
@@ -232,7 +242,7 @@ def dedup(documents: DataFrame) -> DataFrame:
 def report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, n_near, kept_sha256) per document; n_near: those without an equal earlier line."""
     docs = documents.select("doc_id", "text")
-    joined = join_few(docs, decisions(docs), "doc_id", "left")
+    joined = join_few(docs, packed(decisions(docs)), "doc_id", "left")
     fields = "doc_id long, n_lines long, n_dropped long, n_near long, kept_sha256 string"
 
     def start():
@@ -240,15 +250,14 @@ def report(documents: DataFrame) -> DataFrame:
 
         def run(cols):
             out: dict = {k: [] for k in ("doc_id", "n_lines", "n_dropped", "n_near", "kept_sha256")}
-            for doc, text, drops in zip(cols["doc_id"], cols["text"], cols["drops"]):
-                have, near = (text or "").split("\n"), {}
-                for d in drops or ():
-                    near[d["line"]] = near.get(d["line"], True) and d["near"]
-                left = [x for i, x in enumerate(have) if i not in near]
-                out["doc_id"].append(doc), out["n_lines"].append(len(have)), out["n_dropped"].append(len(near))
-                out["n_near"].append(sum(near.values())), out["kept_sha256"].append(hashlib.sha256("\n".join(left).encode()).hexdigest())
+            for doc, text, exact, near in zip(cols["doc_id"], cols["text"], cols["exact"], cols["near"]):
+                have, exact, near = (text or "").split("\n"), unpacked(exact), unpacked(near)
+                gone = exact | near
+                left = [x for i, x in enumerate(have) if i not in gone]
+                out["doc_id"].append(doc), out["n_lines"].append(len(have)), out["n_dropped"].append(len(gone))
+                out["n_near"].append(len(near - exact)), out["kept_sha256"].append(hashlib.sha256("\n".join(left).encode()).hexdigest())
             return out
 
         return run
 
-    return map_columns(joined.select("doc_id", "text", "drops"), fields, start)
+    return map_columns(joined.select("doc_id", "text", "exact", "near"), fields, start)

@@ -183,3 +183,15 @@ def test_bpe_asks_only_for_pairs_that_merges_make():
     merges = sum(len(w) - one.pieces[w][2] for w in words)
     assert len(one.pieces) == len(words) and 0 < one.merge.asked <= 2 * merges
     assert all(n == len(ids.split()) and tokens.replace(" ", "") == f"{w}</w>" for w, (ids, tokens, n) in one.pieces.items())
+
+
+def test_dropped_lines_are_sent_as_few_bytes(spark):
+    """op10_line_dedup: 32 measured bytes for each dropped line made the texts of a half-gigabyte table be shuffled to their lists."""
+    from corpusloom.llm import line_dedup
+
+    lists = spark.range(2000).selectExpr("id as doc_id", "transform(sequence(0, 39), x -> struct(cast(x as int) as line, x % 3 = 0 as near)) as drops")
+    small = tables.measured_bytes(line_dedup.packed(lists))
+    assert small * 8 < tables.measured_bytes(lists)
+    texts = spark.createDataFrame([(i, "\n".join(f"w{k}" for k in range(50))) for i in range(3)], "doc_id long, text string")
+    kept = line_dedup.apply(texts, lists.where("doc_id < 2")).orderBy("doc_id").collect()
+    assert [r["text"].split("\n")[0] for r in kept] == ["w40", "w40", "w0"] and [len(r["text"].split("\n")) for r in kept] == [10, 10, 50]

@@ -46,8 +46,8 @@ SLICE = 4_000_000
 ROUND_SLICES = 12
 #: Parameters that are added up together.
 CHUNK = 8192
-#: Documents whose states go on side by side in scoring, and states whose outputs are taken at once.
-TOGETHER, ROWS = 4096, 6144
+#: Documents whose states go on side by side in scoring, and states whose outputs are taken at once, of however many windows.
+TOGETHER, ROWS = 4096, 16384
 #: The key of the end token; no word has it.
 END = 0
 PIECE = 1 << 20
@@ -115,20 +115,31 @@ def token_counts(documents: DataFrame) -> DataFrame:
     return map_columns(documents.where(~held_out()).select(utf8()), "token long, c long", start).groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log P at the places asked, the exponentials and their sums; states lie in (-1, 1), which bounds the logits."""
+def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logits at the places asked, the exponentials of all and their sums, whose logarithm is to be taken off; ``steep`` weights could overflow."""
     logits = states @ weights
     logits += bias
-    if float((np.abs(weights).sum(axis=0) + bias).max(initial=0)) > 80:
+    if steep:
         logits -= logits.max(axis=1, keepdims=True)
     picked = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    return picked - np.log(total), logits, total
+    return picked, logits, logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+
+
+def _backwards(states: np.ndarray, e: np.ndarray, total: np.ndarray, at: np.ndarray, weights: np.ndarray, to_weights: np.ndarray, to_bias: np.ndarray) -> np.ndarray:
+    """Add up the gradients of a softmax and give that of its states; the sums are divided by in the narrow states, not in the wide exponentials."""
+    e[np.arange(len(at)), at] -= total
+    share = 1 / total
+    to_weights += (states * share[:, None]).T @ e
+    to_bias += share @ e
+    back = e @ weights.T
+    back *= share[:, None]
+    return back
+
+
+def _steep(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether logits can be large; states lie in (-1, 1), which bounds them."""
+    return (np.abs(weights).sum(axis=-2) + bias).max(axis=-1) > 80
 
 
 class Network:
@@ -165,41 +176,47 @@ class Network:
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple:
         """One time step from rows of input vectors."""
         h, p = HIDDEN, self.p
-        given, fed = p["table"][x], state @ p["u"]
-        zr = _sigmoid(given[:, : 2 * h] + fed[:, : 2 * h])
+        given, fed = p["table"].take(x, axis=0), state @ p["u"]
+        zr = given[:, : 2 * h] + fed[:, : 2 * h]
+        zr *= np.float32(0.5)  # the logistic function by tanh, in place
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
         z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(given[:, 2 * h :] + r * fed[:, 2 * h :])
-        return z, r, n, fed[:, 2 * h :], n + z * (state - n)
+        n = r * fed[:, 2 * h :]
+        n += given[:, 2 * h :]
+        np.tanh(n, out=n)
+        after = state - n
+        after *= z
+        after += n
+        return z, r, n, fed[:, 2 * h :], after
 
     def outputs(self, states: np.ndarray, target: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log P of the class and of the word in it, for rows of states; the rest's words count their class only."""
         p, n = self.p, len(target)
         group = np.minimum(target // CLASS, self.classes - 1)
         group[target >= self.words] = self.classes - 1
-        out, e, total = _log_softmax(states, p["wc"], p["bc"], group)
-        back = None
+        picked, e, total = _exponentials(states, p["wc"], p["bc"], group, bool(_steep(p["wc"], p["bc"])))
+        out, back = picked - np.log(total), None
         if gradient is not None:
-            e /= total[:, None]
-            e[np.arange(n), group] -= 1
-            gradient["wc"] += states.T @ e
-            gradient["bc"] += e.sum(axis=0)
-            back = e @ p["wc"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.classes + 1))
-        sorted_states = states[order]
-        for g in range(self.classes - 1):
-            begin, end = edges[g], edges[g + 1]
-            if begin < end:
-                rows, x = order[begin:end], sorted_states[begin:end]
-                at = target[rows] - g * CLASS
-                own, e, total = _log_softmax(x, p["ww"][g], p["bw"][g], at)
-                out[rows] += own
-                if gradient is not None:
-                    e /= total[:, None]
-                    e[np.arange(len(rows)), at] -= 1
-                    gradient["ww"][g] += x.T @ e
-                    gradient["bw"][g] += e.sum(axis=0)
-                    back[rows] += e @ p["ww"][g].T
+            back = _backwards(states, e, total, group, p["wc"], gradient["wc"], gradient["bc"])
+        # rows of one class lie side by side; what they give is put back once for all classes
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        edges = np.searchsorted(group[order], np.arange(self.classes))
+        rows = order[: edges[-1]]
+        own, place = states[rows], target[rows] % CLASS
+        picked, total = np.empty(len(rows), dtype=states.dtype), np.empty(len(rows), dtype=states.dtype)
+        inner = None if back is None else np.empty_like(own)
+        steep = _steep(p["ww"], p["bw"])
+        for g in np.flatnonzero(np.diff(edges)):
+            some = slice(edges[g], edges[g + 1])
+            x, at = own[some], place[some]
+            picked[some], e, total[some] = _exponentials(x, p["ww"][g], p["bw"][g], at, steep[g])
+            if gradient is not None:
+                inner[some] = _backwards(x, e, total[some], at, p["ww"][g], gradient["ww"][g], gradient["bw"][g])
+        out[rows] += picked - np.log(total)
+        if back is not None:
+            back[rows] += inner
         return out, back
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -215,6 +232,13 @@ class Network:
         total, order = np.zeros(len(texts)), np.arange(len(texts))
         lengths = np.array([len(texts[i]) for i in order])
         state, last = np.zeros((len(texts), HIDDEN), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
+        states, targets, owners, held = [], [], [], 0
+
+        def give_out():
+            got = self.outputs(np.concatenate(states), np.concatenate(targets))[0]
+            np.add(total, np.bincount(np.concatenate(owners), weights=got, minlength=len(texts)), out=total)
+            states.clear(), targets.clear(), owners.clear()
+
         for begin in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
             live = int(np.searchsorted(-lengths, -begin, side="left"))
             block = np.zeros((live, WINDOW), dtype=np.int64)
@@ -222,17 +246,19 @@ class Network:
                 part = texts[i][begin : begin + WINDOW]
                 block[row, : len(part)] = part
             left = lengths[:live] - begin
-            states, targets, owners = [], [], []
             for t in range(WINDOW):
                 n = int(np.searchsorted(-left, -t, side="left"))
                 if not n:
                     break
-                state[:n] = self.step(self.row[last[:n]], state[:n])[-1]
-                states.append(state[:n].copy()), targets.append(block[:n, t]), owners.append(order[:n])
+                now = state[:n] = self.step(self.row[last[:n]], state[:n])[-1]
                 last[:n] = block[:n, t]
-            every, wanted = np.concatenate(states), np.concatenate(targets)
-            got = np.concatenate([self.outputs(every[k : k + ROWS], wanted[k : k + ROWS])[0] for k in range(0, len(wanted), ROWS)])
-            total += np.bincount(np.concatenate(owners), weights=got, minlength=len(texts))
+                states.append(now), targets.append(block[:n, t]), owners.append(order[:n])
+                held += n
+                if held >= ROWS:
+                    give_out()
+                    held = 0
+        if held:
+            give_out()
         return total
 
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
@@ -257,17 +283,21 @@ class Network:
             _, back = self.outputs(np.concatenate(states), y.T.ravel(), g)
             back = back.reshape(x.shape[1], lanes, h)
             carried = np.zeros((lanes, h), dtype=np.float32)
-            gates = np.zeros((x.shape[1], lanes, 3 * h), dtype=np.float32)
+            gates = np.empty((x.shape[1], lanes, 3 * h), dtype=np.float32)
             for t in range(x.shape[1] - 1, -1, -1):
                 before, z, r, n, fed = kept[t]
                 d = back[t] + carried
                 dn = d * (1 - z) * (1 - n * n)
                 dz = d * (before - n) * z * (1 - z)
                 dr = dn * fed * r * (1 - r)
-                gates[t] = np.concatenate([dz, dr, dn], axis=1)
-                through = np.concatenate([dz, dr, dn * r], axis=1)
+                gates[t, :, :h], gates[t, :, h : 2 * h], gates[t, :, 2 * h :] = dz, dr, dn
+                through = gates[t].copy()
+                through[:, 2 * h :] *= r
                 g["u"] += before.T @ through
-                carried = (d * z + through @ self.p["u"].T) * (x[:, t] != 0)[:, None]
+                carried = through @ self.p["u"].T
+                d *= z
+                carried += d
+                carried *= (x[:, t] != 0)[:, None]
             flat, at = gates.reshape(-1, 3 * h), inputs.T.ravel()
             order = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))

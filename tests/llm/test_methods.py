@@ -280,6 +280,36 @@ def test_network_is_a_distribution_and_carries_its_state():
         language_model.WINDOW = window
 
 
+def test_outputs_are_taken_for_many_windows_at_once(monkeypatch):
+    """A long text has few calls of the output layers, not one a window; their number changes no score."""
+    net = language_model.Network(np.array([50.0, 30, 10, 5] + [1.0] * 140), 7.0)
+    r = np.random.default_rng(0)
+    net.train(np.concatenate([[0], r.integers(1, 144, 2000)]))
+    texts, calls, whole = [r.integers(1, 145, 2400), r.integers(1, 145, 7), r.integers(1, 145, 0)], [], net.outputs
+    monkeypatch.setattr(net, "outputs", lambda states, target: calls.append(len(target)) or whole(states, target))
+    once = net.score(texts)
+    assert len(calls) == 1 and sum(calls) == 2407
+    monkeypatch.setattr(language_model, "ROWS", 50)
+    assert net.score(texts) == pytest.approx(once, rel=1e-5) and max(calls[1:]) < 53
+
+
+def test_gradients_are_those_of_differences():
+    net = language_model.Network(np.array([50.0, 30, 10, 5] + [1.0] * 140), 7.0)
+    r = np.random.default_rng(0)
+    net.p = {k: (v + r.normal(0, 0.2, v.shape)).astype(np.float64) for k, v in net.p.items()}
+    states, target = np.tanh(r.normal(size=(40, language_model.HIDDEN))), r.integers(0, 145, 40)
+    g = {k: np.zeros_like(v) for k, v in net.p.items()}
+    _, back = net.outputs(states, target, g)
+    places = [(net.p[k], g[k], i) for k in ("wc", "bc", "ww", "bw") for i in np.ndindex(g[k].shape)][::37] + [(states, back, i) for i in np.ndindex(back.shape)][::37]
+    for values, gradient, i in places:
+        given, ends = values[i], []
+        for step in (1e-5, -1e-5):
+            values[i] = given + step
+            ends.append(-net.outputs(states, target)[0].sum())
+        values[i] = given
+        assert gradient[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-4)
+
+
 def test_training_learns_a_cycle():
     net = language_model.Network(np.array([5.0, 4, 3, 2, 1]), 1.0)
     r = np.random.default_rng(1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from bisect import bisect_left
 from collections.abc import Callable
 from itertools import accumulate
@@ -26,6 +28,15 @@ ARROW = {
 
 #: Rows of an Arrow batch that become Python objects at once, so that a worker's memory follows these and not the batch.
 ROWS_AT_ONCE = 500
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are used again and would keep the most that any of their tasks held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # of the GNU C library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]], at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Run ``start()(columns) -> columns`` over Arrow batches, ``at_once`` rows each; ``start`` runs once a task, so its closures can hold caches."""
     small_batches(df.sparkSession)
@@ -39,6 +50,8 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict],
                 part = batch.slice(at, at_once)
                 out = rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
+        rows = batch = part = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

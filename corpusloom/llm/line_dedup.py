@@ -220,6 +220,10 @@ def _kept(text, exact, near):
     return pd.Series([one(t, e, n) for t, e, n in zip(text, exact, near)], dtype=object)
 
 
+#: Else Spark runs it once in the filter and once more for the texts, by a second worker for each task.
+_kept = _kept.asNondeterministic()
+
+
 def apply(documents: DataFrame, drops: DataFrame) -> DataFrame:
     """``documents`` with the dropped lines out of their texts; documents with no word left go."""
     names, kinds = documents.columns, dict(documents.dtypes)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, cut, map_columns, utf8
+from .common import ROWS_AT_ONCE, cut, give_back, map_columns, utf8
 
 #: Labelled rows that the model is fitted on, at most; a fixed bound, taken in the order of a hash of doc_id.
 FIT_ROWS = 20_000
@@ -218,5 +218,7 @@ def reject(documents: DataFrame, model: OrdinalModel) -> DataFrame:
         total = _scorer(model)
         for texts in batches:
             yield pd.Series(np.concatenate([total([bytes(t) for t in texts.iloc[at : at + ROWS_AT_ONCE]]) < first for at in range(0, len(texts), ROWS_AT_ONCE)] or [np.zeros(0, dtype=bool)]))
+        total = None
+        give_back()
 
     return documents.where(clean(utf8()))

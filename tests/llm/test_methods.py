@@ -30,6 +30,28 @@ def texts(docs):
 # --- line dedup
 
 
+def test_texts_are_renewed_once(make):
+    """The new text is asked for by the filter and by the result; one evaluation, so one worker a task, serves both."""
+    docs = make([(1, "a b\nc"), (2, "a b\nd"), (3, "a b")])
+    out = line_dedup.apply(docs, line_dedup.decisions(docs))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [_kept") == 1
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a b\nc", 2: "d"}
+
+
+def test_a_worker_gives_back_what_a_task_held():
+    import re
+    from pathlib import Path
+
+    from corpusloom.llm.common import give_back
+
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    before, rows = held(), [bytes(1000) for _ in range(100_000)]
+    rows = rows[::100]  # what stays holds the heap's end
+    kept = held() - before
+    give_back()
+    assert len(rows) == 1000 and held() - before < kept / 2
+
+
 def brute_lines(texts):
     seen, order, drops = {}, [], defaultdict(int)
     for d in sorted(texts):

@@ -25,14 +25,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, map_columns, shared_folder, utf8
+from .common import cut, forget, give_back, shared_folder, small_batches, utf8
 
 HEAD = 200_000
 WORDS, CLASS, HIDDEN = 4096, 64, 24
@@ -48,9 +47,14 @@ ROUND_SLICES = 12
 CHUNK = 8192
 #: Documents whose states go on side by side in scoring, and states whose outputs are taken at once, of however many windows.
 TOGETHER, ROWS = 4096, 16384
+#: Rows whose exponentials are held at once, so that they stay in a core's cache.
+BLOCK = 1024
+#: Tokens of a window from which on an input vector's gradients are added up on their own.
+MANY = 48
+#: The bias of a place that no word has.
+NO_WORD = -60.0
 #: The key of the end token; no word has it.
 END = 0
-PIECE = 1 << 20
 LOG10 = float(np.log(10))
 
 
@@ -59,40 +63,29 @@ def key_of(word: bytes) -> int:
     return (x - (1 << 64) if x >> 63 else x) or 1
 
 
-def words_of(text: bytes):
-    """The words of a text in lists, for long texts a piece at a time."""
-    at = 0
-    while len(text) - at > PIECE:
-        end = at + PIECE
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        yield text[at:end].lower().split()
-        at = end
-    yield text[at:].lower().split()
+def numbered(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For an Arrow array of UTF-8 texts: the numbers of all their words, text after text, the number of words of each text, and the keys of the words by number."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
+    texts = texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # by bytes; an empty word before or behind white space
+    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = words.flatten().dictionary_encode()
+    number, distinct = held.indices.to_numpy(), held.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+    if b"" in distinct:
+        real = number != distinct.index(b"")
+        lengths = np.diff(np.append(0, np.cumsum(real))[np.append(0, np.cumsum(lengths))])
+        number = number[real]
+    return number, lengths, np.array([key_of(w) for w in distinct], dtype=np.int64)
 
-class _Next(dict):
-    """Keys numbered as they are met."""
 
-    def __missing__(self, key):
-        got = self[key] = len(self)
-        return got
-
-
-class Numbers:
-    """Numbers for the distinct words of a batch, with their keys."""
-
-    def __init__(self):
-        self.number = _Next()
-
-    def of(self, text: bytes) -> np.ndarray:
-        number, out = self.number, []
-        for words in words_of(text):
-            out.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
-        return np.concatenate(out)
-
-    def keys(self) -> np.ndarray:
-        return np.array([key_of(w) for w in self.number], dtype=np.int64)
+def with_ends(places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of so many words each, an end token (place 0) put behind each; and where each text begins, and the last ends."""
+    begin = np.append(0, np.cumsum(lengths + 1))
+    out = np.zeros(begin[-1], dtype=np.int32)
+    out[np.arange(len(places)) + np.repeat(np.arange(len(lengths)), lengths)] = places
+    return out, begin
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -102,44 +95,59 @@ def held_out(doc_id: str = "doc_id"):
 def token_counts(documents: DataFrame) -> DataFrame:
     """(token, c) over the training documents; words by key, the end as END."""
 
-    def start():
-        def run(cols):
-            total: Counter = Counter()
-            for text in cols["utf8"]:
-                for words in words_of(text):
-                    total.update(words)
-            return {"token": [END, *map(key_of, total)], "c": [len(cols["utf8"]), *total.values()]}
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                number, _, keys = numbered(batch.column(0))
+                c = np.bincount(number, minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(END, keys[c > 0])), pa.array(np.append(batch.num_rows, c[c > 0]))], names=["token", "c"])
 
-        return run
+    small_batches(documents.sparkSession)
+    return documents.where(~held_out()).select(utf8()).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
-    return map_columns(documents.where(~held_out()).select(utf8()), "token long, c long", start).groupBy("token").agg(F.sum("c").alias("c"))
 
+def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, scale: np.ndarray, at: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The logits at the places asked, the exponentials of all, their sums, whose logarithm is to be taken off, and what the exponentials are yet to be multiplied by.
 
-def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The logits at the places asked, the exponentials of all and their sums, whose logarithm is to be taken off; ``steep`` weights could overflow."""
+    That is the biases' exponentials (``scale``), of which the sums know already, so no bias is added to the wide logits; not so where ``steep`` weights could overflow.
+    """
     logits = states @ weights
-    logits += bias
     if steep:
+        logits += bias
         logits -= logits.max(axis=1, keepdims=True)
+        scale = np.ones_like(bias)
     picked = logits[np.arange(len(at)), at]
+    if not steep:
+        picked += bias[at]
     np.exp(logits, out=logits)
-    return picked, logits, logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+    return picked, logits, logits @ scale, scale
 
 
-def _backwards(states: np.ndarray, e: np.ndarray, total: np.ndarray, at: np.ndarray, weights: np.ndarray, to_weights: np.ndarray, to_bias: np.ndarray) -> np.ndarray:
+def _backwards(states: np.ndarray, e: np.ndarray, total: np.ndarray, scale: np.ndarray, at: np.ndarray, weights: np.ndarray, to_weights: np.ndarray, to_bias: np.ndarray) -> np.ndarray:
     """Add up the gradients of a softmax and give that of its states; the sums are divided by in the narrow states, not in the wide exponentials."""
-    e[np.arange(len(at)), at] -= total
+    e[np.arange(len(at)), at] -= total / scale[at]
     share = 1 / total
-    to_weights += (states * share[:, None]).T @ e
-    to_bias += share @ e
-    back = e @ weights.T
+    to_weights += ((states * share[:, None]).T @ e) * scale
+    to_bias += (share @ e) * scale
+    back = e @ (weights * scale).T
     back *= share[:, None]
     return back
 
 
 def _steep(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Whether logits can be large; states lie in (-1, 1), which bounds them."""
-    return (np.abs(weights).sum(axis=-2) + bias).max(axis=-1) > 80
+    """Whether logits or their parts can be large; states lie in (-1, 1), which bounds them. Biases of places that no word has are very low and never asked for."""
+    return (np.abs(weights).sum(axis=-2) + np.where(bias > NO_WORD + 1, np.abs(bias), 0)).max(axis=-1) > 40
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place; numpy's exponentials take half the time of its tangents."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(80), out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -154,10 +162,11 @@ class Network:
         mass = np.append(padded.reshape(-1, CLASS).sum(axis=1), max(rest, 1e-9))
         r = np.random.default_rng(7)
         h = HIDDEN
+        by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, h).swapaxes(0, 1))  # noqa: E731  a gate's numbers lie together
         with np.errstate(divide="ignore"):
-            inner = np.where(padded > 0, np.log(np.maximum(padded, 1e-12)), -60.0)
+            inner = np.where(padded > 0, np.log(np.maximum(padded, 1e-12)), NO_WORD)
         self.p = {
-            "table": r.normal(0, 0.1, (2 * OWN, 3 * h)), "u": r.normal(0, 1 / np.sqrt(h), (h, 3 * h)), "wc": np.zeros((h, self.classes)), "bc": np.log(mass / mass.sum()),
+            "table": by_gate(r.normal(0, 0.1, (2 * OWN, 3 * h))), "u": by_gate(r.normal(0, 1 / np.sqrt(h), (h, 3 * h))), "wc": np.zeros((h, self.classes)), "bc": np.log(mass / mass.sum()),
             "ww": np.zeros((self.classes - 1, h, CLASS)), "bw": inner.reshape(-1, CLASS),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -175,31 +184,35 @@ class Network:
 
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple:
         """One time step from rows of input vectors."""
-        h, p = HIDDEN, self.p
-        given, fed = p["table"].take(x, axis=0), state @ p["u"]
-        zr = given[:, : 2 * h] + fed[:, : 2 * h]
-        zr *= np.float32(0.5)  # the logistic function by tanh, in place
-        np.tanh(zr, out=zr)
-        zr *= np.float32(0.5)
-        zr += np.float32(0.5)
-        z, r = zr[:, :h], zr[:, h:]
-        n = r * fed[:, 2 * h :]
-        n += given[:, 2 * h :]
-        np.tanh(n, out=n)
+        p = self.p
+        given, fed = p["table"].take(x, axis=1), np.matmul(state, p["u"])
+        zr = given[:2]
+        zr += fed[:2]
+        z, r = _logistic(zr)
+        n = r * fed[2]
+        n += given[2]
+        n *= np.float32(2)  # the hyperbolic tangent of what it was
+        _logistic(n)
+        n *= np.float32(2)
+        n -= np.float32(1)
         after = state - n
         after *= z
         after += n
-        return z, r, n, fed[:, 2 * h :], after
+        return z, r, n, fed[2], after
 
     def outputs(self, states: np.ndarray, target: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log P of the class and of the word in it, for rows of states; the rest's words count their class only."""
         p, n = self.p, len(target)
         group = np.minimum(target // CLASS, self.classes - 1)
         group[target >= self.words] = self.classes - 1
-        picked, e, total = _exponentials(states, p["wc"], p["bc"], group, bool(_steep(p["wc"], p["bc"])))
-        out, back = picked - np.log(total), None
-        if gradient is not None:
-            back = _backwards(states, e, total, group, p["wc"], gradient["wc"], gradient["bc"])
+        out, back = np.empty(n, dtype=states.dtype), None if gradient is None else np.empty_like(states)
+        steep, scale = bool(_steep(p["wc"], p["bc"])), np.exp(p["bc"])
+        for at in range(0, n, BLOCK):
+            some = slice(at, at + BLOCK)
+            picked, e, total, times = _exponentials(states[some], p["wc"], p["bc"], scale, group[some], steep)
+            out[some] = picked - np.log(total)
+            if back is not None:
+                back[some] = _backwards(states[some], e, total, times, group[some], p["wc"], gradient["wc"], gradient["bc"])
         # rows of one class lie side by side; what they give is put back once for all classes
         order = np.argsort(group.astype(np.int16), kind="stable")
         edges = np.searchsorted(group[order], np.arange(self.classes))
@@ -207,13 +220,13 @@ class Network:
         own, place = states[rows], target[rows] % CLASS
         picked, total = np.empty(len(rows), dtype=states.dtype), np.empty(len(rows), dtype=states.dtype)
         inner = None if back is None else np.empty_like(own)
-        steep = _steep(p["ww"], p["bw"])
+        steep, scale = _steep(p["ww"], p["bw"]), np.exp(p["bw"])
         for g in np.flatnonzero(np.diff(edges)):
             some = slice(edges[g], edges[g + 1])
             x, at = own[some], place[some]
-            picked[some], e, total[some] = _exponentials(x, p["ww"][g], p["bw"][g], at, steep[g])
+            picked[some], e, total[some], times = _exponentials(x, p["ww"][g], p["bw"][g], scale[g], at, steep[g])
             if gradient is not None:
-                inner[some] = _backwards(x, e, total[some], at, p["ww"][g], gradient["ww"][g], gradient["bw"][g])
+                inner[some] = _backwards(x, e, total[some], times, at, p["ww"][g], gradient["ww"][g], gradient["bw"][g])
         out[rows] += picked - np.log(total)
         if back is not None:
             back[rows] += inner
@@ -261,6 +274,20 @@ class Network:
             give_out()
         return total
 
+    @staticmethod
+    def _inputs(gates: np.ndarray, at: np.ndarray, to_table: np.ndarray) -> None:
+        """Add up the gates' gradients of each input vector; those of frequent ones each on its own, which is faster than a sum in pieces."""
+        at = at.astype(np.int32)
+        count = np.bincount(at, minlength=to_table.shape[1])
+        order = np.argsort(at.astype(np.int16) if len(count) < 1 << 15 else at, kind="stable")
+        edges = np.append(0, np.cumsum(count))
+        for i in np.flatnonzero(count >= MANY):
+            to_table[:, i] += gates.take(order[edges[i] : edges[i + 1]], axis=1).sum(axis=1)
+        few = order[count[at[order]] < MANY]
+        if len(few):
+            first = np.flatnonzero(np.append(True, np.diff(at[few]) > 0))
+            to_table[:, at[few][first]] += np.add.reduceat(gates.take(few, axis=1), first, axis=1)
+
     def train(self, stream: np.ndarray, rate: float = 0.01) -> None:
         """Truncated backpropagation through windows of a token stream, cut into lanes that go on side by side; Adam."""
         lanes = max(1, min(LANES, len(stream) // (STEPS * WINDOW)))
@@ -273,35 +300,46 @@ class Network:
         steps = range(0, width - 1, WINDOW)
         for number, begin in enumerate(steps, 1):
             x, y = rows[:, begin : min(begin + WINDOW, width - 1)], rows[:, begin + 1 : begin + WINDOW + 1]
+            x = np.ascontiguousarray(x.T)  # by time step
             inputs, kept, states = self.row[x], [], []
-            for t in range(x.shape[1]):
-                before = state * (x[:, t] != 0)[:, None]  # a new document starts afresh after an end token
-                z, r, n, fed, state = self.step(inputs[:, t], before)
+            ends = [np.flatnonzero(now == 0) for now in x]
+            for t in range(len(x)):
+                before = state.copy()
+                before[ends[t]] = 0  # a new document starts afresh after an end token
+                z, r, n, fed, state = self.step(inputs[t], before)
                 kept.append((before, z, r, n, fed))
                 states.append(state)
             g = {k: np.zeros_like(v) for k, v in self.p.items()}
             _, back = self.outputs(np.concatenate(states), y.T.ravel(), g)
-            back = back.reshape(x.shape[1], lanes, h)
+            back = back.reshape(len(x), lanes, h)
             carried = np.zeros((lanes, h), dtype=np.float32)
-            gates = np.empty((x.shape[1], lanes, 3 * h), dtype=np.float32)
-            for t in range(x.shape[1] - 1, -1, -1):
+            gates, turned = np.empty((3, len(x), lanes, h), dtype=np.float32), np.ascontiguousarray(self.p["u"].swapaxes(1, 2))
+            through, one = np.empty((3, lanes, h), dtype=np.float32), np.float32(1)
+            for t in range(len(x) - 1, -1, -1):
                 before, z, r, n, fed = kept[t]
-                d = back[t] + carried
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * fed * r * (1 - r)
-                gates[t, :, :h], gates[t, :, h : 2 * h], gates[t, :, 2 * h :] = dz, dr, dn
-                through = gates[t].copy()
-                through[:, 2 * h :] *= r
-                g["u"] += before.T @ through
-                carried = through @ self.p["u"].T
+                d, (dz, dr, dn), rest = back[t], gates[:, t], one - z
+                d += carried
+                np.multiply(n, n, out=dn)  # dn = d (1 - z) (1 - n n)
+                np.subtract(one, dn, out=dn)
+                dn *= rest
+                dn *= d
+                np.subtract(before, n, out=dz)  # dz = d (before - n) z (1 - z)
+                dz *= d
+                dz *= z
+                dz *= rest
+                np.multiply(dn, r, out=through[2])
+                np.subtract(one, r, out=dr)  # dr = dn fed r (1 - r)
+                dr *= fed
+                dr *= through[2]
+                through[0], through[1] = dz, dr
+                g["u"] += np.matmul(before.T, through)
+                carried, for_r, for_n = np.matmul(through, turned)
+                carried += for_r
+                carried += for_n
                 d *= z
                 carried += d
-                carried *= (x[:, t] != 0)[:, None]
-            flat, at = gates.reshape(-1, 3 * h), inputs.T.ravel()
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-            g["table"][at[order][first]] += np.add.reduceat(flat[order], first, axis=0)
+                carried[ends[t]] = 0
+            self._inputs(gates.reshape(3, -1, h), inputs.ravel(), g["table"])
             pace = np.float32(rate * min(1.0, number / 10) / (1 - 0.9**number))
             share, spread = np.float32(1 / x.size), np.float32(1 / (1 - 0.99**number))
             for k, v in self.p.items():
@@ -408,15 +446,18 @@ def _moves(slices: DataFrame, model: Model) -> DataFrame:
 
         now, stream = None, []
         for batch in batches:
-            numbers = Numbers()
-            texts = [numbers.of(t) for t in batch.column(0).to_pylist()]
-            place = np.append(m.look_up(numbers.keys())[2], 0).astype(np.int32)
-            for at, t in zip(batch.column(1).to_pylist(), texts):
-                if at != now:
+            if not batch.num_rows:
+                continue
+            number, lengths, keys = numbered(batch.column(0))
+            tokens, begin = with_ends(m.look_up(keys)[2].astype(np.int32)[number], lengths)
+            slice_of = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(slice_of)]  # rows come by slice
+            for lo, hi in zip(cuts, cuts[1:]):
+                if slice_of[lo] != now:
                     if stream:
                         yield rows(stream)
-                    now, stream = at, [np.zeros(1, dtype=np.int32)]
-                stream.append(place[np.append(t, -1)])
+                    now, stream = slice_of[lo], [np.zeros(1, dtype=np.int32)]
+                stream.append(tokens[begin[lo] : begin[hi]])
         if stream:
             yield rows(stream)
 
@@ -440,33 +481,52 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # HEAD counts and the network: a fixed size
 
-    def start():
+    def run(batches):
+        import pyarrow as pa
+
         m = shared.value
+        texts, held = [], []
+
+        def scored():
+            logs, at = m.network.score(texts), 0
+            for out in held:
+                out["network"] = pa.array(logs[at : at + len(out["row"])])
+                at += len(out["row"])
+                yield pa.RecordBatch.from_arrays([out[k] for k in names], names=names)
+            texts.clear(), held.clear()
 
-        def run(cols):
-            out: dict = {k: [] for k in ("row", "doc_id", "held_out", "n", "known", "logs", "outer_logs", "network", "outer", "tail", "times")}
-            out |= {"row": cols["row"], "doc_id": cols["doc_id"], "held_out": cols["held_out"]}
-            numbers = Numbers()
-            texts = [numbers.of(t) for t in cols["utf8"]]
-            keys = numbers.keys()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, lengths, keys = numbered(batch.column("utf8"))
             known, count, place = m.look_up(keys)
             log = np.log10(count + 0.5)
-            outside = known & (place == m.outside)
-            for t in texts:
-                have = known[t]
-                tail, times = np.unique(keys[t[~have]], return_counts=True)
-                out["n"].append(len(t) + 1), out["known"].append(int(have.sum()) + (m.end > 0))
-                out["logs"].append(float(log[t[have]].sum() + np.log10(m.end + 0.5))), out["outer_logs"].append(float(log[t[outside[t]]].sum()))
-                out["outer"].append(int((place[t] == m.outside).sum()))
-                out["tail"].append(tail), out["times"].append(times)
-            seen = np.append(place, 0)
-            out["network"] = m.network.score([seen[np.append(t, -1)] for t in texts])
-            return out
-
-        return run
-
-    given = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), utf8())
-    firsts = cut(map_columns(given, "row long, doc_id long, held_out boolean, n long, known long, logs double, outer_logs double, network double, outer long, tail array<long>, times array<long>", start, at_once=TOGETHER))
+            outside = place == m.outside
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            by_text = lambda of_word: np.bincount(owner, weights=of_word[number], minlength=len(lengths)).astype(np.float64)  # noqa: E731  whole numbers where there is no word
+            # what the head doesn't have, once for each text
+            far = ~known[number]
+            tail, times = np.unique(owner[far] * len(keys) + number[far], return_counts=True)
+            begin = pa.array(np.searchsorted(tail, np.arange(len(lengths) + 1) * len(keys)).astype(np.int32))
+            tokens, ends = with_ends(place.astype(np.int32)[number], lengths)
+            out = {
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n": pa.array(lengths + 1), "known": pa.array(by_text(known).astype(np.int64) + (m.end > 0)),
+                "logs": pa.array(by_text(np.where(known, log, 0.0)) + np.log10(m.end + 0.5)), "outer_logs": pa.array(by_text(np.where(known & outside, log, 0.0))),
+                "outer": pa.array(by_text(outside).astype(np.int64)), "tail": pa.ListArray.from_arrays(begin, pa.array(keys[tail % max(len(keys), 1)])), "times": pa.ListArray.from_arrays(begin, pa.array(times)),
+            }
+            held.append(out)
+            texts += np.split(tokens, ends[1:-1])
+            # texts of several batches go on side by side, for a step costs as much for a few as for many
+            if len(texts) >= TOGETHER or sum(map(len, texts)) >= SLICE:
+                yield from scored()
+        yield from scored()
+        give_back()
+
+    small_batches(documents.sparkSession)
+    given = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), utf8())
+    schema = "row long, doc_id long, held_out boolean, n long, known long, logs double, outer_logs double, network double, outer long, tail array<long>, times array<long>"
+    names = [field.split(" ")[0] for field in schema.split(", ")]
+    firsts = cut(given.mapInArrow(run, schema))
     tails = firsts.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     found = tails.join(counts.hint("merge"), "token", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("tail_logs"))

@@ -332,6 +332,32 @@ def test_gradients_are_those_of_differences():
         assert gradient[i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-4)
 
 
+def test_words_are_numbered_as_they_are_split():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = ["", "  ", " \x0b\x0c", "Ab aB  ab", "x\x1cY\x85\xa0Z É", *("".join(r.choice("aB \t\n\r\x0b\x0cé\x1f") for _ in range(30)) for _ in range(200))]
+    held = [b"\xff \xFEA b", *(t.encode() for t in texts)]
+    for kind in (pa.binary(), pa.large_binary()):
+        number, lengths, keys = language_model.numbered(pa.array([b"not asked for", *held], kind).slice(1))
+        want = [[language_model.key_of(w) for w in t.lower().split()] for t in held]
+        assert [list(x) for x in np.split(keys[number], np.cumsum(lengths)[:-1])] == want
+    tokens, begin = language_model.with_ends(np.array([5, 6, 7]), np.array([0, 2, 1, 0]))
+    assert tokens.tolist() == [0, 5, 6, 0, 7, 0, 0] and begin.tolist() == [0, 1, 4, 6, 7]
+
+
+def test_texts_of_several_batches_are_scored_together(make):
+    """A step of the network costs as much for a few texts as for many; texts of small Arrow batches go on side by side, for each as before."""
+    rows = make([(i, f"red green w{i % 7} blue") for i in range(60)]).coalesce(1)
+    counts = language_model.token_counts(rows)
+    model = language_model.fit(rows, counts)
+    scores = []
+    for limit in ("64b", "4194304b"):
+        rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+        scores.append({r["doc_id"]: r["score"] for r in language_model.score(rows, model, counts).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and len(scores[0]) == 60
+
+
 def test_training_learns_a_cycle():
     net = language_model.Network(np.array([5.0, 4, 3, 2, 1]), 1.0)
     r = np.random.default_rng(1)

@@ -195,3 +195,50 @@ def test_dropped_lines_are_sent_as_few_bytes(spark):
     texts = spark.createDataFrame([(i, "\n".join(f"w{k}" for k in range(50))) for i in range(3)], "doc_id long, text string")
     kept = line_dedup.apply(texts, lists.where("doc_id < 2")).orderBy("doc_id").collect()
     assert [r["text"].split("\n")[0] for r in kept] == ["w40", "w40", "w0"] and [len(r["text"].split("\n")) for r in kept] == [10, 10, 50]
+
+
+def _range_row(first: int, lists: list[list[str]]) -> pa.RecordBatch:
+    shape = blocks.arrow_schema("number long, n long, tokens long, ids array<long>, dls array<int>, terms array<string>, counts array<int>, most array<int>, least array<int>, rows array<int>, tfs array<int>")
+    one = {"number": first} | postings._range(pa.array(range(first, first + len(lists)), pa.int64()), pa.array(lists), None)
+    return pa.RecordBatch.from_arrays([pa.array([one[f.name]], f.type) for f in shape], schema=shape)
+
+
+def test_few_rows_are_scored_exactly(monkeypatch):
+    """Common words in all rows: only rows near a query's k-th score are looked up, and the best are those of brute force."""
+    r, k = np.random.default_rng(2), 3
+    words = [f"w{i}" for i in range(400)]
+    share = 1 / (np.arange(400) + 1.0)
+    lists = [[*r.choice(words, size=int(r.integers(20, 60)), p=share / share.sum())] for _ in range(3_000)]
+    mean, df = np.mean([len(x) for x in lists]), {w: sum(w in x for x in map(set, lists)) for w in words}
+    idf = {w: float(np.log1p((3_000 - n + 0.5) / (n + 0.5))) for w, n in df.items() if n}
+    asked = [sorted({*r.choice(words, size=25, p=share / share.sum())} & idf.keys(), key=lambda w: (idf[w], w)) for _ in range(40)]
+    rare = [max(idf[w] for w in q) for q in asked]
+    queries = pa.table({"query_id": pa.array(range(40)), "terms": pa.array(asked), "idfs": pa.array([[idf[w] for w in q] for q in asked]), "least": pa.array(rare)})
+    ranges = [_range_row(at, lists[at : at + 1_000]) for at in range(0, 3_000, 1_000)]
+    seeds = postings.Seeds(k, mean, 1.2, 0.75)
+    for one in ranges:
+        list(seeds.add(0, queries, one))
+    floor = seeds.best[0][:, k - 1]
+    looked, whole = [], postings._Met.looked_up
+    monkeypatch.setattr(postings._Met, "looked_up", lambda self, rows, *rest: looked.append(len(rows)) or whole(self, rows, *rest))
+    state = postings.Scores(k, mean, 1.2, 0.75)
+    for one in ranges:
+        list(state.add(0, queries.append_column("floor", pa.array(floor - 2e-6)), one))
+    counts = [{w: x.count(w) for w in set(x)} for x in lists]
+    for q, terms in enumerate(asked):
+        scores = [round(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in terms if w in c), 6) for x, c in zip(lists, counts)]
+        best = sorted((-s, i) for i, s in enumerate(scores))[:k]
+        assert [i for _, i in state.best[0][q]] == [i for _, i in best] and floor[q] <= -best[-1][0] + 2e-6
+    assert sum(looked) < 40 * 3_000 // 20
+
+
+def test_queries_of_the_same_terms_are_searched_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(100)], "id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i % 3} Common, common other{i}") for i in range(60)], "query_id int, text string")
+    sizes, whole = [], blocks.pack_queries
+    monkeypatch.setattr(blocks, "pack_queries", lambda queries: sizes.append(queries.count()) or whole(queries))
+    got = {}
+    for q, i, rank in sorted((r["query_id"], r["id"], r["rank"]) for r in search.bm25_topk(asked, docs, 4).collect()):
+        got.setdefault(q, []).append(i)
+    assert set(sizes) == {3} and len(got) == 60
+    assert all(got[q] == got[q % 3] and len(got[q]) == 4 for q in got)

@@ -232,6 +232,20 @@ def test_few_rows_are_scored_exactly(monkeypatch):
     assert sum(looked) < 40 * 3_000 // 20
 
 
+def test_ranges_are_not_shuffled_for_many_queries(spark, monkeypatch):
+    """Queries beyond the limit of what is sent meet the ranges part by part; no range is copied for a part of them."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(300)], "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common {i}") for i in range(40)], "query_id int, text string")
+    want = sorted(search.bm25_topk(asked, docs, 4).collect())
+    plans, whole, packed = [], blocks.meet, blocks.pack_queries
+    monkeypatch.setattr(blocks, "pack_queries", lambda queries: packed(queries, most=4))
+    monkeypatch.setattr(blocks, "meet", lambda *given, **more: plans.append(plan(df := whole(*given, **more))) or df)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 6_000)
+    got = sorted(search.bm25_topk(asked, docs, 4).collect())
+    assert got == want and len(got) == 160
+    assert len(plans) > 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
 def test_queries_of_the_same_terms_are_searched_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(100)], "id long, text string")
     asked = spark.createDataFrame([(i, f"w{i % 3} Common, common other{i}") for i in range(60)], "query_id int, text string")

@@ -165,3 +165,41 @@ def test_documents_that_meet_an_item_share_a_run(spark, make):
     near = {r["doc_id"] for r in dc.sharing_runs(docs, bench).collect()}
     met = {r["doc_id"] for r in dc.alignments(docs, bench, every=True).select("doc_id").distinct().collect()}
     assert met and met <= near and not near & {None, 90, 91}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_like_a_plain_version_whatever_items_share(spark, make, monkeypatch, seed):
+    """Every item that leaks is found in every document, also where another that shares its windows was met first."""
+    rnd = random.Random(seed)
+    words = ["red", "lamp", "home", "Ann", "7", "12", "4 km", "old", "and", "it?", "x9"]
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    line = "the red lamp 5 is at home and old now"
+    items = [(i, f"{line} {text(rnd.choice([2, 6, 14, 20]))}" if i % 3 else text(12)) for i in range(9)]
+    items += [(20, items[1][1])]  # a twin
+    docs = [(n, f"{text(3)} {line.replace('5', str(n % 3 + 5))} {text(rnd.randrange(9))}" if n % 2 else f"{text(4)} {items[n % 9][1][rnd.randrange(20):]}") for n in range(40)]
+    monkeypatch.setattr(dc, "MANY", 1)
+    bench = spark.createDataFrame(items, ITEMS)
+    want = plain_leaks(items, docs)
+    assert {(r["doc_id"], r["item"]) for r in dc.leaks(make(docs), bench).collect()} == want and len(want) > 40
+    got = {r["doc_id"]: r for r in dc.report(make(docs), bench).collect()}
+    assert {(d, int(i)) for d, r in got.items() for i in r["leaking_ids"].split(",") if i} == want
+    assert all(r["contaminated"] == bool(r["item_ids"]) == (r["n_leaking"] > 0) and {*r["item_ids"].split(",")} <= {*r["leaking_ids"].split(",")} for r in got.values())
+
+
+def test_all_items_of_one_template_are_listed(spark, make):
+    """Forty questions that differ in their numbers alone all leak where one does."""
+    items = [(i, f"the shop sold {1000 + i} red lamps on monday and {2000 + i} blue lamps on friday how many in all") for i in range(40)]
+    docs = [(1, "the shop sold 7 red lamps on monday and 8 blue lamps on friday how many in all"), (2, items[30][1]), (3, "the shop is shut")]
+    got = {r["doc_id"]: (r["n_leaking"], r["leaking_ids"]) for r in dc.report(make(docs), spark.createDataFrame(items, ITEMS)).collect()}
+    every = ",".join(str(i) for i in range(40))
+    assert got == {1: (40, every), 2: (40, every), 3: (0, "")}
+
+
+def test_shared_windows_count_against_an_item(spark, make):
+    """One number of the item stands against two of the document, one of them in a line that many items share."""
+    line = "the old shop on the hill sold 5 red lamps"
+    items = [(i, f"{line} q{i}a q{i}b q{i}c q{i}d q{i}e q{i}f q{i}g q{i}h") for i in range(12)] + [(50, f"{line} while she who kept it bought 5 more and went home")]
+    docs = [(1, items[-1][1].replace("sold 5", "sold 8").replace("bought 5", "bought 9")), (2, items[-1][1].replace("5", "8"))]
+    want = {(d, i) for d, i in plain_leaks(items, docs)}
+    assert (1, 50) not in want and (2, 50) in want
+    assert {(r["doc_id"], r["item"]) for r in dc.leaks(make(docs), spark.createDataFrame(items, ITEMS)).collect()} == want
